@@ -8,26 +8,19 @@ folder and reads them again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sightline.llm import common, near_dedup, packing, pii, quality_knn, quality_rules
 from sightline.llm.queries import WORD_MODEL, vocabulary
 
 
-def _kept(docs: DataFrame, verdict: DataFrame, good) -> DataFrame:
-    """Rows of docs whose id the verdict does not reject; rows without id are judged by no id and stay."""
-    rejected = verdict.where(~good).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
-
-
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_rules.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return _kept(docs, quality_rules.apply_rules(docs, model), F.col("kept"))
+    return quality_rules.keep_good(docs, model)
 
 
 def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space = quality_knn.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return _kept(docs, quality_knn.score_quality(docs, space), F.col("predicted") == 1)
+    return quality_knn.keep_good(docs, space)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, al
 def chunks(items: list, size: int) -> Iterable[list]:
     for i in range(0, len(items), size):
         yield items[i : i + size]
+
+
+def keep_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of docs, with all their columns, for which judge(texts) says True; null texts are judged as empty.
+
+    Rows pass through the tasks that judge them, so nothing is joined back by id.
+    """
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(judge([t or "" for t in b.column("text").to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

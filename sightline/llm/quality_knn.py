@@ -137,6 +137,18 @@ def score_quality(docs: DataFrame, space: Space | None, threshold: float = THRES
     return common.text_rows(docs).mapInArrow(run, SCHEMA)
 
 
+def keep_good(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least `threshold`, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+
+    def judge(texts: list[str]) -> list[bool]:
+        if shared.value is None:
+            return [True] * len(texts)
+        return [x >= threshold for some in common.chunks(texts, BLOCK) for x in shared.value.vote(np.stack([term_counts(t) for t in some]))[0].tolist()]
+
+    return common.keep_rows(docs, judge)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_quality(docs, train(docs, labels))
     return scored.select("doc_id", F.coalesce(common.fold_of(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "nearest")

@@ -214,44 +214,52 @@ def repeat_words(words: list[list[bytes]]) -> list[int]:
     return out
 
 
+def rule_rows(texts: list[str], weights: list, trans: np.ndarray, min_content: float) -> list[tuple]:
+    """The columns of SCHEMA after doc_id for each text."""
+    rows = []
+    raws = [t.encode() for t in texts]
+    words = [r.split() for r in raws]
+    for text, raw, own, again in zip(texts, raws, words, repeat_words(words)):
+        n = len(own)
+        lines = raw.split(b"\n")
+        feats = line_features(lines)
+        blank = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
+        seen, dup = set(), 0
+        for line in lines:
+            if line in seen:
+                dup += bool(line.split())
+            else:
+                seen.add(line)
+        share, n_content = 0.0, 0
+        if feats:
+            path = viterbi([(sum(weights[f][0] for f in fs), sum(weights[f][1] for f in fs)) for fs, _ in feats], trans)
+            share = sum(k for y, (_, k) in zip(path, feats) if y) / n
+            n_content = sum(path)
+        failed = n < 20 or 100 * again > 30 * n
+        rows.append((n, len(text) - blank, _without(raw, _SYMBOLS), dup, again, failed, not failed and share >= min_content, share, len(feats), n_content))
+    return rows
+
+
 def apply_rules(docs: DataFrame, model, min_content: float = MIN_CONTENT) -> DataFrame:
     """Base counts, content share and verdict for every row of docs (columns: SCHEMA)."""
     common.ship(docs.sparkSession)
-    w, tr = model
-    w = np.asarray(w).tolist()
+    weights, trans = np.asarray(model[0]).tolist(), np.asarray(model[1])
 
     def run(batches):
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            texts = b.column("text").to_pylist()
-            rows = []
-            raws = [t.encode() for t in texts]
-            words = [r.split() for r in raws]
-            for text, raw, own, again in zip(texts, raws, words, repeat_words(words)):
-                n = len(own)
-                lines = raw.split(b"\n")
-                feats = line_features(lines)
-                blank = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
-                seen, dup = set(), 0
-                for line in lines:
-                    if line in seen:
-                        dup += bool(line.split())
-                    else:
-                        seen.add(line)
-                share, n_content = 0.0, 0
-                if feats:
-                    path = viterbi([(sum(w[f][0] for f in fs), sum(w[f][1] for f in fs)) for fs, _ in feats], tr)
-                    share = sum(k for y, (_, k) in zip(path, feats) if y) / n
-                    n_content = sum(path)
-                failed = n < 20 or 100 * again > 30 * n
-                rows.append((n, len(text) - blank, _without(raw, _SYMBOLS), dup, again, failed,
-                             not failed and share >= min_content, share, len(feats), n_content))
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            rows = rule_rows(b.column("text").to_pylist(), weights, trans, min_content)
             columns = list(zip(*rows)) or [[] for _ in names[1:]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _TYPES))], names)
 
-    tr = np.asarray(tr)
     return common.text_rows(docs).mapInArrow(run, SCHEMA)
 
 
+def keep_good(docs: DataFrame, model, min_content: float = MIN_CONTENT) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    weights, trans = np.asarray(model[0]).tolist(), np.asarray(model[1])
+    return common.keep_rows(docs, lambda texts: [r[6] for r in rule_rows(texts, weights, trans, min_content)])
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, min_content: float = MIN_CONTENT) -> DataFrame:
     return apply_rules(docs, train(docs, labels), min_content)

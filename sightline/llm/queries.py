@@ -26,6 +26,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.license_scan import scan
+
+    return scan(common.table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.llm.toxicity import toxicity
 
@@ -62,6 +68,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(common.table(spark, sf_dir, "documents"), vocabulary(WORD_MODEL))
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.piece_codec import round_trip
+
+    return round_trip(common.table(spark, sf_dir, "documents"), vocabulary(PIECE_MODEL))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.llm.quality_knn import quality_classifier
 
@@ -76,12 +88,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scans": op2_license_scans,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_fingerprints": op6_fingerprints,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_piece_codec": op9_piece_codec,
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": pipeline,
 }
