@@ -1,7 +1,7 @@
 """MinHash near-duplicates: banded candidates, odd sketches, exact confirmation, connected components.
 
-1. Each text becomes its set of 5-word shingles (64-bit hashes), a digest of that set, SAMPLES MinHash
-   values in BANDS bands, and an odd sketch: the MinHash samples folded into a parity bitmap.
+1. Each text becomes its set of 5-word shingles (64-bit hashes), a digest of that set, BANDS bands of ROWS MinHash
+   values, and an odd sketch: MinHash samples (the least hash of each of RANGES ranges) folded into a parity bitmap.
 2. Texts with equal sets form a class; its smallest id stands for it, so copies never meet again.
 3. In every band bucket the members are compared with a hub, not with each other. Pairs whose sketches'
    XOR has too many bits for the similarity are dropped; the others are confirmed on the full sets.
@@ -10,7 +10,7 @@
    but only across components and behind the sketch and size bounds. So no link is given up.
 
 At a similarity of 0.75 a pair meets in no bucket with probability (1 - 0.75^4)^32 = 5e-6, and the
-sketch bound loses about as few.
+sketch bound, 4.5 standard deviations above what such a pair shows, loses about as few.
 
 Defined cases: a null or empty text, or one without words, has 0 shingles and is linked with nothing
 (component_id is its own id); fewer than 5 words form one shingle; rows with the same doc_id and text get
@@ -30,12 +30,11 @@ from sightline.llm import common
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Bits that may differ between two sketches. At 0.75, 64 of the folded values differ on average (at most
-#: 113 within five standard deviations), which sets 91 bits, and at most 111 within four of the sketch's own.
-MAX_BITS = 112
+RANGES, SKETCH_BITS = 1024, 2048
+#: Bits of the bitmap that tells which texts may be needed: 2 MB at most, whatever the number of texts.
+WANTED_BITS = 2**24
 HUB_ROUNDS = 3
-SIGNATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
+SIGNATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>, filled int"
 
 _rng = np.random.RandomState(20011)
 _MUL = (_rng.randint(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -74,16 +73,22 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fold_signatures(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (docs x BANDS) and odd sketches (docs x SKETCH_BITS/64) of stacked MinHash values."""
-    values = minima.astype(np.uint64)
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """Band keys (docs x BANDS) of stacked MinHash values."""
+    values = minima.astype(np.uint64).reshape(-1, BANDS, ROWS)
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(values), BANDS)).copy()
     for j in range(ROWS):
-        keys = _mix(keys * _P + values.reshape(-1, BANDS, ROWS)[:, :, j] + np.uint64(1))
-    bit = (_mix(values + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flat = bit + SKETCH_BITS * np.arange(len(values))[:, None]
-    parity = (np.bincount(flat.ravel(), minlength=SKETCH_BITS * len(values)) & 1).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(parity).view(np.int64).reshape(len(values), -1)
+        keys = _mix(keys * _P + values[:, :, j] + np.uint64(1))
+    return keys.view(np.int64)
+
+
+def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the least hash in each of RANGES equal ranges, and how many ranges have one. hashes: sorted."""
+    place = (hashes >> np.uint64(64 - 10)).astype(np.int64)
+    least = hashes[np.concatenate([[True], place[1:] != place[:-1]])]
+    bit = (_mix(least * _P) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    parity = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64), len(least)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -95,15 +100,15 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketch = [None] * len(sets), [None] * len(sets)
+            keys, sketch, filled = [None] * len(sets), [None] * len(sets), [0] * len(sets)
             if full:
-                k, o = fold_signatures(np.stack([minhash(sets[i]) for i in full]))
-                for i, x, y in zip(full, k.tolist(), o.tolist()):
-                    keys[i], sketch[i] = x, y
+                for i, x in zip(full, band_keys(np.stack([minhash(sets[i]) for i in full])).tolist()):
+                    keys[i] = x
+                    sketch[i], filled[i] = odd_sketch(sets[i])
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "bands", "sketch"],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(filled, pa.int32())],
+                ["doc_id", "n_shingles", "set_id", "bands", "sketch", "filled"],
             )
 
     return common.text_rows(docs).mapInArrow(run, SIGNATURES)
@@ -114,17 +119,43 @@ def _bits(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
+def most_bits(n: Column, m: Column, filled: Column, percent: int) -> Column:
+    """The most bits that may differ between the sketches of two sets of n and m shingles that reach the similarity.
+
+    A union of u shingles fills ranges * (1 - exp(-u / ranges)) ranges, and in the share j of them both
+    sets have the same least hash; the other samples of either set are folded into one of the sketches only.
+    """
+    j, ranges, bits = percent / 100, float(RANGES), float(SKETCH_BITS)
+    union = (n + m) / F.lit(1 + j)
+    both = ranges * (1 - F.exp(-union / ranges))
+    spread = 2 * F.sqrt(j * (1 - j) * both * F.greatest(1 - both / union, F.lit(0.0)))
+    folded = filled - 2 * j * both + 4.5 * spread + 2
+    shown = bits / 2 * (1 - F.exp(-2 * folded / bits)) + 4 * (folded / F.lit(bits**0.5) + 1)
+    return F.least(folded, shown)
+
+
 def _near(a: str, b: str, percent: int) -> Column:
     """What sketches and set sizes say: may the pair reach the similarity?"""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_bits(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= MAX_BITS)
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & (_bits(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= most_bits(n, m, F.col(f"{a}.filled") + F.col(f"{b}.filled"), percent))
+
+
+def wanted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids. A bitmap over hashed ids, of at most WANTED_BITS bits, is broadcast and stops
+    most other rows before the shuffle; the semi-join then settles the rest."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
+    words = ids.select(place("doc_id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    rows = docs.withColumn("_p", place("doc_id")).withColumn("word", F.floor(F.col("_p") / 64))
+    rows = rows.join(F.broadcast(words), "word").where(F.expr("bit_get(bits, cast(_p % 64 as int)) = 1"))
+    return rows.select(docs.columns).join(ids, "doc_id", "left_semi")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets reach the similarity."""
     texts = common.text_rows(docs.where(F.col("doc_id").isNotNull()))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = common.materialize(texts.join(ids, "doc_id", "left_semi"))
+    texts = common.materialize(wanted_rows(texts, ids))
     texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")) if not texts.groupBy("doc_id").count().where("count > 1").isEmpty() else texts
     joined = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -183,16 +214,16 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     sig = common.materialize(signatures(docs))
     reps = common.materialize(
         sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("x"))
-        .select("set_id", "rep", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch")
+        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch", "filled"), "doc_id").alias("x"))
+        .select("set_id", "rep", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch", "x.filled")
     )
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     in_buckets = common.materialize(members.join(buckets, "key").select("key", "rep", "hub", "size"))
-    sketches = reps.select("rep", "n", "sketch")
+    sketches = reps.select("rep", "n", "sketch", "filled")
 
     def check(pairs: DataFrame) -> DataFrame:
-        a, b = sketches.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("l")), sketches.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("r"))
+        a, b = sketches.select(F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l")), sketches.select(F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"))
         near = pairs.distinct().join(a, "a").join(b, "b").where(_near("l", "r", percent)).select("a", "b")
         return confirm(common.materialize(near), docs, percent)
 
@@ -210,8 +241,8 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
             break
         if last:
             own = placed.join(sketches, "rep")
-            left = own.select("key", F.col("rep").alias("a"), F.struct("n", "sketch").alias("l"), F.col("root").alias("root_a"))
-            right = own.select("key", F.col("rep").alias("b"), F.struct("n", "sketch").alias("r"), F.col("root").alias("root_b"))
+            left = own.select("key", F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l"), F.col("root").alias("root_a"))
+            right = own.select("key", F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"), F.col("root").alias("root_b"))
             pairs = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _near("l", "r", percent)).select("a", "b")
         else:
             pairs = placed.where(F.col("root") != F.col("other.root")).select(F.col("other.rep").alias("a"), F.col("rep").alias("b"))
