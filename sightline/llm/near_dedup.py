@@ -10,7 +10,7 @@
    but only across components and behind the sketch and size bounds. So no link is given up.
 
 At a similarity of 0.75 a pair meets in no bucket with probability (1 - 0.75^4)^32 = 5e-6, and the
-sketch bound, 4.5 standard deviations above what such a pair shows, loses about as few.
+sketch bound, which lies well above what such a pair shows (tests measure it), loses about as few.
 
 Defined cases: a null or empty text, or one without words, has 0 shingles and is linked with nothing
 (component_id is its own id); fewer than 5 words form one shingle; rows with the same doc_id and text get
@@ -129,7 +129,7 @@ def most_bits(n: Column, m: Column, filled: Column, percent: int) -> Column:
     union = (n + m) / F.lit(1 + j)
     both = ranges * (1 - F.exp(-union / ranges))
     spread = 2 * F.sqrt(j * (1 - j) * both * F.greatest(1 - both / union, F.lit(0.0)))
-    folded = filled - 2 * j * both + 4.5 * spread + 2
+    folded = filled - 2 * j * both + 6.5 * spread + 3
     shown = bits / 2 * (1 - F.exp(-2 * folded / bits)) + 4 * (folded / F.lit(bits**0.5) + 1)
     return F.least(folded, shown)
 
