@@ -41,12 +41,12 @@ HOMOGLYPHS = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ʟ": "l", "ⅼ": "l",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
-SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "i"}
+SYMBOLS = {"@": "a", "$": "s", "!": "i"}
 #: Phrases in which a lexicon term is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser", "rodeo clown", "pond scum", "idiot proof")
 _DROP = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()} | _DROP
-_SYMBOL = re.compile(r"(?<=[^\W\d_])[@$!|]+(?=[^\W\d_])|(?<![^\W_])[@$!|](?=[^\W\d_]{2})")
+_SYMBOL = re.compile(r"(?<=[^\W\d_])[@$!]+(?=[^\W\d_])|(?<![\w@$!])[@$](?=[^\W\d_]{2})")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,7 +55,7 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).lower()
     text = text.translate(_FOLD)
-    if "@" in text or "$" in text or "!" in text or "|" in text:
+    if "@" in text or "$" in text or "!" in text:
         text = _SYMBOL.sub(lambda m: "".join(SYMBOLS[c] for c in m[0]), text)
     return text
 
