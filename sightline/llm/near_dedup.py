@@ -129,7 +129,7 @@ def most_bits(n: Column, m: Column, filled: Column, percent: int) -> Column:
     union = (n + m) / F.lit(1 + j)
     both = ranges * (1 - F.exp(-union / ranges))
     spread = 2 * F.sqrt(j * (1 - j) * both * F.greatest(1 - both / union, F.lit(0.0)))
-    folded = filled - 2 * j * both + 7 * spread + 6
+    folded = filled - 2 * j * both + 7 * spread + 8
     shown = bits / 2 * (1 - F.exp(-2 * folded / bits)) + 4 * (folded / F.lit(bits**0.5) + 1)
     return F.least(folded, shown)
 
