@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sightline.llm import common
 
 #: At most so many labelled documents are vectors to vote with: the bound of the broadcast.
-FIT_DOCS = 4096
+FIT_DOCS = 2048
 RANK, K, BLOCK = 48, 15, 1024
 THRESHOLD = 0.3
 REPEAT_WEIGHT = 1.5
@@ -64,7 +64,7 @@ class Space:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         df = (counts > 0).sum(0)
-        self.weight = np.log((1 + len(counts)) / (1 + df)) + 1
+        self.weight = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.basis = None
@@ -74,7 +74,7 @@ class Space:
         self.vectors = self.unit(x @ self.basis)
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = (counts * self.weight).astype(np.float32)
+        x = counts * self.weight
         size = np.linalg.norm(x[:, :N_TERMS], axis=1, keepdims=True)
         x[:, :N_TERMS] /= np.where(size > 0, size, 1)
         x[:, N_TERMS:] = REPEAT_WEIGHT * np.sqrt(counts[:, N_TERMS:])
@@ -108,11 +108,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Space
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "counts": [term_counts(t).tobytes() for t in b["text"]]})
 
-    got = rows.select("doc_id", "text", "label").mapInPandas(counts, "doc_id long, label int, counts binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    if got.empty:
+    got = {r[0]: (r[1], bytes(r[2])) for r in rows.select("doc_id", "text", "label").mapInPandas(counts, "doc_id long, label int, counts binary").toLocalIterator()}
+    if not got:
         return None
-    return Space(np.stack([np.frombuffer(x, np.float32) for x in got["counts"]]), got["label"].to_numpy())
+    ids = sorted(got)
+    return Space(np.frombuffer(b"".join(got[i][1] for i in ids), np.float32).reshape(len(ids), -1), np.array([got[i][0] for i in ids]))
 
 
 def score_quality(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) -> DataFrame:
