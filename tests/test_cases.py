@@ -202,3 +202,34 @@ def test_empty_inputs(spark):
     none = packets(spark, [(0, "a", 1)]).limit(0)
     assert demand.closed_only(demand.demand_window(none, demand.LANES["udp_demand"], S), none).count() == 0
     assert history.recon(attempts(spark, [(0, "a", 1)]).limit(0), "recon.h").count() == 0
+
+
+def test_registry_runs_selected_records_only(spark):
+    from sightline.operators.extend import Mechanism, Registry
+
+    rows = spark.createDataFrame([("a", 6, 5), ("b", 17, 5)], "obs_id string, protocol int, us long").select(
+        "*", F.lit("PACKET").alias("observation_type"), F.lit("v1").alias("contract"), F.array(F.lit("protocol")).alias("present_fields"), F.array(F.lit("PACKET_FACTS")).alias("available"), F.lit("IMMEDIATE").alias("record_finality"), F.col("us").alias("availability_us"))
+    mine = Mechanism(routing.Lane("own.udp", "PACKET", ("protocol",), ("PACKET_FACTS",), "protocol = 17"), lambda d: d.select("obs_id"), {"x": 1})
+    reg = Registry()
+    reg.register(mine)
+    assert [(r["obs_id"], r["lane_id"]) for r in reg.run(rows).collect()] == [("b", "own.udp")]
+    with pytest.raises(ValueError):
+        reg.register(mine)
+
+
+def test_gap_policies(spark):
+    from sightline.operators import extend
+
+    rows = spark.createDataFrame([(i, f"o{i}", "k", int(i in (2, 3))) for i in range(5)], "us long, obs_id string, k string, gap_count long")
+    assert extend.apply_gap_policy(rows, "DISABLE").count() == 3
+    assert extend.apply_gap_policy(rows, "ABSTAIN").where("suppressed").count() == 2
+    reset = extend.sessions_with_gaps(extend.apply_gap_policy(rows, "RESET"), ("k",), 100).orderBy("us")
+    assert [r["session_no"] for r in reset.collect()] == [0, 0, 1, 1, 1]
+
+
+def test_observation_summary_is_bounded(spark):
+    from sightline.operators.extend import observation_summary
+
+    df = spark.createDataFrame([("o", "x" * 500, None)], "obs_id string, qname string, rcode string").withColumn("roles", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct(i.cast("string").alias("identifier"), F.lit("r").alias("role"))))
+    r = observation_summary(df, ("qname", "rcode")).first()
+    assert len(r["roles"]) == 16 and [f["field"] for f in r["facts"]] == ["qname"] and len(r["facts"][0]["value"]) == 201
