@@ -30,10 +30,11 @@ from sightline.llm import common
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-RANGES, SKETCH_BITS = 1024, 2048
+RANGE_BITS, SKETCH_BITS = 12, 2048
+RANGES = 2**RANGE_BITS
 #: Bits of the bitmap that tells which texts may be needed: 2 MB at most, whatever the number of texts.
 WANTED_BITS = 2**24
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 SIGNATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>, filled int"
 
 _rng = np.random.RandomState(20011)
@@ -84,7 +85,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """Parity bitmap of the least hash in each of RANGES equal ranges, and how many ranges have one. hashes: sorted."""
-    place = (hashes >> np.uint64(64 - 10)).astype(np.int64)
+    place = (hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
     least = hashes[np.concatenate([[True], place[1:] != place[:-1]])]
     bit = (_mix(least * _P) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
     parity = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
@@ -129,7 +130,7 @@ def most_bits(n: Column, m: Column, filled: Column, percent: int) -> Column:
     union = (n + m) / F.lit(1 + j)
     both = ranges * (1 - F.exp(-union / ranges))
     spread = 2 * F.sqrt(j * (1 - j) * both * F.greatest(1 - both / union, F.lit(0.0)))
-    folded = filled - 2 * j * both + 7 * spread + 8
+    folded = filled - 2 * j * both + 7 * spread + 5
     shown = bits / 2 * (1 - F.exp(-2 * folded / bits)) + 4 * (folded / F.lit(bits**0.5) + 1)
     return F.least(folded, shown)
 
@@ -151,12 +152,13 @@ def wanted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select(docs.columns).join(ids, "doc_id", "left_semi")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets reach the similarity."""
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool = True) -> DataFrame:
+    """Of the pairs (a, b), those whose full shingle sets reach the similarity. repeated: may docs have rows with equal ids?"""
     texts = common.text_rows(docs.where(F.col("doc_id").isNotNull()))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = common.materialize(wanted_rows(texts, ids))
-    texts = texts.groupBy("doc_id").agg(F.first("text").alias("text")) if not texts.groupBy("doc_id").count().where("count > 1").isEmpty() else texts
+    if repeated:
+        texts = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
     joined = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -190,20 +192,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until a step changes nothing; each step's edges are a
     table in the shared folder.
     """
-    step = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    step = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     mark = None
     while True:
         both = step.union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.materialize(large)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         after = common.materialize(small.where("u > v").distinct())
-        common.drop_table(large)
         common.drop_table(step)
         step = after
-        now = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = tuple(step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark or not now[0]:
             return step.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
@@ -220,12 +220,13 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     in_buckets = common.materialize(members.join(buckets, "key").select("key", "rep", "hub", "size"))
+    repeated = not sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     sketches = reps.select("rep", "n", "sketch", "filled")
 
     def check(pairs: DataFrame) -> DataFrame:
         a, b = sketches.select(F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l")), sketches.select(F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"))
         near = pairs.distinct().join(a, "a").join(b, "b").where(_near("l", "r", percent)).select("a", "b")
-        return confirm(common.materialize(near), docs, percent)
+        return confirm(common.materialize(near), docs, percent, repeated)
 
     roots = components(check(in_buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))))
     apart = in_buckets.where("size > 2").select("key", "rep")
