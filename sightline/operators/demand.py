@@ -53,7 +53,7 @@ def demand_window(packets: DataFrame, lane: WindowLane, width_us: int, cap: int
         (F.count("*") - known).alias("missing_lengths"), F.min("bytes").alias("_min"), F.max("bytes").alias("_max"),
         F.array_join(F.array_sort(F.collect_set(F.col("protocol").cast("string"))), ",").alias("protocols"),
         F.min(first).alias("_first"), F.max(first).alias("_last"),
-        F.min_by("reverse", first).alias("reverse"), worst_quality(F.col("quality")).alias("quality"),
+        F.min_by("reverse", F.struct("us", "obs_id", "reverse")).alias("reverse"), worst_quality(F.col("quality")).alias("quality"),
     ]
     if lane.distinct:
         aggregates.append(F.count_distinct(lane.distinct).alias("_distinct"))

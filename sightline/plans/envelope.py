@@ -44,7 +44,7 @@ RECORD_SQL = (
     + ", ".join(f"{duck(e)} AS {n}" for n, e in (PACKET | _EXTRA | RECORD).items()) + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 )
 _RECORDS = (
-    f"v AS (SELECT *, us - late * {SECOND} AS availability_us, list_filter(string_split(present, ','), lambda x: x <> '') AS present_fields, "
+    f"v AS (SELECT *, row_number() OVER () AS rid, us - late * {SECOND} AS availability_us, list_filter(string_split(present, ','), lambda x: x <> '') AS present_fields, "
     f"list_filter(string_split(capability, ','), lambda x: x <> '') AS available, list_filter(string_split(lacking, ','), lambda x: x <> '') AS unavailable FROM ({RECORD_SQL}))"
 )
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
@@ -68,8 +68,8 @@ r AS (SELECT obs_id, lane_id, list_concat(list_concat(list_concat(list_concat(CA
   CASE WHEN parser_quality = 'DEGRADED' THEN list_transform(quality_facts, lambda q: 'QUALITY_INSUFFICIENT:' || q) ELSE []::VARCHAR[] END) AS reasons FROM p)
 SELECT obs_id, lane_id, len(reasons) = 0 AS admitted, array_to_string(reasons, ',') AS reasons FROM r"""
 FAN_OUT_SQL = f"""WITH {_RECORDS}, {_LANES}, {_PLAN},
-s AS (SELECT obs_id, count(*) AS n FROM p WHERE len(why) = 0 AND ok GROUP BY obs_id)
-SELECT observation_type, count(*) AS records, CAST(sum(coalesce(n, 0)) AS BIGINT) AS routes, count(*) FILTER (WHERE n IS NULL) AS zero_route FROM v LEFT JOIN s USING (obs_id) GROUP BY observation_type"""
+s AS (SELECT rid, count(*) AS n FROM p WHERE len(why) = 0 AND ok GROUP BY rid)
+SELECT observation_type, count(*) AS records, CAST(sum(coalesce(n, 0)) AS BIGINT) AS routes, count(*) FILTER (WHERE n IS NULL) AS zero_route FROM v LEFT JOIN s USING (rid) GROUP BY observation_type"""
 PREDICATES_SQL = f"WITH {_RECORDS}, {_LANES}, {_PLAN} SELECT lane_id, count(*) AS records, count(*) FILTER (WHERE ok) AS true_count, count(*) FILTER (WHERE ok AND len(why) = 0) AS selected FROM p GROUP BY lane_id"
 
 

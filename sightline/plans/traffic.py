@@ -37,7 +37,7 @@ w AS (SELECT {', '.join(keys)}, us - us % {DAY} AS window_start, count(*) AS pac
   count(bytes) AS known_lengths, count(*) - count(bytes) AS missing_lengths, min(bytes) AS lo, max(bytes) AS hi,
   array_to_string(list_sort(list(DISTINCT CAST(protocol AS VARCHAR))), ',') AS protocols,
   first(obs_id ORDER BY us, obs_id) AS first_id, last(obs_id ORDER BY us, obs_id) AS last_id, min(us) AS first_us, max(us) AS last_us,
-  first(reverse ORDER BY us, obs_id) AS reverse, max(CASE quality WHEN 'DEGRADED' THEN 2 WHEN 'CLEAR' THEN 0 ELSE 1 END) AS q{distinct}
+  first(reverse ORDER BY us, obs_id, reverse) AS reverse, max(CASE quality WHEN 'DEGRADED' THEN 2 WHEN 'CLEAR' THEN 0 ELSE 1 END) AS q{distinct}
   FROM v WHERE {admit} GROUP BY ALL)
 SELECT '{lane.lane}' AS lane_id, {', '.join(keys)}, window_start, window_start + {DAY} AS window_end, packet_count, observed_bytes, known_lengths, missing_lengths,
   CASE WHEN missing_lengths = 0 THEN observed_bytes END AS byte_count,
