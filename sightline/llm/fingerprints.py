@@ -45,7 +45,8 @@ def clashes(docs: DataFrame, digests: DataFrame) -> DataFrame:
     buckets = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
     buckets = buckets.withColumn("copies", (1 + F.col("size") / BUCKET_SHARE).cast("int"))
     members = ids.join(buckets, "digest").select("doc_id", "digest", "rep", "copies")
-    forms = common.text_rows(docs).join(members, "doc_id").select("doc_id", "digest", "rep", "copies", canonical("text").alias("form"))
+    wanted = common.wanted_rows(common.text_rows(docs), members.select("doc_id"))
+    forms = wanted.join(members, "doc_id").select("doc_id", "digest", "rep", "copies", canonical("text").alias("form"))
     heads = forms.where("doc_id = rep").select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("form").alias("first"))
     others = forms.where("doc_id <> rep").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
     return (
@@ -83,9 +84,10 @@ def previous_ids(docs: DataFrame) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its text with the second half replaced from the next document."""
-    rows = common.text_rows(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    links = common.materialize(previous_ids(rows.select("doc_id", "n_chars")))
-    linked = rows.join(links.hint("shuffle_hash"), "doc_id", "left")
+    rows = common.text_rows(docs)
+    links = common.materialize(previous_ids(rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))))
+    # Lengths are taken after the join, so that both uses of it share one shuffle of the texts.
+    linked = rows.join(links.hint("shuffle_hash"), "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
     heads = linked.where("prev_id is not null").select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         heads = heads.groupBy("id").agg(F.min("head").alias("head"))

@@ -32,8 +32,6 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 RANGE_BITS, SKETCH_BITS = 12, 2048
 RANGES = 2**RANGE_BITS
-#: Bits of the bitmap that tells which texts may be needed: 2 MB at most, whatever the number of texts.
-WANTED_BITS = 2**24
 HUB_ROUNDS = 2
 SIGNATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>, filled int"
 
@@ -142,21 +140,11 @@ def _near(a: str, b: str, percent: int) -> Column:
     return sizes & (_bits(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= most_bits(n, m, F.col(f"{a}.filled") + F.col(f"{b}.filled"), percent))
 
 
-def wanted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids. A bitmap over hashed ids, of at most WANTED_BITS bits, is broadcast and stops
-    most other rows before the shuffle; the semi-join then settles the rest."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
-    words = ids.select(place("doc_id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    rows = docs.withColumn("_p", place("doc_id")).withColumn("word", F.floor(F.col("_p") / 64))
-    rows = rows.join(F.broadcast(words), "word").where(F.expr("bit_get(bits, cast(_p % 64 as int)) = 1"))
-    return rows.select(docs.columns).join(ids, "doc_id", "left_semi")
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool = True) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets reach the similarity. repeated: may docs have rows with equal ids?"""
     texts = common.text_rows(docs.where(F.col("doc_id").isNotNull()))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = common.materialize(wanted_rows(texts, ids))
+    texts = common.materialize(common.wanted_rows(texts, ids))
     if repeated:
         texts = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
     joined = (
