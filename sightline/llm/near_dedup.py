@@ -6,8 +6,8 @@
 3. In every band bucket the members are compared with a hub, not with each other. Pairs whose sketches'
    XOR has too many bits for the similarity are dropped; the others are confirmed on the full sets.
 4. Confirmed links give components (large-star and small-star steps). Buckets whose members are all in one
-   component are done; in the others other hubs are tried, and what then is still apart is compared pairwise,
-   but only across components and behind the sketch and size bounds. So no link is given up.
+   component are done; in the others another hub is tried, and what then is still apart is compared inside its buckets,
+   only across components, by sketches, sizes and small hashes in the join condition. So no link is given up.
 
 At a similarity of 0.75 a pair meets in no bucket with probability (1 - 0.75^4)^32 = 5e-6, and the
 sketch bound, which lies well above what such a pair shows (tests measure it), loses about as few.
@@ -174,6 +174,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool = Tr
     return out
 
 
+def small_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, hashes): 32-bit shingle hashes of the named texts. Equal shingles have equal hashes, so a join condition on
+    them (with room for two clashes inside a set) passes every pair that confirm() would."""
+    texts = common.wanted_rows(common.text_rows(docs.where(F.col("doc_id").isNotNull())), reps.select(F.col("rep").alias("doc_id")))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique((shingles(t) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["rep", "hashes"])
+
+    return texts.mapInArrow(run, "rep long, hashes array<int>").dropDuplicates(["rep"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node that is reachable.
 
@@ -229,10 +242,12 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
         if placed.isEmpty():
             break
         if last:
-            own = placed.join(sketches, "rep")
-            left = own.select("key", F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l"), F.col("root").alias("root_a"))
-            right = own.select("key", F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"), F.col("root").alias("root_b"))
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _near("l", "r", percent)).select("a", "b")
+            own = placed.join(sketches, "rep").join(small_sets(docs, placed.select("rep").distinct()), "rep")
+            left = own.select("key", F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l"), F.col("root").alias("root_a"), F.col("hashes").alias("set_a"))
+            right = own.select("key", F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"), F.col("root").alias("root_b"), F.col("hashes").alias("set_b"))
+            shared = F.size(F.array_intersect("set_a", "set_b")) + 2
+            alike = (100 + percent) * shared >= percent * (F.col("l.n") + F.col("r.n"))
+            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _near("l", "r", percent) & alike).select("a", "b")
         else:
             pairs = placed.where(F.col("root") != F.col("other.root")).select(F.col("other.rep").alias("a"), F.col("rep").alias("b"))
         found = check(pairs)
