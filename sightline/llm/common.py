@@ -105,12 +105,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, al
 
 def wanted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in ids. A bitmap over hashed ids, of at most WANTED_BITS bits, is broadcast and stops
-    most other rows before the shuffle; the semi-join then settles the rest."""
+    most other rows before the shuffle; a join with the distinct ids then settles the rest (a semi-join would be moved below the bitmap)."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
     words = ids.select(place("doc_id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     rows = docs.withColumn("_p", place("doc_id")).withColumn("word", F.floor(F.col("_p") / 64))
     rows = rows.join(F.broadcast(words), "word").where(F.expr("bit_get(bits, cast(_p % 64 as int)) = 1"))
-    return rows.select(docs.columns).join(ids, "doc_id", "left_semi")
+    return rows.select(docs.columns).join(ids.select("doc_id").distinct(), "doc_id").select(docs.columns)
 
 
 def chunks(items: list, size: int) -> Iterable[list]:

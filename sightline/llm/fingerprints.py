@@ -22,6 +22,7 @@ SPACE = r"[\s\u0085   -     　]+"
 SECOND = "second half"
 #: Members of a bucket that compare with one copy of its representative; larger buckets get more copies.
 BUCKET_SHARE = 4096
+NO_ID = -(2**63)
 
 
 def canonical(text: str) -> Column:
@@ -88,7 +89,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     links = common.materialize(previous_ids(rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))))
     # Lengths are taken after the join, so that both uses of it share one shuffle of the texts.
     linked = rows.join(links.hint("shuffle_hash"), "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
-    heads = linked.where("prev_id is not null").select(F.col("prev_id").alias("id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
+    # A filter for NULL here would part the two uses; a row without a neighbour goes to an id that no document has.
+    heads = linked.select(F.coalesce("prev_id", F.lit(NO_ID)).alias("id"), F.expr("substring(text, 1, cast(prev_chars div 2 as int))").alias("head"))
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         heads = heads.groupBy("id").agg(F.min("head").alias("head"))
     pairs = linked.join(heads, F.col("doc_id") == F.col("id"), "left").select(
