@@ -46,7 +46,6 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESULT_SQL = "v AS (SELECT *, [source_a, source_b] AS source_ids FROM (SELECT " + ", ".join(f"{duck(e)} AS {n}" for n, e in RESULT.items()) + " FROM lineitem))"
-_subset = lambda s, d: result_rows(s, d).where("subset")
 _STATUS = "s(result_type, status_kind, priority) AS (VALUES " + ", ".join(f"('{t}', '{k}', '{p}')" for t, (k, p) in R.STATUS.items()) + ")"
 
 
@@ -180,12 +179,12 @@ SELECT l.result_id AS left_id, r.result_id AS right_id, l.family AS left_family,
 
 
 def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.exact_pairs(_subset(spark, sf_dir)).withColumn("shared", F.array_join("shared", ","))
+    return relate.exact_pairs(result_rows(spark, sf_dir)).withColumn("shared", F.array_join("shared", ","))
 
 
 def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = relate.exact_pairs(_subset(spark, sf_dir)).withColumn("shared", F.array_join("shared", ","))
-    wanted = _subset(spark, sf_dir).where("source_b = 'x-7'").agg(F.min("result_id")).first()[0]
+    pairs = relate.exact_pairs(result_rows(spark, sf_dir)).withColumn("shared", F.array_join("shared", ","))
+    wanted = result_rows(spark, sf_dir).where("source_b = 'x-7'").agg(F.min("result_id")).first()[0]
     return relate.candidates(pairs, wanted, 20)
 
 
@@ -202,7 +201,7 @@ LINKS_SQL = f"WITH RECURSIVE {_GRAPH}, {_ENDS} SELECT link_id, left_id, right_id
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relate.stored(relate.family_views(_subset(spark, sf_dir)))
+    return relate.stored(relate.family_views(result_rows(spark, sf_dir)))
 
 
 def _shown(views: DataFrame) -> DataFrame:
@@ -211,7 +210,7 @@ def _shown(views: DataFrame) -> DataFrame:
 
 def family_views_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views recomposed over selected results only."""
-    rows = _subset(spark, sf_dir)
+    rows = result_rows(spark, sf_dir)
     chosen = rows.where("sequence % 2 = 0").select("result_id").distinct()
     return _shown(relate.family_views(rows.join(chosen, "result_id", "left_semi")))
 
@@ -240,7 +239,7 @@ OVERVIEW_SQL = f"WITH RECURSIVE {_GRAPH}, {_ENDS}, w AS (SELECT left_family AS f
 
 def scope_to_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _views(spark, sf_dir)
-    kept, links = relate.scope_to_run(_subset(spark, sf_dir).where("sequence % 9 = 0"), views, relate.investigation_links(views))
+    kept, links = relate.scope_to_run(result_rows(spark, sf_dir).where("sequence % 9 = 0"), views, relate.investigation_links(views))
     return kept.select(F.col("view_id").alias("id"), F.lit("VIEW").alias("kind")).union(links.select("link_id", F.lit("LINK")))
 
 
@@ -249,7 +248,7 @@ SCOPE_SQL = f"WITH RECURSIVE {_GRAPH}, {_ENDS}, c AS (SELECT DISTINCT result_id
 
 def finding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _views(spark, sf_dir).select("view_id", F.explode("result_ids").alias("result_id"))
-    rows = _subset(spark, sf_dir).where("result_type = 'REVIEW_FINDING'").groupBy("result_id").agg(F.min("title").alias("title"))
+    rows = result_rows(spark, sf_dir).where("result_type = 'REVIEW_FINDING'").groupBy("result_id").agg(F.min("title").alias("title"))
     return relate.finding_groups(views.join(rows, "result_id")).withColumn("result_ids", F.sha2(F.array_join("result_ids", ","), 256))
 
 
@@ -275,7 +274,7 @@ QUERIES = {
     "filter_results": lambda s, d: R.filter_results(result_rows(s, d), **FILTERS).select("result_id", "created_us"), "result_lookup": result_lookup, "search_results": search_results, "public_refs": public_references,
     "page_before": _page("before"), "page_after": _page("after"), "latest_alerts": lambda s, d: R.latest_n(_unique(s, d)), "cursor_codec": cursor_codec, "alert_projection": lambda s, d: R.project_alerts(result_rows(s, d)),
     "status_projection": lambda s, d: R.project_status(result_rows(s, d)), "mechanism_summary": lambda s, d: R.mechanism_summary(result_rows(s, d)), "run_attribution": run_attribution, "limitations": limitations,
-    "exact_pairs": exact_pairs, "candidate_lookup": candidate_lookup, "family_views": lambda s, d: _shown(relate.family_views(_subset(s, d))), "family_views_subset": family_views_subset, "investigation_links": investigation_links,
+    "exact_pairs": exact_pairs, "candidate_lookup": candidate_lookup, "family_views": lambda s, d: _shown(relate.family_views(result_rows(s, d))), "family_views_subset": family_views_subset, "investigation_links": investigation_links,
     "relations_by_family": relations_by_family, "family_overview": family_overview, "scope_to_run": scope_to_run, "finding_groups": finding_groups,
     "chronology": lambda s, d: relate.chronology(result_rows(s, d).withColumn("findings", F.col("sequence") % 3)), "recon_targets": lambda s, d: relate.recon_targets(result_rows(s, d)), "run_conformance": run_conformance,
 }
