@@ -261,6 +261,14 @@ def test_more_kinds_and_redaction(spark):
     assert clean[4] == ("mail [EMAIL] or [PHONE].", 24) and clean[3][0] == "code 123-45-6789"
 
 
+def test_long_runs_do_not_overflow_the_stack(spark):
+    n = 100_000
+    long = {1: "7" * n, 2: "7 " * n, 3: "7-7 " * n}
+    rows = [(i, f"{t} +1 (988) 555-2485") for i, t in long.items()] + [(4, "x@y" + ".zz" * n)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: f"phone:{len(t) + 1}:{len(t) + 18}" for i, t in long.items()} | {4: f"email:0:{3 + 3 * n}"}
+
+
 def test_licence_scan_equals_brute_force(spark, docs, texts):
     t = license_scan.TEMPLATES
     made = {10_001: "x\n" + t["ISC"].replace(", ", ",\n") + "\ny", 10_002: t["MIT-permission"].replace("and", "&"), 10_003: "Foo\n\n" + t["MPL-2.0"].replace(" the ", " the\n") + "\n\nbar", 10_004: (t["Apache-2.0"] + " ") * 2}
