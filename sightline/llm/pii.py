@@ -3,7 +3,7 @@
 Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches that pass their check (Luhn for
 cards, part and digit counts for the others); they always stay. Further kinds are proposed by looser
 patterns and kept if their score reaches `threshold`: a bank account number needs mod-97, and
-identity numbers, access keys and hexadecimal tokens gain from words near them. DataFrame and SQL functions only.
+identity numbers, access keys and hexadecimal tokens gain from words in the characters before or after them. DataFrame and SQL functions only.
 
 Defined cases: a null or empty text has no spans; kinds may overlap each other; a repeated row gets the
 same answer twice; positions are code points, ends exclusive; an empty table gives an empty table;
@@ -98,8 +98,9 @@ def spans_of(kind: str, text: str = "text") -> Column:
 
     def scored(s: Column) -> Column:
         at = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        around = F.lower(F.substr(F.col(text), at + 1, s["start"] - at))
-        score = F.lit(base) + F.when(around.rlike(words), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        before = F.lower(F.substr(F.col(text), at + 1, s["start"] - at))
+        after = F.lower(F.substr(F.col(text), s["end"] + 1, F.lit(CONTEXT_CHARS)))
+        score = F.lit(base) + F.when(before.rlike(words) | after.rlike(words), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
     return F.when(F.col(text).rlike(needed), F.transform(found, scored)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))

@@ -269,6 +269,13 @@ def test_long_runs_do_not_overflow_the_stack(spark):
     assert got == {i: f"phone:{len(t) + 1}:{len(t) + 18}" for i, t in long.items()} | {4: f"email:0:{3 + 3 * n}"}
 
 
+def test_context_after_a_span(spark):
+    token = "0123456789abcdef" * 2 + "01234567"
+    df = spark.createDataFrame([(1, "123-45-6789 (SSN)"), (2, f"{token} is the api key"), (3, f"{token}{' ' * 40}api key"), (4, "123-45-6789, social")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.personal_data(df).collect()} == {1: "identity:0:11", 2: "token:0:40", 3: "", 4: "identity:0:11"}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[2] == "[TOKEN] is the api key"
+
+
 def test_licence_scan_equals_brute_force(spark, docs, texts):
     t = license_scan.TEMPLATES
     made = {10_001: "x\n" + t["ISC"].replace(", ", ",\n") + "\ny", 10_002: t["MIT-permission"].replace("and", "&"), 10_003: "Foo\n\n" + t["MPL-2.0"].replace(" the ", " the\n") + "\n\nbar", 10_004: (t["Apache-2.0"] + " ") * 2}
