@@ -6,6 +6,10 @@ has at most (2 - t) / t times the smaller one's bigrams. Before that, a document
 template's rarest bigrams: at t a match has more than t / (2 - t) of the template's bigrams, so it has
 one of any larger remainder. Both bounds are exact. All in one projection, without a shuffle or Python.
 
+What no matching line, paragraph or whole text covers is then searched for notices among other words: every
+window of words that begins and ends with a bigram of the template (others only lower the score) and has no more
+bigrams than the similarity allows. The best window counts once for each template.
+
 Defined cases: a null or empty text has no licence; among equal scores the first template by name wins;
 a repeated row gets the same answer twice; an empty table gives an empty table; columns other than
 doc_id and text are ignored; a null doc_id stays null.
@@ -53,15 +57,19 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def anchors(templates: dict[str, str], least: Fraction) -> list[str]:
+def anchors_of(templates: dict[str, str], least: Fraction) -> dict[str, list[str]]:
     """For each template its rarest bigrams, so many that every match holds one of them."""
     sets = {k: bigrams(plain(v)) for k, v in templates.items()}
-    out: set[str] = set()
-    for own in sets.values():
+    out = {}
+    for name, own in sets.items():
         needed = least / (2 - least) * len(own)
         spare = len(own) - (-(-needed.numerator // needed.denominator)) + 1
-        out |= set(sorted(own, key=lambda g: (sum(g in s for s in sets.values()), -len(g), g))[:spare])
-    return sorted(out)
+        out[name] = sorted(own, key=lambda g: (sum(g in s for s in sets.values()), -len(g), g))[:spare]
+    return out
+
+
+def anchors(templates: dict[str, str], least: Fraction) -> list[str]:
+    return sorted({g for own in anchors_of(templates, least).values() for g in own})
 
 
 def normalised(text: str) -> Column:
@@ -81,10 +89,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: Fraction
     rows = rows.withColumn("flat", flat).withColumn("maybe", F.col("flat").rlike(f" (?:{'|'.join(anchors(templates, least))}) "))
     none = F.expr("cast(array() as array<struct<dice:double,name:string>>)")
 
-    def grams(part: Column) -> Column:
+    def in_order(part: Column) -> Column:
         words = F.filter(F.split(part, r"\s+"), lambda w: w != "")
-        pairs = F.transform(F.filter(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-        return F.array_distinct(pairs)
+        return F.transform(F.filter(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+
+    def grams(part: Column) -> Column:
+        return F.array_distinct(in_order(part))
 
     def compared(own: Column) -> Column:
         """Scores of one candidate's bigrams against the templates that its size allows."""
@@ -101,6 +111,42 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: Fraction
     parts = F.filter(F.array_distinct(F.transform(F.concat(lines, blocks, F.array("flat")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))), lambda x: F.size(F.split(x, " ")) > 1)
     small = F.filter(F.transform(parts, grams), lambda g: F.size(g).between(1, largest))
     hits = F.when(F.col("maybe"), F.flatten(F.transform(small, compared))).otherwise(none)
+    rows = rows.select("doc_id", "maybe", "norm", "flat", hits.alias("whole"))
+
+    def matches(part: Column) -> Column:
+        own = grams(part)
+        return F.size(own).between(1, largest) & (F.size(compared(own)) > 0)
+
+    def uncovered(part: Column, inner: Column) -> Column:
+        return F.when(matches(part), F.lit(" | ")).otherwise(inner)
+
+    left = F.array_join(F.transform(blocks, lambda block: uncovered(block, F.array_join(F.transform(F.split(block, "\n"), lambda line: uncovered(line, line)), " "))), " ")
+    left = F.when(F.size("whole") == 0, F.col("flat")).when(matches(F.col("flat")), F.lit(" ")).otherwise(F.regexp_replace(left, r"\s+", " "))
+    rows = rows.select("doc_id", "maybe", "whole", F.when(F.col("maybe"), left).otherwise(" ").alias("left"))
+    rows = rows.select("*", F.when(F.col("left").rlike(f" (?:{'|'.join(anchors(templates, least))}) "), in_order(F.col("left"))).alias("grams"))
+
+    def window(name: str) -> Column:
+        """The best window's score against one template, null if none matches."""
+        grams_of = sets[name]
+        own, n, given = F.col("grams"), len(grams_of), F.array(*map(F.lit, grams_of))
+        needed, high = -(-n * ratio.denominator // ratio.numerator), n * ratio.numerator // ratio.denominator
+        at = F.filter(F.transform(own, lambda g, i: F.when(F.array_contains(given, g), i)), lambda i: i.isNotNull())
+
+        def scored(start: Column, end: Column) -> Column:
+            mine = F.array_distinct(F.slice(own, start + 1, end - start + 1))
+            both, size = F.size(F.array_intersect(mine, given)), F.size(mine)
+            return F.when(2 * den * both >= num * (size + n), 2.0 * both / (size + n))
+
+        def from_start(start: Column, k: Column) -> Column:
+            ends = F.filter(F.slice(at, k + 1, F.lit(high)), lambda end: end < start + high)
+            return F.when(F.size(ends) >= needed, F.array_max(F.transform(F.slice(ends, needed, F.lit(high)), lambda end: scored(start, end))))
+
+        dice = F.array_max(F.transform(at, from_start))
+        found = F.transform(F.filter(F.array(dice), lambda d: d.isNotNull()), lambda d: F.struct(d.alias("dice"), F.lit(name).alias("name")))
+        return F.when(F.col("left").rlike(f" (?:{'|'.join(anchors_by[name])}) "), found).otherwise(none)
+
+    anchors_by = anchors_of(templates, least)
+    hits = F.when(F.col("grams").isNull(), F.col("whole")).otherwise(F.concat("whole", *map(window, sets)))
     best = F.array_sort("hits", lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     return (
         rows.select("doc_id", hits.alias("hits")).select("doc_id", F.size("hits").cast("long").alias("n_matches"), F.get(best, F.lit(0)).alias("best"))

@@ -284,6 +284,22 @@ def test_licence_scan_equals_brute_force(spark, docs, texts):
         assert (r["license"], r["dice"], r["n_matches"]) == license_scan.brute_force(every[r["doc_id"]])
 
 
+def test_licence_notices_among_other_words(spark):
+    t, prose = license_scan.TEMPLATES, "Some words that stand before and have nothing to do with it. "
+    cases = {
+        1: ("This file is released under the MIT License.", "MIT", 1.0, 1),
+        2: ("Released under the MIT License. See LICENSE for details.", "MIT", 1.0, 1),
+        3: (prose * 20 + t["GPL-3.0"] + " " + prose * 20, "GPL-3.0", 1.0, 1),
+        4: (prose * 3 + t["MIT-permission"].replace("deal in", "deal freely in") + " " + prose * 3, "MIT-permission", None, 1),
+        5: (t["MIT"] + "\n" + prose + "Parts are " + t["CC-BY-4.0"] + " " + prose, "CC-BY-4.0", 1.0, 2),
+        6: (" ".join(f"w{i}" for i in range(60)) + " " + t["ISC"].replace(" ", "\n", 9) + " " + prose, "ISC", 1.0, 1),
+        7: (prose + "It was released under a licence that the MIT people like.", None, None, 0),
+    }
+    for r in license_scan.scan(spark.createDataFrame([(i, c[0]) for i, c in cases.items()], "doc_id long, text string")).collect():
+        _, license, dice, n = cases[r["doc_id"]]
+        assert (r["license"], r["n_matches"]) == (license, n) and (dice is None or r["dice"] == dice), r
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
