@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sightline.llm import common
 
 #: At most so many labelled documents are vectors to vote with: the bound of the broadcast.
-FIT_DOCS = 2048
+FIT_DOCS = 4096
 RANK, K, BLOCK = 48, 15, 1024
 THRESHOLD = 0.3
 REPEAT_WEIGHT = 1.5

@@ -108,6 +108,16 @@ def test_classifiers_on_held_out_rows(spark):
         assert scored.where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
 
 
+def test_classifier_votes_with_4096_labels(spark):
+    rng = random.Random(7)
+    n = 5200
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(999)}" for _ in range(8))) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    fit = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n))
+    space = quality_knn.train(docs, labels)
+    assert 4000 < len(space.vectors) <= min(4096, fit) and len(space.vectors) == len(space.labels)
+
+
 def test_toxicity_folding_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 1.0, "trash": 2.0, "stupid": 1.5})
     assert lex.hits(toxicity.fold("IDІ0T id1ot! $tupid tr@sh")) == [1.0, 1.0, 1.5, 2.0]
