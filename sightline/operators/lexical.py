@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.relate import stored
+
 
 def ngrams(text: str, sizes: tuple[int, ...] = (2, 3, 4, 5)) -> Column:
     """All character n-grams of a text, with repeats."""
@@ -44,7 +46,8 @@ def train_lexical(rows: DataFrame, text: str = "text", label: str = "label", voc
     counted = counter.transform(rows)
     n = rows.count()
     known = F.transform(vector_to_array("_counts"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
-    df = dict(counted.select(F.explode(F.array_distinct("_grams")).alias("g")).groupBy("g").count().where(F.col("count") >= min_df).collect())
+    kept = rows.sparkSession.createDataFrame([(g,) for g in counter.vocabulary], "g string")
+    df = dict(counted.select(F.explode(F.array_distinct("_grams")).alias("g")).join(kept, "g", "left_semi").groupBy("g").count().collect())
     import math
 
     idf = ElementwiseProduct(scalingVec=Vectors.dense([math.log((1 + n) / (1 + df.get(g, 0))) + 1 for g in counter.vocabulary]), inputCol="_tf", outputCol="_tfidf")
@@ -96,8 +99,15 @@ def score_quantiles(scored: DataFrame, by: str) -> DataFrame:
 
 
 def model_delta(rows: DataFrame, samples: int) -> DataFrame:
-    """Differences of two scores on evenly spaced rows in the order of their key. rows: key, old, new."""
-    n = rows.count()
+    """Differences of two scores on evenly spaced rows in the order of their key. rows: key, old, new.
+
+    Keys are range-partitioned; only one row for each partition meets in a single task.
+    """
+    parts = stored(rows.repartitionByRange("key").withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    starts = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_start"))
+    n = parts.count()
     step = max(1, n // samples)
-    ranked = rows.withColumn("_n", F.row_number().over(Window.orderBy("key")) - 1)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("key"))
+    ranked = parts.withColumn("_i", inside).join(F.broadcast(starts), "_part").withColumn("_n", F.col("_start") + F.col("_i") - 1)
     return ranked.where((F.col("_n") % step == 0) & (F.floor(F.col("_n") / step) < samples)).select("key", "old", "new", F.round(F.col("new") - F.col("old"), 9).alias("delta"))
