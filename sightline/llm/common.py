@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
 ASCII_SPACE = " \t\n\r\x0b\f"
-#: Rows for each Arrow batch that goes to a Python worker: bounds a worker's memory on long texts.
-BATCH_ROWS = 512
+#: Rows and bytes of the texts that a Python worker takes at once: bound its memory, on long texts too.
+BATCH_ROWS, BATCH_BYTES = 512, 8_000_000
 
 #: Bits of the bitmap that tells which texts may be needed: 2 MB at most, whatever the number of texts.
 WANTED_BITS = 2**24
@@ -81,6 +81,20 @@ def text_rows(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 
+def bounded(batches: Iterable) -> Iterable:
+    """The Arrow batches of a task, cut so that each has at most BATCH_ROWS rows, and one row or at most BATCH_BYTES."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            todo = [b.slice(at, BATCH_ROWS)]
+            while todo:
+                some = todo.pop()
+                if some.num_rows > 1 and some.nbytes > BATCH_BYTES:
+                    half = some.num_rows // 2
+                    todo += [some.slice(half), some.slice(0, half)]
+                else:
+                    yield some
+
+
 def fold_of(mod: int, doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod `mod`: which rows labels may be learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

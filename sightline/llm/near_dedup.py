@@ -1,16 +1,18 @@
 """MinHash near-duplicates: banded candidates, odd sketches, exact confirmation, connected components.
 
 1. Each text becomes its set of 5-word shingles (64-bit hashes), a digest of that set, BANDS bands of ROWS MinHash
-   values, and an odd sketch: MinHash samples (the least hash of each of RANGES ranges) folded into a parity bitmap.
+   values, and two odd sketches: MinHash samples (the least hash of each of 2^20 and of 2^12 ranges) folded into parity bitmaps.
 2. Texts with equal sets form a class; its smallest id stands for it, so copies never meet again.
 3. In every band bucket the members are compared with a hub, not with each other. Pairs whose sketches'
    XOR has too many bits for the similarity are dropped; the others are confirmed on the full sets.
-4. Confirmed links give components (large-star and small-star steps). Buckets whose members are all in one
-   component are done; in the others another hub is tried, and what then is still apart is compared inside its buckets,
-   only across components, by sketches, sizes and small hashes in the join condition. So no link is given up.
+4. Confirmed links give components (large-star and small-star steps). Buckets whose members are all in one component are
+   done. In the others, whatever is outside the bucket's largest component meets the bucket's members in blocks of BLOCK;
+   only ids and the fine sketch take part, and only pairs that pass size and sketch come out, each once for all its buckets.
+   Those are confirmed like the first, which gives the final components. So no link is given up.
 
-At a similarity of 0.75 a pair meets in no bucket with probability (1 - 0.75^4)^32 = 5e-6, and the
-sketch bound, which lies well above what such a pair shows (tests measure it), loses about as few.
+At a similarity of 0.75 a pair meets in no bucket with probability (1 - 0.75^4)^32 = 5e-6. A set of up to some thousand
+shingles goes into the fine sketch whole, where its XOR never has more bits than the sets differ in; the coarse one serves
+large sets. Both bounds lie well above what a pair at the similarity shows (tests measure it from 5 to 200,000 shingles).
 
 Defined cases: a null or empty text, or one without words, has 0 shingles and is linked with nothing
 (component_id is its own id); fewer than 5 words form one shingle; rows with the same doc_id and text get
@@ -30,10 +32,11 @@ from sightline.llm import common
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-RANGE_BITS, SKETCH_BITS = 12, 2048
-RANGES = 2**RANGE_BITS
-HUB_ROUNDS = 2
-SIGNATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>, filled int"
+#: Bits of a sketch, and of the number of a range: of the fine sketch and of the coarse one.
+SKETCH_BITS, FINE, COARSE = 2048, 20, 12
+#: Members of a bucket that meet in one block; pairs for one copy of a hub's text.
+BLOCK, HUB_SHARE = 512, 512
+SIGNATURES = "doc_id long, n_shingles long, set_id binary, bands array<long>, fine array<long>, fine_filled int, coarse array<long>, coarse_filled int"
 
 _rng = np.random.RandomState(20011)
 _MUL = (_rng.randint(0, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -81,9 +84,9 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Parity bitmap of the least hash in each of RANGES equal ranges, and how many ranges have one. hashes: sorted."""
-    place = (hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+def odd_sketch(hashes: np.ndarray, range_bits: int = COARSE) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the least hash in each of 2^range_bits equal ranges, and how many ranges have one. hashes: sorted."""
+    place = hashes >> np.uint64(64 - range_bits)
     least = hashes[np.concatenate([[True], place[1:] != place[:-1]])]
     bit = (_mix(least * _P) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
     parity = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
@@ -92,22 +95,23 @@ def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     common.ship(docs.sparkSession)
+    names = [c.split()[0] for c in SIGNATURES.split(", ")]
 
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in common.bounded(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketch, filled = [None] * len(sets), [None] * len(sets), [0] * len(sets)
+            keys, sketches = [None] * len(sets), [[None, 0, None, 0] for _ in sets]
             if full:
                 for i, x in zip(full, band_keys(np.stack([minhash(sets[i]) for i in full])).tolist()):
                     keys[i] = x
-                    sketch[i], filled[i] = odd_sketch(sets[i])
+                    sketches[i] = [*odd_sketch(sets[i], FINE), *odd_sketch(sets[i], COARSE)]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            lists, types = list(zip(*sketches)) or [()] * 4, (pa.list_(pa.int64()), pa.int32()) * 2
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(filled, pa.int32())],
-                ["doc_id", "n_shingles", "set_id", "bands", "sketch", "filled"],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, lists, types)], names
             )
 
     return common.text_rows(docs).mapInArrow(run, SIGNATURES)
@@ -118,75 +122,67 @@ def _bits(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def most_bits(n: Column, m: Column, filled: Column, percent: int) -> Column:
+def most_bits(n: Column, m: Column, filled: Column, percent: int, range_bits: int) -> Column:
     """The most bits that may differ between the sketches of two sets of n and m shingles that reach the similarity.
 
     A union of u shingles fills ranges * (1 - exp(-u / ranges)) ranges, and in the share j of them both
     sets have the same least hash; the other samples of either set are folded into one of the sketches only.
     """
-    j, ranges, bits = percent / 100, float(RANGES), float(SKETCH_BITS)
+    j, ranges, bits = percent / 100, float(2**range_bits), float(SKETCH_BITS)
     union = (n + m) / F.lit(1 + j)
-    both = ranges * (1 - F.exp(-union / ranges))
+    both = -ranges * F.expm1(-union / ranges)
     spread = 2 * F.sqrt(j * (1 - j) * both * F.greatest(1 - both / union, F.lit(0.0)))
-    folded = filled - 2 * j * both + 7 * spread + 5
+    folded = filled - 2 * j * both + 7 * spread + 4
     shown = bits / 2 * (1 - F.exp(-2 * folded / bits)) + 4 * (folded / F.lit(bits**0.5) + 1)
     return F.least(folded, shown)
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """What sketches and set sizes say: may the pair reach the similarity?"""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return sizes & (_bits(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= most_bits(n, m, F.col(f"{a}.filled") + F.col(f"{b}.filled"), percent))
+def similar_sizes(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def passes(a: str, b: str, kind: str, percent: int) -> Column:
+    """May the pair reach the similarity by its sketches of one kind ('fine' or 'coarse')?"""
+    range_bits = {"fine": FINE, "coarse": COARSE}[kind]
+    x, y = F.col(a), F.col(b)
+    most = most_bits(x["n"], y["n"], x[f"{kind}_filled"] + y[f"{kind}_filled"], percent, range_bits)
+    return _bits(x[kind], y[kind]) <= most
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool = True) -> DataFrame:
-    """Of the pairs (a, b), those whose full shingle sets reach the similarity. repeated: may docs have rows with equal ids?"""
+    """Of the pairs (a, b), those whose full shingle sets reach the similarity. repeated: may docs have rows with equal ids?
+
+    The text of b travels with its pair; that of a goes once to each share of HUB_SHARE of its pairs and is read first there.
+    """
     texts = common.text_rows(docs.where(F.col("doc_id").isNotNull()))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = common.materialize(common.wanted_rows(texts, ids))
-    if repeated:
-        texts = texts.groupBy("doc_id").agg(F.first("text").alias("text"))
-    joined = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    )
+    own = texts.groupBy("doc_id").agg(F.first("text").alias("text")) if repeated else texts
+    hubs = pairs.groupBy("a").agg((1 + F.count("*") / HUB_SHARE).cast("int").alias("copies"))
+    shares = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("share"))
+    members = shares.join(own.withColumnRenamed("doc_id", "b"), "b").select("a", "share", "b", "text")
+    heads = hubs.join(own.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = heads.unionByName(members).repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
 
     def run(batches):
-        kept: dict[int, np.ndarray] = {}
-        for b in batches:
-            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
+        hub = np.zeros(0, np.uint64)
+        for x in common.bounded(batches):
             ok = []
-            for x, y, s, t in zip(a, c, b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
-                both = []
-                for key, text in ((x, s), (y, t)):
-                    if key not in kept:
-                        if len(kept) > 64:
-                            kept.clear()
-                        kept[key] = shingles(text)
-                    both.append(kept[key])
-                inter = len(np.intersect1d(*both, assume_unique=True))
-                ok.append(100 * inter >= percent * (len(both[0]) + len(both[1]) - inter))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = common.materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+            for b, text in zip(x.column("b").to_pylist(), x.column("text").to_pylist()):
+                own = shingles(text)
+                if b is None:
+                    hub = own
+                    ok.append(False)
+                else:
+                    inter = len(np.intersect1d(hub, own, assume_unique=True))
+                    ok.append(100 * inter >= percent * (len(hub) + len(own) - inter))
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    out = common.materialize(dealt.mapInArrow(run, "a long, b long"))
     common.drop_table(texts)
     return out
 
 
-def small_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, hashes): 32-bit shingle hashes of the named texts. Equal shingles have equal hashes, so a join condition on
-    them (with room for two clashes inside a set) passes every pair that confirm() would."""
-    texts = common.wanted_rows(common.text_rows(docs.where(F.col("doc_id").isNotNull())), reps.select(F.col("rep").alias("doc_id")))
-
-    def run(batches):
-        for b in batches:
-            sets = [np.unique((shingles(t) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["rep", "hashes"])
-
-    return texts.mapInArrow(run, "rep long, hashes array<int>").dropDuplicates(["rep"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the smallest node that is reachable.
 
@@ -206,61 +202,78 @@ def components(edges: DataFrame) -> DataFrame:
         step = after
         now = tuple(step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark or not now[0]:
-            return step.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = step.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._sightline_path = step._sightline_path
+            return out
         mark = now
 
 
+def candidates_apart(in_buckets: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket, are in different components, and may be similar by sizes and fine sketch.
+
+    In each bucket the members outside its largest component meet all members, in blocks that are dealt by (key, block).
+    """
+    placed = common.materialize(in_buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = (
+        parts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), (1 + F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        .where("roots > 1").drop("roots")
+    )
+    own = placed.join(mixed, "key").join(reps.select("rep", F.struct("n", "fine", "fine_filled").alias("x")), "rep")
+    rows = common.materialize(own.select("key", "blocks", "rep", "root", (F.col("root") == F.col("main")).alias("major"), "x"))
+    common.drop_table(placed)
+    left = rows.where("not major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("x").alias("l"))
+    right = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("b"), F.col("root").alias("root_b"), "major", F.col("x").alias("r"))
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("major") | (F.col("a") < F.col("b")))
+    near = apart & similar_sizes(F.col("l.n"), F.col("r.n"), percent) & passes("l", "r", "fine", percent)
+    pairs = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = common.materialize(pairs.distinct())
+    common.drop_table(rows)
+    return out
+
+
 def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures of all rows; classes: set_id, rep; components: node, root over the classes' representatives)."""
+    stored = ("n_shingles", "bands", "fine", "fine_filled", "coarse", "coarse_filled")
     sig = common.materialize(signatures(docs))
     reps = common.materialize(
-        sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch", "filled"), "doc_id").alias("x"))
-        .select("set_id", "rep", F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch", "x.filled")
+        sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(*stored), "doc_id").alias("x"))
+        .select("set_id", "rep", F.col("x.n_shingles").alias("n"), *(f"x.{c}" for c in stored[1:]))
     )
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     in_buckets = common.materialize(members.join(buckets, "key").select("key", "rep", "hub", "size"))
     repeated = not sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    sketches = reps.select("rep", "n", "sketch", "filled")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        a, b = sketches.select(F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l")), sketches.select(F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"))
-        near = pairs.distinct().join(a, "a").join(b, "b").where(_near("l", "r", percent)).select("a", "b")
-        return confirm(common.materialize(near), docs, percent, repeated)
-
-    roots = components(check(in_buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))))
-    apart = in_buckets.where("size > 2").select("key", "rep")
-    for turn in range(1, HUB_ROUNDS + 1):
-        last = turn == HUB_ROUNDS
-        placed = apart.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = placed.groupBy("key").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"),
-            F.min_by(F.struct("rep", "root"), F.xxhash64("rep", "key", F.lit(turn))).alias("other"),
-        ).where("lo < hi")
-        placed = common.materialize(placed.join(mixed, "key"))
-        if placed.isEmpty():
-            break
-        if last:
-            own = placed.join(sketches, "rep").join(small_sets(docs, placed.select("rep").distinct()), "rep")
-            left = own.select("key", F.col("rep").alias("a"), F.struct("n", "sketch", "filled").alias("l"), F.col("root").alias("root_a"), F.col("hashes").alias("set_a"))
-            right = own.select("key", F.col("rep").alias("b"), F.struct("n", "sketch", "filled").alias("r"), F.col("root").alias("root_b"), F.col("hashes").alias("set_b"))
-            shared = F.size(F.array_intersect("set_a", "set_b")) + 2
-            alike = (100 + percent) * shared >= percent * (F.col("l.n") + F.col("r.n"))
-            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") < F.col("root_b")) & _near("l", "r", percent) & alike).select("a", "b")
-        else:
-            pairs = placed.where(F.col("root") != F.col("other.root")).select(F.col("other.rep").alias("a"), F.col("rep").alias("b"))
-        found = check(pairs)
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-        apart = placed.select("key", "rep")
-    return sig, reps.select("set_id", "rep"), roots
+
+    def check(pairs: DataFrame, *kinds: str) -> DataFrame:
+        """The confirmed ones of distinct pairs, after sizes and the sketches of these kinds."""
+        side = F.struct("n", *(c for k in kinds for c in (k, f"{k}_filled")))
+        a, b = reps.select(F.col("rep").alias("a"), side.alias("l")), reps.select(F.col("rep").alias("b"), side.alias("r"))
+        near = pairs.join(a, "a").join(b, "b").where(similar_sizes(F.col("l.n"), F.col("r.n"), percent))
+        for kind in kinds:
+            near = near.where(passes("l", "r", kind, percent))
+        near = common.materialize(near.select("a", "b"))
+        found = confirm(near, docs, percent, repeated)
+        common.drop_table(near)
+        return found
+
+    first = check(in_buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "fine", "coarse")
+    roots = components(first)
+    apart = candidates_apart(in_buckets.where("size > 2").select("key", "rep"), reps, roots, percent)
+    second = check(apart, "coarse")
+    if not second.isEmpty():
+        joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+        common.drop_table(roots)
+        roots = joined
+    for t in (in_buckets, first, apart, second):
+        common.drop_table(t)
+    return sig, reps, roots
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     sig, classes, roots = near_classes(docs, percent)
-    placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
+    placed = classes.select("set_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(placed, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -193,20 +193,24 @@ def test_near_duplicates_equal_brute_force(spark, texts):
 
 
 def test_sketch_bound_keeps_pairs_at_the_similarity(spark):
+    """Pairs exactly at 0.75: none may be lost by either sketch, from 5 to 200,000 shingles."""
     rng = np.random.default_rng(3)
     rows = []
-    for n in (5, 20, 60, 150, 400, 1500):
-        for _ in range(150):
+    for n, times in ((5, 200), (20, 400), (60, 400), (150, 400), (400, 300), (1500, 200), (5000, 100), (20000, 40), (200000, 6)):
+        for _ in range(times):
             shared = math.ceil(1.5 * n / 1.75)
-            h = rng.integers(0, 2**63, 2 * n - shared, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            h = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            rng.shuffle(h)
+            h = h[: 2 * n - shared]
             sides = []
             for s in (np.sort(h[:n]), np.sort(h[n - shared :])):
-                sketch, filled = near_dedup.odd_sketch(s)
-                sides.append((len(s), [int(x) for x in sketch], filled))
-            rows.append((sides[0], sides[1]))
-    side = "struct<n:long,sketch:array<long>,filled:int>"
+                fine, coarse = near_dedup.odd_sketch(s, near_dedup.FINE), near_dedup.odd_sketch(s, near_dedup.COARSE)
+                sides.append((len(s), fine[0].tolist(), fine[1], coarse[0].tolist(), coarse[1]))
+            rows.append(tuple(sides))
+    side = "struct<n:long,fine:array<long>,fine_filled:int,coarse:array<long>,coarse_filled:int>"
     df = spark.createDataFrame(rows, f"l {side}, r {side}")
-    assert df.where(near_dedup._near("l", "r", 75)).count() == len(rows)
+    assert df.where(near_dedup.passes("l", "r", "fine", 75)).count() == len(rows)
+    assert df.where(near_dedup.passes("l", "r", "coarse", 75)).count() == len(rows)
 
 
 def test_repeated_rows_stay_once(spark):
