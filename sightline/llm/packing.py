@@ -16,6 +16,7 @@ and text are ignored; a null doc_id stays null.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -35,7 +36,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 _workers: dict = {}
 #: Parts of plain Latin letters, of ASCII marks, or of both: one word or mark run of the vocabulary's own splitting each.
-_SIMPLE = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = rb"[!-&(-/:-@\[-`{-~]"
+#: In UTF-8 the letters are a-z and, after 0xC3, the bytes 0x9F to 0xBF but 0xB7; no other lead byte is among them.
+_SIMPLE = re.compile(rb"[a-z\x9f-\xb6\xb8-\xbf\xc3]*%b*" % _MARKS).fullmatch
+#: Kinds of bytes in such parts: 0 between parts, 1 letters, 2 marks.
+_KIND = np.ones(256, np.int8)
+_KIND[32], _KIND[[b for b in range(33, 127) if re.match(_MARKS, bytes([b]))]] = 0, 2
+#: Byte-level vocabularies show bytes that are no visible Latin-1 character as the characters from 256 on, in the bytes' order.
+_SHOWN = np.arange(256, dtype="<u4")
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SHOWN[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+_SHOWN[32] = 32
 #: A stop or comma that ends a run of marks is not a part of its own.
 _MARK_RUN = re.compile(r"[.,](?<=(?:[^\w \t\n\r\f\v]|_).)(?=\s|\Z)")
 #: Letters whose lower case depends on more than the letter, and strings that the library finds before it lowers.
@@ -53,6 +64,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache_size = Tokenizer.from_file(path), cache_size
+        # For parts that are plain already: the same merges without normalisation and without the pattern that cuts words.
+        bare = json.loads(self.tok.to_str())
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.bare.model._resize_cache(0)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab()
@@ -64,21 +80,22 @@ class Encoder:
 
     def learn(self, parts: list[bytes]) -> None:
         """Encode simple parts as one text, cut where their words end; the others one by one."""
-        for some in common.chunks(parts, 2048):
-            simple, texts, ends = [], [], [0]
-            for part in some:
-                text = part.decode()
-                found = _SIMPLE.fullmatch(text)
-                if found:
-                    simple.append(part)
-                    texts.append(text)
-                    ends.append(ends[-1] + (found[1] != "") + (found[2] != ""))
-                else:
-                    self.young[part] = self.ids(text)
-            ids = np.array(self.tok.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
-            stops = (4 * np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]))[ends].tolist()
+        simple = list(filter(_SIMPLE, parts))
+        if len(simple) < len(parts):
+            self.young.update((p, self.ids(p.decode())) for p in set(parts).difference(simple))
+        for some in common.chunks(simple, 4096):
+            raw = b" ".join(some)
+            chars = np.frombuffer(raw, np.uint8)
+            kind = _KIND[chars]
+            border = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+            # Where a part's words end: after each space that was there; a border is another end inside its part.
+            spaces = np.flatnonzero(kind == 0)
+            ends = np.arange(len(some)) + 1 + np.searchsorted(border, np.append(spaces, len(chars)))
+            shown = _SHOWN[np.insert(chars, border, 32)].tobytes().decode("utf-32-le")
+            ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1))[ends - 1].tolist()
             raw = ids.tobytes()
-            self.young.update(zip(simple, (raw[i:j] for i, j in zip(stops, stops[1:]))))
+            self.young.update(zip(some, (raw[i:j] for i, j in zip([0, *stops], stops))))
 
     def parts_of(self, text: str) -> list[bytes] | None:
         """Lower-cased parts of a text whose ids, one after another, are the text's; None where that does not hold."""
@@ -121,7 +138,7 @@ def cut_pieces(docs: DataFrame, path: str, tokens: int = TOKENS, end_id: int = E
 
         own = worker(path)
         task, ranks = TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
+        for b in common.bounded(batches):
             rows, owners = [], []
             for i, ids in enumerate(own.encode(b.column("text").to_pylist())):
                 ids += end
