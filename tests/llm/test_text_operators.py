@@ -134,8 +134,12 @@ def test_token_counts_equal_the_library(spark, docs, texts):
     for t in made:
         assert sum(token_counts.lengths_of(token_counts.pretokens(t), path)) - t.count("\n") == len(sp.encode(t))
     codec = piece_codec.Codec(path)
-    for t, ids in zip(made, codec.encode(made)):
-        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t) and codec.decode(ids) == t.replace("▁", " ")
+    got = codec.encode(made)
+    for t, ids, back in zip(made, got, codec.decode(got)):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t) and back == t.replace("▁", " ")
+    long = ["x" * 30_000, "word" * 20_000 + "é" * 5000, "\x01" * 2000, "日本" * 3000, "\n" * 5000, "aaaa bbbb" * 9000]
+    for t, ids in zip(long, codec.encode(long)):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t)
     for r in token_counts.token_counts(docs, path).collect():
         n = len(sp.encode(texts[r["doc_id"]]))
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 4096)
