@@ -4,6 +4,10 @@ Every document gets base counts (words, symbols, duplicate lines, words in repea
 and the share of its words that stand in lines which the Viterbi path calls content. It is kept if
 no base rule fails and that share is at least `min_content`.
 
+Labels are given for documents, so lines get theirs by what they look like: a combination of features that is more frequent
+among the lines of low-quality documents than among those of others marks boilerplate, in documents of either kind. The
+field is then fitted on those line labels.
+
 Defined cases: a null or empty text has no words, so it fails the base rule; a repeated row gets the
 same answer twice; ties between paths go to content; an empty table gives an empty table; columns of
 the input other than doc_id and text are ignored, whatever their names. A null doc_id stays null.
@@ -31,8 +35,13 @@ FEATURES = (
     "capitals_30pct", "capitals_60pct", "shouting", "digits_20pct", "neighbours_equal", "few_distinct",
     "seen_before", "ends_sentence", "digit_inside_short", "markup",
 )
-#: The model is fitted on at most so many labelled documents, and so many lines of each.
-FIT_DOCS, FIT_LINES = 1500, 64
+#: The model is fitted on at most so many labelled documents; of each, on at most DOC_BLOCKS blocks of BLOCK_LINES lines, spread evenly
+#: from the first to the last. Features are taken from the whole text. This bounds the fitting only.
+FIT_DOCS, DOC_BLOCKS, BLOCK_LINES = 1500, 8, 32
+#: Lines that a combination's rate in both kinds of documents counts for before it is seen.
+SMOOTH = 100
+#: Words of a run in which distinct words are counted.
+RUN = 64
 MIN_CONTENT = 0.5
 WINDOW = 8
 _SYMBOLS, _UPPER, _LOWER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
@@ -80,7 +89,7 @@ def line_features(lines: list[bytes]) -> list[tuple[list[int], int]]:
         if n > 3:
             if sum(map(eq, words, words[1:])) * 5 >= n:
                 got.append(12)
-            if len(set(words)) * 2 < n and n < 400:
+            if sum(len(set(words[i : i + RUN])) for i in range(0, n, RUN)) * 2 < n:
                 got.append(13)
         if line in seen:
             got.append(14)
@@ -120,7 +129,7 @@ def fit_crf(seqs: list[tuple[list[list[int]], list[int]]], steps: int = 100, rat
     if not seqs:
         return w, tr
     n, longest = len(seqs), max(len(s[1]) for s in seqs)
-    x, y, on = np.zeros((n, longest, nf), np.float32), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    x, y, on = np.zeros((n, longest, nf), np.float32), np.zeros((n, longest), np.int8), np.zeros((n, longest), bool)
     for i, (feats, labels) in enumerate(seqs):
         for t, f in enumerate(feats):
             x[i, t, f] = 1
@@ -154,28 +163,42 @@ def fit_crf(seqs: list[tuple[list[list[int]], list[int]]], steps: int = 100, rat
     return w, tr
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS):
-    """Fit the field on a bounded sample of labelled documents (fit_docs of them, FIT_LINES lines of each).
+def blocks_of(lines: list[int]) -> list[list[int]]:
+    """At most DOC_BLOCKS blocks of at most BLOCK_LINES lines, the first and the last among them."""
+    every = list(common.chunks(lines, BLOCK_LINES))
+    if len(every) <= DOC_BLOCKS:
+        return every
+    return [every[i * (len(every) - 1) // (DOC_BLOCKS - 1)] for i in range(DOC_BLOCKS)]
 
-    Lines carry no labels of their own, so a line counts as boilerplate if its document is labelled
-    as low quality and no high-quality document of the sample has the same line.
-    """
+
+def line_labels(docs: list[tuple[int, list[list[int]]]]) -> list[list[list[int]]]:
+    """1 (content) or 0 (boilerplate) for each line, given each document's label and its blocks of feature sets (as bit masks)."""
+    seen = [Counter(), Counter()]
+    for label, blocks in docs:
+        seen[label].update(m for block in blocks for m in block)
+    lines = [sum(c.values()) for c in seen]
+    total = sum(lines)
+
+    def rate(label: int, m: int) -> float:
+        return (seen[label][m] + SMOOTH * (seen[0][m] + seen[1][m]) / total) / (lines[label] + SMOOTH)
+
+    content = {m: int(not lines[0] or (lines[1] > 0 and rate(1, m) >= rate(0, m))) for m in {*seen[0], *seen[1]}}
+    return [[[content[m] for m in block] for block in blocks] for _, blocks in docs]
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS):
+    """Fit the field on a bounded sample of labelled documents (at most fit_docs of them)."""
     common.ship(docs.sparkSession)
     rows = common.training_rows(docs, labels, "quality", fit_docs)
 
     def lines(batches):
         for b in batches:
-            feats, marks = [], []
-            for text in b["text"]:
-                own = [x for x in text.encode().split(b"\n") if x.split()][:FIT_LINES]
-                feats.append([f for f, _ in line_features(own)])
-                marks.append([x.strip().decode() for x in own])
-            yield pd.DataFrame({"label": b["label"], "feats": feats, "marks": marks})
+            masks = [[sum(1 << f for f in found) for found, _ in line_features(t.encode().split(b"\n"))] for t in b["text"]]
+            yield pd.DataFrame({"label": b["label"], "blocks": [blocks_of(m) for m in masks]})
 
-    got = rows.select("text", "label").mapInPandas(lines, "label int, feats array<array<int>>, marks array<string>").collect()
-    good = {m for r in got if r["label"] == 1 for m in r["marks"]}
-    seqs = [(r["feats"], [1 if r["label"] == 1 or m in good else 0 for m in r["marks"]]) for r in got]
-    return fit_crf(sorted(seqs, key=str))
+    got = sorted((int(r["label"] > 0), r["blocks"]) for r in rows.select("text", "label").mapInPandas(lines, "label int, blocks array<array<int>>").toLocalIterator())
+    features = lambda m: [f for f in range(len(FEATURES)) if m >> f & 1]
+    return fit_crf([([features(m) for m in block], own) for (_, blocks), marks in zip(got, line_labels(got)) for block, own in zip(blocks, marks)])
 
 
 def repeat_words(words: list[list[bytes]]) -> list[int]:
@@ -247,7 +270,7 @@ def apply_rules(docs: DataFrame, model, min_content: float = MIN_CONTENT) -> Dat
 
     def run(batches):
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for b in batches:
+        for b in common.bounded(batches):
             rows = rule_rows(b.column("text").to_pylist(), weights, trans, min_content)
             columns = list(zip(*rows)) or [[] for _ in names[1:]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _TYPES))], names)
