@@ -1,18 +1,20 @@
 """Quality classifier: nearest-neighbour voting over labelled latent-semantic vectors.
 
-A text becomes weighted counts of pairs of character kinds plus a few terms for repetition; a
-truncated singular value decomposition of the labelled sample gives the latent space. The sample's
+A text becomes weighted counts of its words (hashed to WORD_TERMS terms), of pairs of character kinds, and a few terms for repetition;
+a truncated singular value decomposition of the labelled sample gives the latent space. The sample's
 vectors (at most FIT_DOCS x RANK floats) are broadcast, every document's cosine with all of them is
 computed in blocks, and the K nearest vote with their similarity as weight.
 
 Defined cases: a null or empty text has no direction, so its score is the sample's share of label 1;
 ties in similarity go to the lower sample row; a repeated row gets the same score twice; without any
-usable label all scores are 0.5; an empty table gives an empty table; columns other than doc_id and
+usable label all scores are 0.5; cosines are compared to DECIMALS places; an empty table gives an empty table; columns other than doc_id and
 text are ignored. A null doc_id stays null and counts as not held out.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from operator import eq
 
 import numpy as np
@@ -25,29 +27,34 @@ from sightline.llm import common
 
 #: At most so many labelled documents are vectors to vote with: the bound of the broadcast.
 FIT_DOCS = 4096
-RANK, K, BLOCK = 48, 15, 1024
+WORD_TERMS, RANK, K, BLOCK, DECIMALS = 1024, 64, 15, 1024, 5
 THRESHOLD = 0.3
 REPEAT_WEIGHT = 1.5
 SCHEMA = "doc_id long, score double, predicted int, nearest double"
 
+#: Words: runs of letters, digits not among them, as UTF-8 in lower case.
+_WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _KINDS = np.zeros(256, np.int64)
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58], _KINDS[128:] = 1, 2, 3, 4
 for _i, _c in enumerate(b" \t\n\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _KINDS[_c] = 5 + _i
 N_KINDS = int(_KINDS.max()) + 1
-N_TERMS = N_KINDS * N_KINDS
+N_PAIRS = N_KINDS * N_KINDS
+N_TERMS = N_PAIRS + WORD_TERMS
 REPEATS = ("same_as_neighbour", "four_words_again", "line_again", "few_words")
 
 
 def term_counts(text: str) -> np.ndarray:
-    """1 + ln(count) of each pair of character kinds; then the repetition terms as shares."""
+    """ln(1 + count) of each pair of character kinds and of each word term; then the repetition terms as shares."""
     out = np.zeros(N_TERMS + len(REPEATS), np.float32)
     raw = text.encode()
     if not raw:
         return out
     kinds = _KINDS[np.frombuffer(raw, np.uint8)]
-    counts = np.bincount(kinds[:-1] * N_KINDS + kinds[1:], minlength=N_TERMS)
-    out[:N_TERMS] = np.log1p(counts) + (counts > 0) * 0.3
+    counts = np.bincount(kinds[:-1] * N_KINDS + kinds[1:], minlength=N_PAIRS)
+    out[:N_PAIRS] = np.log1p(counts) + (counts > 0) * 0.3
+    found = _WORDS.findall(raw.lower())
+    out[N_PAIRS:N_TERMS] = np.log1p(np.bincount(np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % WORD_TERMS, minlength=WORD_TERMS))
     words = raw.split()
     n = len(words)
     if n > 4:
@@ -59,6 +66,14 @@ def term_counts(text: str) -> np.ndarray:
     return out
 
 
+def directions(x: np.ndarray, rank: int, turns: int = 6) -> np.ndarray:
+    """The first right singular vectors of x (rows x terms), by subspace iteration from a fixed start."""
+    q = np.random.RandomState(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
+    for _ in range(turns):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    return q @ np.linalg.svd(x @ q, full_matrices=False)[2][:rank].T
+
+
 class Space:
     """Term weights and latent directions learnt from the labelled sample."""
 
@@ -67,16 +82,16 @@ class Space:
         self.weight = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.basis = None
         x = self.weigh(counts)
-        values, vectors = np.linalg.eigh(x.T @ x)
-        self.basis = vectors[:, ::-1][:, :RANK].astype(np.float32)
+        self.basis = directions(x, RANK).astype(np.float32)
         self.vectors = self.unit(x @ self.basis)
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
+        """Weighted counts, words and pairs of kinds each of length 1, repetition beside them."""
         x = counts * self.weight
-        size = np.linalg.norm(x[:, :N_TERMS], axis=1, keepdims=True)
-        x[:, :N_TERMS] /= np.where(size > 0, size, 1)
+        for part in (x[:, :N_PAIRS], x[:, N_PAIRS:N_TERMS]):
+            size = np.linalg.norm(part, axis=1, keepdims=True)
+            part /= np.where(size > 0, size, 1)
         x[:, N_TERMS:] = REPEAT_WEIGHT * np.sqrt(counts[:, N_TERMS:])
         return x
 
@@ -85,18 +100,26 @@ class Space:
         size = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, size, out=np.zeros_like(x), where=size > 1e-9)
 
+    def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sample rows of the K greatest cosines, and these, for each unit vector; equal ones by sample row."""
+        cos = np.round((q @ self.vectors.T).astype(np.float64), DECIMALS)
+        k = min(K, cos.shape[1])
+        least = np.partition(cos, -k, axis=1)[:, -k, None]
+        above = cos > least
+        # Of those equal to the k-th greatest, the first rows fill the places that are left.
+        chosen = above | ((cos == least) & (np.cumsum(cos == least, axis=1) <= k - above.sum(1, keepdims=True)))
+        rows = np.nonzero(chosen)[1].reshape(-1, k)
+        return rows, np.take_along_axis(cos, rows, 1)
+
     def vote(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and the nearest similarity for one block of documents."""
         q = self.unit(self.weigh(counts) @ self.basis)
-        cos = q @ self.vectors.T
-        k = min(K, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        sims = np.take_along_axis(cos, near, 1).clip(0, 1).astype(np.float64)
-        w = sims**4 + 1e-12
+        near, sims = self.nearest(q)
+        w = sims.clip(0, 1) + 1e-12
         score = (w * self.labels[near]).sum(1) / w.sum(1)
         blank = ~q.any(axis=1)
         score[blank] = self.prior
-        return score.clip(0, 1), np.where(blank, 0, sims.max(1))
+        return score.clip(0, 1), np.where(blank, 0, w.max(1))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Space | None:
@@ -106,13 +129,18 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Space
 
     def counts(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "counts": [term_counts(t).tobytes() for t in b["text"]]})
+            found = [term_counts(t) for t in b["text"]]
+            places = [np.flatnonzero(x) for x in found]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "places": [p.astype("<u2").tobytes() for p in places], "counts": [x[p].tobytes() for x, p in zip(found, places)]})
 
-    got = {r[0]: (r[1], bytes(r[2])) for r in rows.select("doc_id", "text", "label").mapInPandas(counts, "doc_id long, label int, counts binary").toLocalIterator()}
+    sparse = rows.select("doc_id", "text", "label").mapInPandas(counts, "doc_id long, label int, places binary, counts binary")
+    got = {r[0]: r[1:] for r in sparse.toLocalIterator()}
     if not got:
         return None
-    ids = sorted(got)
-    return Space(np.frombuffer(b"".join(got[i][1] for i in ids), np.float32).reshape(len(ids), -1), np.array([got[i][0] for i in ids]))
+    dense = np.zeros((len(got), N_TERMS + len(REPEATS)), np.float32)
+    for x, i in zip(dense, sorted(got)):
+        x[np.frombuffer(got[i][1], "<u2")] = np.frombuffer(got[i][2], np.float32)
+    return Space(dense, np.array([got[i][0] for i in sorted(got)]))
 
 
 def score_quality(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,7 +151,7 @@ def score_quality(docs: DataFrame, space: Space | None, threshold: float = THRES
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in common.bounded(batches):
             texts = b.column("text").to_pylist()
             score, nearest = np.full(len(texts), 0.5), np.zeros(len(texts))
             for i in range(0, len(texts), BLOCK) if own is not None else ():
