@@ -31,7 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that tasks can import it anywhere."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -52,6 +51,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
     if not found and not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="sightline-"))
     return found or _own_dir[0]
@@ -142,7 +143,7 @@ def keep_rows(docs: DataFrame, judge) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             yield b.filter(pa.array(judge([t or "" for t in b.column("text").to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -89,6 +89,63 @@ def test_quality_rules_base_counts(spark, docs, texts):
         assert r["base_failed"] == (n < 20 or 100 * again > 30 * n) and not (r["base_failed"] and r["kept"])
 
 
+def plain_features(text):
+    """Features of each line with a word, from their meaning, on characters."""
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    out = []
+    for k, line in enumerate(lines):
+        w, size, n = re.split(r"[\x20\x09-\x0D]+", line.strip(" \t\n\r\x0b\x0c")), len(line.encode()), 0
+        n = len(w)
+        count = lambda p: len(re.findall(p, line))
+        sym, up, low, dig = count(r"[#*$%&|<>]"), count("[A-Z]"), count("[a-z]"), count("[0-9]")
+        runs = sum(len(set(w[i : i + 64])) for i in range(0, n, 64))
+        holds = {
+            "bias": True, "first_line": k == 0, "last_line": k == len(lines) - 1, "under_4_words": n < 4, "over_25_words": n > 25, "symbols_2pct": 50 * sym >= size, "symbols_8pct": 50 * sym >= size and 12 * sym >= size,
+            "bars": 50 * sym >= size and 6 * line.count("|") >= n, "capitals_30pct": up > 2 and 10 * up >= 3 * (up + low), "capitals_60pct": up > 2 and 10 * up >= 6 * (up + low), "shouting": 5 * line.count("!!") >= n,
+            "digits_20pct": 5 * dig >= size, "neighbours_equal": n > 3 and 5 * sum(a == b for a, b in zip(w, w[1:])) >= n, "few_distinct": n > 3 and 2 * runs < n, "seen_before": line in lines[:k],
+            "ends_sentence": w[-1][-1] in ".?!", "digit_inside_short": 5 * dig >= size and n < 8, "markup": 50 * sym >= size and line.count("<") >= 2,
+        }
+        out.append(([f for f, name in enumerate(quality_rules.FEATURES) if holds[name]], n))
+    return out
+
+
+def test_quality_rules_verdict_equals_brute_force(spark, docs, texts):
+    """Content share and verdict from features by their meaning and the best of all paths (or max-sum tables on long texts)."""
+    model = quality_rules.train(docs, common.table(spark, DATA, "labels"))
+    w, tr = model
+    extra = {10_001: "Buy | now | here\nA clean sentence of some words stands here.\n" * 40, 10_002: " ".join(f"w{i % 300}" for i in range(3000)), 10_003: None}
+    every = texts | extra
+    checked = 0
+    for r in quality_rules.apply_rules(spark.createDataFrame(list(every.items()), "doc_id long, text string"), model).collect():
+        lines = plain_features(every[r["doc_id"]] or "")
+        emit = [w[f].sum(0) for f, _ in lines]
+        if 0 < len(lines) <= 10:
+            paths = np.array([[(k >> i) & 1 for i in range(len(lines))] for k in range(2 ** len(lines))])
+            value = sum(np.array(emit)[i, paths[:, i]] for i in range(len(lines))) + sum(tr[paths[:, i], paths[:, i + 1]] for i in range(len(lines) - 1))
+            best = paths[value.argmax()].tolist()
+        else:
+            best, tables = [], [np.zeros((0, 2))] if not lines else [emit[0]]
+            for e in emit[1:]:
+                tables.append(e + (tables[-1][:, None] + tr).max(0))
+            for t in reversed(tables if lines else []):
+                best.insert(0, int((t + (tr[:, best[0]] if best else 0)).argmax()))
+        words = sum(n for _, n in lines)
+        share = sum(n for (_, n), y in zip(lines, best) if y) / words if words else 0.0
+        assert math.isclose(r["content_share"], share, abs_tol=1e-9) and r["kept"] == (not r["base_failed"] and share >= 0.5)
+        checked += 0 < len(lines) <= 10
+    assert checked > 50
+
+
+def test_line_labels_differ_inside_documents():
+    clean, bars = 1, 9
+    docs = [(0, [[clean] + [bars] * 5])] * 20 + [(1, [[clean] * 6])] * 60
+    got = quality_rules.line_labels(docs)
+    assert got[0] == [[1, 0, 0, 0, 0, 0]] and got[-1] == [[1] * 6]
+    assert quality_rules.line_labels(docs[:20])[0] == [[0] * 6] and quality_rules.line_labels(docs[20:])[0] == [[1] * 6]
+    long = list(range(1000))
+    assert [b[0] for b in quality_rules.blocks_of(long)][0] == 0 and quality_rules.blocks_of(long)[-1][-1] == 999
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -108,6 +165,33 @@ def test_classifiers_on_held_out_rows(spark):
         assert scored.where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
 
 
+def test_nearest_neighbours_equal_brute_force():
+    """Scores equal a plain ranking by (cosine, sample row), with many equal sample vectors."""
+    rng = np.random.default_rng(5)
+    base = ["a clean text of words", "junk | junk | junk", "MORE!! NOISE!! HERE!!", "one two three four five six", "der die das und ein"]
+    sample = [base[i] + (" and more" * (i % 3)) for i in rng.integers(0, 5, 200)]
+    space = quality_knn.Space(np.stack([quality_knn.term_counts(t) for t in sample]), rng.integers(0, 2, 200))
+    asked = [*base, "", "something else | with 12 words", *sample[:20]]
+    counts = np.stack([quality_knn.term_counts(t) for t in asked])
+    scores, _ = space.vote(counts)
+    q = space.unit(space.weigh(counts) @ space.basis)
+    for text, v, score in zip(asked, q, scores):
+        cos = [round(float(c), quality_knn.DECIMALS) for c in (v[None] @ space.vectors.T)[0]]
+        first = sorted(range(200), key=lambda i: (-cos[i], i))[: quality_knn.K]
+        want = sum(max(cos[i], 0) * space.labels[i] for i in first) / sum(max(cos[i], 0) for i in first) if text else space.prior
+        assert math.isclose(score, want, abs_tol=1e-6)
+
+
+def test_classifier_reads_words(spark):
+    """Texts alike in characters and form, told apart by their words alone."""
+    rng = random.Random(4)
+    words = [["lamo", "neri", "tosa", "vilu"], ["mola", "rine", "sato", "luvi"]]
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(30)) + ".") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = quality_knn.quality_classifier(docs, labels).where("held_out").collect()
+    assert len(got) > 50 and sum((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got) / len(got) > 0.95
+
+
 def test_classifier_votes_with_4096_labels(spark):
     rng = random.Random(7)
     n = 5200
