@@ -1,6 +1,6 @@
 """Document fingerprints: exact digests of canonical text, with byte comparison inside equal buckets.
 
-Canonical form: NFKC, lower case, runs of white space as one space, none at the ends. The digest is 128 bits wide:
+Canonical form: NFKC, case folding, NFKC again (folding may undo it), runs of white space as one space, none at the ends. The digest is 128 bits wide:
 two xxhash64 values, the second over a constant and the text. Documents with equal digests are then
 compared with the bucket's smallest id byte by byte; one that differs (a clash of digests) gets a fingerprint of its own.
 DataFrame and SQL functions only; NFKC comes from the Unicode library that ships with Spark.
@@ -27,8 +27,10 @@ NO_ID = -(2**63)
 
 def canonical(text: str) -> Column:
     """The canonical form of a non-null text column. Only for projections: Spark takes java_method as not repeatable."""
-    nfkc = F.expr(f"CASE WHEN {text} RLIKE '[^\\\\x00-\\\\x7f]' THEN java_method('com.ibm.icu.text.Normalizer', 'compose', {text}, true) ELSE {text} END")
-    return F.trim(F.regexp_replace(F.lower(nfkc), SPACE, " "))
+    nfkc = lambda x: f"java_method('com.ibm.icu.text.Normalizer', 'compose', {x}, true)"
+    folded = nfkc(f"java_method('com.ibm.icu.lang.UCharacter', 'foldCase', {nfkc(text)}, true)")
+    form = F.expr(f"CASE WHEN {text} RLIKE '[^\\\\x00-\\\\x7f]' THEN {folded} ELSE lower({text}) END")
+    return F.trim(F.regexp_replace(form, SPACE, " "))
 
 
 def digest(form: Column | str) -> Column:
