@@ -107,7 +107,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: Fraction
         return F.array_compact(F.array(*found))
 
     lines = F.split("norm", "\n")
-    blocks = F.split(F.regexp_replace("norm", r"\n( *\n)+", "\u0001"), "\u0001")
+    blocks = F.split(F.regexp_replace("norm", r"\n[ \n]*\n", "\u0001"), "\u0001")
     parts = F.filter(F.array_distinct(F.transform(F.concat(lines, blocks, F.array("flat")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))), lambda x: F.size(F.split(x, " ")) > 1)
     small = F.filter(F.transform(parts, grams), lambda g: F.size(g).between(1, largest))
     hits = F.when(F.col("maybe"), F.flatten(F.transform(small, compared))).otherwise(none)
