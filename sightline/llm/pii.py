@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from sightline.llm import common
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+IP = r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 IDENTITY = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 HEX_TOKEN = r"\b[0-9a-f]{32,64}\b"
+#: Characters that a leftmost match of the kind never follows, but where the last match ended: a run is tried once, not from each place.
+RUNS = {"email": "[A-Za-z0-9._%+-]", "ip": "[0-9]"}
 BASE = ("email", "ip", "card", "phone")
 #: kind: (pattern, a substring pattern that every match needs, base score, context words).
 KINDS = {
@@ -39,19 +41,53 @@ KINDS = {
 }
 THRESHOLD, CONTEXT_GAIN, CONTEXT_CHARS = 0.5, 0.3, 40
 SPAN = "struct<start:int,end:int,value:string,score:double>"
+#: Items of one run of a running total: appending within runs keeps the work in proportion to the items.
+RUN = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_runs(items: Column) -> Column:
+    """The array cut into arrays of RUN items."""
+    runs = lambda x: F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / RUN).cast("int"))
+    return let(items, lambda x: F.transform(runs(x), lambda k: F.slice(x, k * RUN + 1, F.lit(RUN))))
+
+
+def before_each(numbers: Column, join) -> Column:
+    """For each number, join() of 0 and all numbers before it; a last entry has all of them. join: sum or greatest of two."""
+
+    def scan(some: Column, first: Column) -> Column:
+        return F.aggregate(some, F.array(first), lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x)))
+
+    def joined(runs: Column, firsts: Column) -> Column:
+        inner = F.transform(runs, lambda r, i: F.slice(scan(r, F.get(firsts, i)), F.lit(1), F.size(r)))
+        return F.concat(F.flatten(inner), F.array(F.element_at(firsts, -1)))
+
+    return let(in_runs(numbers), lambda runs: let(scan(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), join)), F.lit(0)), lambda firsts: joined(runs, firsts)))
 
 
 def matches(text: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places: what stands between them gives the places."""
-    parts = F.arrays_zip(F.split(F.col(text), pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(F.col(text), pattern, -1)
+
+    def spans(found: Column, at: Column) -> Column:
+        """at: where what stands before each match begins."""
+
+        def span(x: Column, i: Column) -> Column:
+            end = F.get(at, i + 1)
+            return F.struct((end - F.char_length(x)).alias("start"), end.alias("end"), x.alias("value"))
+
+        return F.transform(found, span)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out")))
+    def placed(found: Column, between: Column) -> Column:
+        steps = F.transform(found, lambda x, i: F.char_length(F.get(between, i)) + F.char_length(x))
+        return let(before_each(steps, lambda a, x: a + x), lambda at: spans(found, at))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return let(values, lambda found: let(gaps, lambda between: placed(found, between)))
 
 
 def digits_of(value: Column) -> Column:
@@ -94,6 +130,8 @@ def confirmed(kind: str, value: Column) -> Column:
 def spans_of(kind: str, text: str = "text") -> Column:
     """Confirmed spans of one kind with their scores, in order."""
     pattern, needed, base, words = KINDS[kind]
+    if kind in RUNS:
+        pattern = rf"(?:\G|(?<!{RUNS[kind]})){pattern}"
     found = F.filter(matches(text, pattern), lambda s: confirmed(kind, s["value"]))
 
     def scored(s: Column) -> Column:
@@ -106,13 +144,15 @@ def spans_of(kind: str, text: str = "text") -> Column:
     return F.when(F.col(text).rlike(needed), F.transform(found, scored)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
+def _kept(threshold: float) -> list[Column]:
+    """For each kind, an array _<kind> of the spans that stay."""
+    stays = lambda k: spans_of(k) if k in BASE else F.filter(spans_of(k), lambda s: s["score"] >= threshold)
+    return [stays(k).alias(f"_{k}") for k in KINDS]
+
+
 def find(docs: DataFrame, *keep: str, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of docs with doc_id, text, the columns of `keep` and one array of spans for each kind."""
-    out = common.text_rows(docs, *keep).select("*", *(spans_of(k).alias(f"_{k}") for k in KINDS))
-    for k in KINDS:
-        if k not in BASE:
-            out = out.withColumn(f"_{k}", F.filter(f"_{k}", lambda s: s["score"] >= threshold))
-    return out
+    return common.text_rows(docs, *keep).select("*", *_kept(threshold))
 
 
 def _listed(kinds) -> Column:
@@ -131,19 +171,24 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are replaced as one, by the first's kind.
 
-    n_chars, where docs has it, follows the new text.
+    n_chars, where docs has it, follows the new text. The other columns may have any names: they travel inside one struct.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = find(docs.withColumn("_null", F.col("text").isNull()), "_null", *others)
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("row", "text", *_kept(THRESHOLD))
     every = F.array_sort(F.concat(*(F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.lit(f"[{k.upper()}]").alias("name"))) for k in KINDS)))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["end"]
-        put = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["name"])
-        return F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
+    def cleaned(spans: Column, reach: Column) -> Column:
+        """reach: where the spans before each one end at the furthest."""
+
+        def piece(s: Column, i: Column) -> Column:
+            at = F.get(reach, i)
+            return F.when(s["start"] >= at, F.concat(F.substr(F.col("text"), at + 1, s["start"] - at), s["name"])).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substr(F.col("text"), F.element_at(reach, -1) + 1))
 
-    clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    out = found.withColumn("text", F.when(F.col("_null"), F.lit(None)).when(F.size(every) == 0, F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_null"), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(docs.columns)
+    clean = let(every, lambda spans: let(before_each(F.transform(spans, lambda s: -s["end"]), lambda a, x: F.greatest(a, x)), lambda reach: cleaned(spans, reach)))
+    rows = rows.select("row", F.when(F.size(every) == 0, F.col("text")).otherwise(clean).alias("text"))
+    known = F.col("row")["text"].isNotNull()
+    changed = {"text": F.when(known, F.col("text")), "n_chars": F.when(known, F.char_length("text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

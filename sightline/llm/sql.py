@@ -39,7 +39,7 @@ def private_sql() -> str:
         spans = f"list_transform(range(1, len(regexp_extract_all(text, {p})) + 1), lambda k: {{'v': regexp_extract_all(text, {p})[k], 'a': CAST(list_sum(list_transform(string_split_regex(text, {p})[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(text, {p})[1:k - 1], lambda x: length(x))), 0) AS BIGINT)}})"
         keep = confirm.get(kind, "true")
         if kind not in pii.BASE:
-            gained = f"regexp_matches(lower(substr(text, greatest(s.a - {pii.CONTEXT_CHARS}, 0) + 1, s.a - greatest(s.a - {pii.CONTEXT_CHARS}, 0))), {_q(words)})"
+            gained = f"regexp_matches(lower(substr(text, greatest(s.a - {pii.CONTEXT_CHARS}, 0) + 1, s.a - greatest(s.a - {pii.CONTEXT_CHARS}, 0))), {_q(words)}) OR regexp_matches(lower(substr(text, s.a + length(s.v) + 1, {pii.CONTEXT_CHARS})), {_q(words)})"
             keep = f"{keep} AND {base} + CASE WHEN {gained} THEN {pii.CONTEXT_GAIN} ELSE 0 END >= {pii.THRESHOLD}"
         found.append(f"list_transform(list_filter({spans}, lambda s: {keep}), lambda s: '{kind}:' || s.a || ':' || (s.a + length(s.v))) AS _{kind}")
     joined = lambda kinds: "array_to_string(flatten([" + ", ".join(f"_{k}" for k in kinds) + "]), ',')"

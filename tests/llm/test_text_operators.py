@@ -310,7 +310,7 @@ def test_fingerprints_equal_brute_force(docs, texts):
     import xxhash
 
     def form(t):
-        return re.sub(fingerprints.SPACE, " ", unicodedata.normalize("NFKC", t).lower()).strip(" ")
+        return re.sub(fingerprints.SPACE, " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())).strip(" ")
 
     ids = sorted(texts)
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
@@ -325,6 +325,13 @@ def test_fingerprints_equal_brute_force(docs, texts):
         assert (r["near_edited"], r["near_next"]) == (float(form(edited) == form(t)), float(form(nxt) == form(t)))
 
 
+def test_fingerprints_fold_case(spark):
+    same = [("straße", "STRASSE"), ("ΣΊΣΥΦΟΣ", "σίσυφος"), ("ﬁne  x", "FINE X"), ("Ǆ", "ǆ")]
+    df = spark.createDataFrame([(2 * i + k, t) for i, pair in enumerate(same) for k, t in enumerate(pair)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(df).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(same))) and len(set(got.values())) == len(same)
+
+
 def test_clashing_digests_are_told_apart(spark):
     df = spark.createDataFrame([(1, "Aa"), (2, "aA"), (3, "bb"), (4, "bb")], "doc_id long, text string")
     same = df.select("doc_id", F.lit("d").alias("digest"))
@@ -336,6 +343,8 @@ def brute_private(text):
     out = []
     patterns = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
     for kind, pattern in patterns:
+        if {"email": "@", "ip": "."}.get(kind, "") not in text:
+            continue
         for m in re.finditer(pattern, text):
             d = re.sub("[^0-9]", "", m[0])
             luhn = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(d[::-1])) % 10 == 0
@@ -371,6 +380,31 @@ def test_long_runs_do_not_overflow_the_stack(spark):
     assert got == {i: f"phone:{len(t) + 1}:{len(t) + 18}" for i, t in long.items()} | {4: f"email:0:{3 + 3 * n}"}
 
 
+def test_any_text_of_a_megabyte(spark):
+    """Runs of one character or a few: every text operator with patterns ends, and base spans equal brute force."""
+    n = 1_000_000
+    runs = ["7", "7 ", ".", "a.", "@", "+", "+1 ", "\n", " ", "\n ", "0-", "A1", "x@", "1.", "f", "-"]
+    every = {i: (r * (n // len(r))) for i, r in enumerate(runs)} | {100: "Released under the MIT License." + "\n" * 50_000, 101: "1.2.3.4 x@y.zz " * 3000}
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(18)
+    for r in pii.personal_data(df).collect():
+        want = brute_private(every[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), r["doc_id"]
+    blob = spark.createDataFrame([(1, "a1" * (n // 2) + " x@y.zz 1.2.3.4 " + "7" * n)], "doc_id long, text string")
+    assert pii.personal_data(blob).first()["spans"] == f"email:{n + 1}:{n + 7},ip:{n + 8}:{n + 15}"
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[101] == "[IP] [EMAIL] " * 3000 and clean[0] == every[0]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(df).collect()}
+    assert got[100] == "MIT" and sum(x is not None for x in got.values()) == 1
+
+
+def test_redaction_keeps_any_columns(spark):
+    df = spark.createDataFrame([(1, "mail x@y.zz", "n", "e", "r", 5), (2, None, "n", "e", "r", 7)], "doc_id long, text string, _null string, _email string, `row.a b` string, n_chars long")
+    got = {r["doc_id"]: tuple(r) for r in pii.redact(df).collect()}
+    assert got == {1: (1, "mail [EMAIL]", "n", "e", "r", 12), 2: (2, None, "n", "e", "r", 7)} and pii.redact(df).columns == df.columns
+    swapped = df.select("n_chars", "text", F.lit(1).alias("row"), "doc_id")
+    assert sorted(r["n_chars"] for r in pii.redact(swapped).collect()) == [7, 12]
+
+
 def test_context_after_a_span(spark):
     token = "0123456789abcdef" * 2 + "01234567"
     df = spark.createDataFrame([(1, "123-45-6789 (SSN)"), (2, f"{token} is the api key"), (3, f"{token}{' ' * 40}api key"), (4, "123-45-6789, social")], "doc_id long, text string")
