@@ -43,6 +43,8 @@ THRESHOLD, CONTEXT_GAIN, CONTEXT_CHARS = 0.5, 0.3, 40
 SPAN = "struct<start:int,end:int,value:string,score:double>"
 #: Items of one run of a running total: appending within runs keeps the work in proportion to the items.
 RUN = 256
+#: Characters of the parts that a text is cut into, so that reading near a place does not walk the text from its beginning.
+PART = 1024
 
 
 def let(value: Column, body) -> Column:
@@ -69,6 +71,18 @@ def before_each(numbers: Column, join) -> Column:
     return let(in_runs(numbers), lambda runs: let(scan(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), join)), F.lit(0)), lambda firsts: joined(runs, firsts)))
 
 
+def parts_of(text: str) -> Column:
+    """The text in parts of PART code points."""
+    return F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PART}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (exclusive), of which `parts` are the parts."""
+    first = F.floor(start / PART).cast("int")
+    some = F.slice(parts, first + 1, F.floor(end / PART).cast("int") - first + 1)
+    return F.substr(F.array_join(some, ""), start - first * PART + 1, end - start)
+
+
 def matches(text: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places: what stands between them gives the places."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -83,11 +97,11 @@ def matches(text: str, pattern: str) -> Column:
 
         return F.transform(found, span)
 
-    def placed(found: Column, between: Column) -> Column:
-        steps = F.transform(found, lambda x, i: F.char_length(F.get(between, i)) + F.char_length(x))
+    def placed(found: Column, apart: Column) -> Column:
+        steps = F.transform(found, lambda x, i: F.char_length(F.get(apart, i)) + F.char_length(x))
         return let(before_each(steps, lambda a, x: a + x), lambda at: spans(found, at))
 
-    return let(values, lambda found: let(gaps, lambda between: placed(found, between)))
+    return let(values, lambda found: let(gaps, lambda apart: placed(found, apart)))
 
 
 def digits_of(value: Column) -> Column:
@@ -134,14 +148,15 @@ def spans_of(kind: str, text: str = "text") -> Column:
         pattern = rf"(?:\G|(?<!{RUNS[kind]})){pattern}"
     found = F.filter(matches(text, pattern), lambda s: confirmed(kind, s["value"]))
 
-    def scored(s: Column) -> Column:
-        at = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substr(F.col(text), at + 1, s["start"] - at))
-        after = F.lower(F.substr(F.col(text), s["end"] + 1, F.lit(CONTEXT_CHARS)))
+    def scored(s: Column, parts: Column) -> Column:
+        before = F.lower(between(parts, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"]))
+        after = F.lower(between(parts, s["end"], s["end"] + CONTEXT_CHARS))
         score = F.lit(base) + F.when(before.rlike(words) | after.rlike(words), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
-    return F.when(F.col(text).rlike(needed), F.transform(found, scored)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    every = let(found, lambda spans: F.when(F.size(spans) > 0, let(parts_of(text), lambda parts: F.transform(spans, lambda s: scored(s, parts)))).otherwise(none))
+    return F.when(F.col(text).rlike(needed), every).otherwise(none)
 
 
 def _kept(threshold: float) -> list[Column]:
@@ -178,16 +193,19 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = rows.select("row", "text", *_kept(THRESHOLD))
     every = F.array_sort(F.concat(*(F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.lit(f"[{k.upper()}]").alias("name"))) for k in KINDS)))
 
-    def cleaned(spans: Column, reach: Column) -> Column:
+    def cleaned(spans: Column, reach: Column, parts: Column) -> Column:
         """reach: where the spans before each one end at the furthest."""
 
         def piece(s: Column, i: Column) -> Column:
             at = F.get(reach, i)
-            return F.when(s["start"] >= at, F.concat(F.substr(F.col("text"), at + 1, s["start"] - at), s["name"])).otherwise("")
+            return F.when(s["start"] >= at, F.concat(between(parts, at, s["start"]), s["name"])).otherwise("")
 
         return F.concat(F.array_join(F.transform(spans, piece), ""), F.substr(F.col("text"), F.element_at(reach, -1) + 1))
 
-    clean = let(every, lambda spans: let(before_each(F.transform(spans, lambda s: -s["end"]), lambda a, x: F.greatest(a, x)), lambda reach: cleaned(spans, reach)))
+    def reached(spans: Column) -> Column:
+        return before_each(F.transform(spans, lambda s: -s["end"]), lambda a, x: F.greatest(a, x))
+
+    clean = let(every, lambda spans: let(reached(spans), lambda reach: let(parts_of("text"), lambda parts: cleaned(spans, reach, parts))))
     rows = rows.select("row", F.when(F.size(every) == 0, F.col("text")).otherwise(clean).alias("text"))
     known = F.col("row")["text"].isNotNull()
     changed = {"text": F.when(known, F.col("text")), "n_chars": F.when(known, F.char_length("text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
