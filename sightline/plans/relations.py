@@ -34,7 +34,6 @@ RESULT = {
     "score": "CAST(l_partkey % 100 AS DOUBLE) / 100",
     "confidence": "CASE WHEN l_partkey % 7 < 3 THEN 'LOW' END",
     "claim": "concat('observation_only; no_intent', CASE WHEN l_partkey % 2 = 0 THEN '; one_sided' ELSE '' END)",
-    "subset": "l_discount = 0.03",
     "sequence": "l_partkey",
     "source_id": PACKET["source_id"], "initiator": "concat('c', CAST(l_orderkey % 100 AS STRING))", "target": "concat('s', CAST(l_suppkey % 10 AS STRING))", "dport": "l_partkey % 50", "protocol": PACKET["protocol"],
 }
@@ -173,7 +172,7 @@ def limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIMITATION_SQL = f"WITH {RESULT_SQL}, s(token, sentence) AS (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{t}{chr(39)})' for k, t in SENTENCES.items())}), t AS (SELECT DISTINCT result_id, i - 1 AS position, trim(string_split(claim, ';')[i]) AS token FROM v, range(1, 4) r(i) WHERE i <= len(string_split(claim, ';'))) SELECT result_id, sentence, min(position) AS position FROM t JOIN s USING (token) GROUP BY result_id, sentence"
-PAIRS_SQL = f"""WITH {RESULT_SQL}, e AS (SELECT result_id, family, start_us, end_us, unnest(source_ids) AS source FROM v WHERE subset)
+PAIRS_SQL = f"""WITH {RESULT_SQL}, e AS (SELECT result_id, family, start_us, end_us, unnest(source_ids) AS source FROM v)
 SELECT l.result_id AS left_id, r.result_id AS right_id, l.family AS left_family, r.family AS right_family, CASE WHEN l.end_us < r.start_us OR r.end_us < l.start_us THEN 'NON_OVERLAPPING' ELSE 'OVERLAPPING' END AS relation,
   array_to_string(list_sort(list(DISTINCT l.source)), ',') AS shared FROM e l JOIN e r ON l.source = r.source AND l.result_id < r.result_id AND l.family <> r.family GROUP BY ALL"""
 
@@ -188,11 +187,17 @@ def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.candidates(pairs, wanted, 20)
 
 
-CANDIDATE_SQL = f"WITH p AS ({PAIRS_SQL}), w AS (SELECT min(result_id) AS x FROM (WITH {RESULT_SQL} SELECT * FROM v WHERE subset AND source_b = 'x-7')) SELECT p.* FROM p, w WHERE left_id = x OR right_id = x ORDER BY left_id, right_id LIMIT 20"
-_GRAPH = f"""{RESULT_SQL}, k AS (SELECT * FROM v WHERE subset), e0 AS (SELECT family || ' r ' || result_id AS a, family || ' s ' || unnest(source_ids) AS b FROM k), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
-reach(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node), roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+CANDIDATE_SQL = f"WITH p AS ({PAIRS_SQL}), w AS (SELECT min(result_id) AS x FROM (WITH {RESULT_SQL} SELECT * FROM v WHERE source_b = 'x-7')) SELECT p.* FROM p, w WHERE left_id = x OR right_id = x ORDER BY left_id, right_id LIMIT 20"
+#: Every result has one source_b (x), so components of results are those of the x's that share a result or a source_a; each turn
+#: hands the least label on to all that share one, and the turns are more than any chain here is long.
+_TURNS = 60
+_GRAPH = f"""{RESULT_SQL}, k AS (SELECT *, family || ' s ' || source_b AS x FROM v),
+m AS (SELECT DISTINCT x, unnest([family || ' s ' || source_a, family || ' r ' || result_id]) AS g FROM k),
+labels(turn, x, root) AS (SELECT DISTINCT 0, x, x FROM m UNION ALL
+  SELECT q.turn + 1, m.x, min(q.root) FROM (SELECT turn, g, min(root) AS root FROM labels JOIN m USING (x) WHERE turn < {_TURNS} GROUP BY turn, g) q JOIN m USING (g) GROUP BY q.turn, m.x),
+roots AS (SELECT x, root FROM labels WHERE turn = {_TURNS}),
 views0 AS (SELECT family, root, list_sort(list(DISTINCT result_id)) AS result_ids, list_sort(list_distinct(flatten(list(source_ids)))) AS source_ids, min(start_us) AS start_us, max(end_us) AS end_us,
-  count(*) FILTER (WHERE result_type = 'REVIEW_FINDING') AS findings, count(*) FILTER (WHERE result_type <> 'REVIEW_FINDING') AS limited FROM k JOIN roots ON node = family || ' r ' || result_id GROUP BY family, root),
+  count(*) FILTER (WHERE result_type = 'REVIEW_FINDING') AS findings, count(*) FILTER (WHERE result_type <> 'REVIEW_FINDING') AS limited FROM k JOIN roots USING (x) GROUP BY family, root),
 views AS (SELECT 'family-' || substr(sha256(family || chr(0) || array_to_string(result_ids, chr(0))), 1, 20) AS view_id, family, result_ids, source_ids, start_us, end_us, findings, limited FROM views0)"""
 _ENDS = "ends AS (SELECT view_id, family, end_us, unnest(source_ids) AS source FROM views), links0 AS (SELECT l.view_id AS left_id, r.view_id AS right_id, l.family AS left_family, r.family AS right_family, greatest(l.end_us, r.end_us) AS end_us, list_sort(list(DISTINCT l.source)) AS shared FROM ends l JOIN ends r ON l.source = r.source AND l.view_id < r.view_id AND l.family <> r.family GROUP BY ALL), links AS (SELECT *, 'link-' || substr(sha256(left_id || chr(0) || right_id || chr(0) || array_to_string(shared, chr(0))), 1, 20) AS link_id FROM links0)"
 _text = lambda c: f"sha256(array_to_string({c}, ','))"
@@ -215,7 +220,7 @@ def family_views_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(relate.family_views(rows.join(chosen, "result_id", "left_semi")))
 
 
-SUBSET_SQL = VIEWS_SQL.replace("FROM v WHERE subset", "FROM v WHERE subset AND result_id IN (SELECT result_id FROM v WHERE subset AND sequence % 2 = 0)")
+SUBSET_SQL = VIEWS_SQL.replace("AS x FROM v)", "AS x FROM v WHERE result_id IN (SELECT result_id FROM v WHERE sequence % 2 = 0))")
 
 
 def investigation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
