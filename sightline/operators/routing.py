@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 @dataclass(frozen=True)
 class Lane:
     """A mechanism's declared needs. predicate is an SQL condition over the record's columns."""
@@ -19,6 +20,7 @@ class Lane:
     capabilities: tuple[str, ...]
     predicate: str
     finality: tuple[str, ...] = ("IMMEDIATE",)
+    contract: str = "v1"
     quality: tuple[str, ...] = ()
     ingest: bool = True
     result_types: tuple[str, ...] = ("REVIEW_FINDING", "QUALITY_DEGRADED", "INSUFFICIENT_EVIDENCE")
@@ -27,34 +29,41 @@ class Lane:
 _BASE = "direction IN ('FORWARD', 'REVERSE') AND target IS NOT NULL AND service IS NOT NULL"
 _ADDRESSES = ("protocol", "src_address", "dst_address")
 _TUPLE = (*_ADDRESSES, "src_port", "dst_port", "flags")
-_SCAN = "protocol = 6 AND direction = 'FORWARD' AND flag_text IN ('SYN', 'SYN,RST') AND initiator = src AND target IS NOT NULL"
+#: Flags are sets: their order never matters, and what a rule does not name is free. Scan lanes read them in any case.
+_ATTEMPT = "array_contains(transform(flags, x -> upper(x)), 'SYN') AND NOT array_contains(transform(flags, x -> upper(x)), 'ACK')"
+_ROLES = "((direction = 'FORWARD' AND initiator = wire_src AND target = wire_dst) OR (direction = 'REVERSE' AND initiator = wire_dst AND target = wire_src))"
+_SCAN = f"protocol = 6 AND direction = 'FORWARD' AND {_ROLES} AND {_ATTEMPT}"
+_EXCHANGE = (
+    f"protocol = 6 AND {_ROLES} AND ((direction = 'FORWARD' AND (({_ATTEMPT}) OR (array_contains(transform(flags, x -> upper(x)), 'ACK') AND NOT arrays_overlap(transform(flags, x -> upper(x)), array('SYN', 'RST'))))) "
+    "OR (direction = 'REVERSE' AND (size(array_except(array('SYN', 'ACK'), transform(flags, x -> upper(x)))) = 0 OR array_contains(transform(flags, x -> upper(x)), 'RST'))))"
+)
 #: The 16 lanes; conditions differ in small ways that matter (which flags, which directions).
 LANES = (
-    Lane("ddos.syn_state", "PACKET", _TUPLE, ("PACKET_FACTS",), f"protocol = 6 AND {_BASE} AND flag_text IN ('SYN', 'SYN,ACK', 'ACK', 'RST')"),
+    Lane("ddos.syn_state", "PACKET", _TUPLE, ("PACKET_FACTS",), f"protocol = 6 AND {_BASE} AND size(flags) > 0 AND size(array_except(flags, array('SYN', 'ACK', 'RST'))) = 0"),
     Lane("ddos.udp_demand", "PACKET", ("protocol",), ("PACKET_FACTS",), f"protocol = 17 AND {_BASE}"),
     Lane("ddos.reflection_victim", "PACKET", ("protocol", "src_address", "observed_l4_facts"), ("PACKET_FACTS",), f"protocol = 17 AND direction = 'FORWARD' AND response_like AND trim(protocol_context) <> '' AND {_BASE}"),
     Lane("ddos.source_diversity", "PACKET", ("protocol", "src_address"), ("PACKET_FACTS",), f"length(src) > 0 AND protocol BETWEEN 0 AND 255 AND {_BASE}"),
     Lane("ddos.icmp_demand", "PACKET", ("protocol",), ("PACKET_FACTS",), f"protocol = 1 AND {_BASE}"),
     Lane("ddos.fragment_demand", "PACKET", ("protocol", "fragmentation"), ("PACKET_FACTS",), f"is_fragment AND {_BASE}"),
-    Lane("ddos.connection_churn", "PACKET", _TUPLE, ("PACKET_FACTS",), f"protocol = 6 AND direction = 'FORWARD' AND flag_text = 'SYN' AND {_BASE}"),
+    Lane("ddos.connection_churn", "PACKET", _TUPLE, ("PACKET_FACTS",), f"protocol = 6 AND direction = 'FORWARD' AND array_contains(flags, 'SYN') AND NOT arrays_overlap(flags, array('ACK', 'RST')) AND {_BASE}"),
     Lane("recon.h", "PACKET", _TUPLE, ("PACKET_FACTS",), _SCAN),
     Lane("recon.v", "PACKET", _TUPLE, ("PACKET_FACTS",), _SCAN),
     Lane("recon.2d", "PACKET", _TUPLE, ("PACKET_FACTS",), _SCAN),
-    Lane("recon.tcp", "PACKET", _TUPLE, ("PACKET_FACTS",), "protocol = 6 AND ((direction = 'FORWARD' AND flag_text IN ('SYN', 'ACK')) OR (direction = 'REVERSE' AND flag_text IN ('SYN,ACK', 'RST')))"),
-    Lane("c2.r1", "FLOW", ("start_time",), ("FLOW_FACTS",), "initiator IS NOT NULL AND target IS NOT NULL AND dport IS NOT NULL", ("IMMEDIATE", "FLOW_END_ONLY")),
-    Lane("unusual_transfer.m1", "FLOW", ("supplied_directional_counters", "start_time", "end_time"), ("FORWARD_FACTS",), "bytes IS NOT NULL", ("FLOW_END_ONLY",), result_types=("REVIEW_FINDING",)),
+    Lane("recon.tcp", "PACKET", _TUPLE, ("PACKET_FACTS",), _EXCHANGE),
+    Lane("c2.r1", "FLOW", ("start_time", "protocol"), ("FLOW_FACTS",), "start_us = us AND initiator IS NOT NULL AND target IS NOT NULL AND dport IS NOT NULL", ("IMMEDIATE", "FLOW_END_ONLY")),
+    Lane("unusual_transfer.m1", "FLOW", ("supplied_directional_counters", "start_time", "end_time"), (), "forward_state IN ('AVAILABLE', 'DEGRADED') AND arrays_overlap(counters, array('bytes_c2s', 'packets_c2s'))", ("FLOW_END_ONLY",), result_types=("REVIEW_FINDING",)),
     Lane("dga.m1", "DNS", ("qname",), ("CLEAR_DNS_FIELDS",), "1 = 1", result_types=("REVIEW_FINDING", "ANALYTIC_UNAVAILABLE")),
-    Lane("dns_tunnelling.t1", "DNS", ("qname", "labels", "qname_canonical"), ("CLEAR_DNS_FIELDS",), "dport % 2 = 0", result_types=("REVIEW_FINDING",)),
+    Lane("dns_tunnelling.t1", "DNS", ("qname", "labels", "qname_canonical", "representation_version"), ("CLEAR_DNS_FIELDS",), "1 = 1", result_types=("REVIEW_FINDING",)),
     Lane("encrypted_session.enc_a", "TLS", ("parsed_handshake_metadata",), ("TLS_HANDSHAKE_METADATA",), "1 = 1", quality=("parser",), result_types=("REVIEW_FINDING",)),
 )
-LANE_SCHEMA = "lane_id string, observation_type string, fields array<string>, capabilities array<string>, finality array<string>, quality_facts array<string>, ingest boolean, result_types array<string>"
+LANE_SCHEMA = "lane_id string, observation_type string, fields array<string>, capabilities array<string>, finality array<string>, quality_facts array<string>, ingest boolean, result_types array<string>, lane_contract string"
 
 
 def lane_table(spark: SparkSession, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     ids = [x.lane_id for x in lanes]
     if len(set(ids)) < len(ids):
         raise ValueError("lane ids must be distinct")
-    return spark.createDataFrame([(x.lane_id, x.observation_type, list(x.fields), list(x.capabilities), list(x.finality), list(x.quality), x.ingest, list(x.result_types)) for x in lanes], LANE_SCHEMA)
+    return spark.createDataFrame([(x.lane_id, x.observation_type, list(x.fields), list(x.capabilities), list(x.finality), list(x.quality), x.ingest, list(x.result_types), x.contract) for x in lanes], LANE_SCHEMA)
 
 
 def predicate(lanes: tuple[Lane, ...] = LANES) -> Column:
@@ -70,10 +79,10 @@ def candidates(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame
     return records.join(F.broadcast(lane_table(records.sparkSession, lanes)), "observation_type")
 
 
-def structural_reasons(first_contract: str = "v1") -> Column:
+def structural_reasons() -> Column:
     """Why a record cannot enter a lane, in the order in which the reasons are reported."""
     return F.array_compact(F.array(
-        F.when(F.col("contract") != first_contract, "CONTRACT_MISMATCH"),
+        F.when(F.col("contract") != F.col("lane_contract"), "CONTRACT_MISMATCH"),
         F.when(F.size(F.array_except("fields", "present_fields")) > 0, "REQUIRED_FIELD_MISSING"),
         F.when(F.size(F.array_except("capabilities", "available")) > 0, "REQUIRED_CAPABILITY_UNAVAILABLE"),
         F.when(~F.array_contains("finality", F.col("record_finality")), "FINALITY_UNSUPPORTED"),
@@ -91,13 +100,13 @@ def route_plan(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame
 
 def fan_out(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     """Each record once for every lane that selects it, in one pass and independently of the others."""
-    flags = [
-        F.when(
-            (F.col("observation_type") == x.observation_type) & (F.col("contract") == "v1") & F.forall(F.array(*map(F.lit, x.fields)), lambda f: F.array_contains("present_fields", f))
-            & F.forall(F.array(*map(F.lit, x.capabilities)), lambda c: F.array_contains("available", c)) & F.col("record_finality").isin(*x.finality)
-            & (F.col("availability_us") >= F.col("us")) & F.coalesce(F.expr(x.predicate), F.lit(False)), F.lit(x.lane_id))
-        for x in lanes
-    ]
+    has = lambda column, names: [F.array_contains(column, n) for n in names]
+    common = (F.col("availability_us") >= F.col("us"))
+    flags = []
+    for x in lanes:
+        first = common & (F.col("observation_type") == x.observation_type) & (F.col("contract") == x.contract) & F.col("record_finality").isin(*x.finality)
+        needs = reduce(and_, [first, *has("present_fields", x.fields), *has("available", x.capabilities)])
+        flags.append(F.when(needs & F.coalesce(F.expr(x.predicate), F.lit(False)), F.lit(x.lane_id)))
     return records.withColumn("routes", F.array_compact(F.array(*flags)))
 
 
@@ -108,7 +117,7 @@ def admit(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     bad_quality = F.filter("quality_facts", lambda q: F.col("parser_quality") == "DEGRADED")
     reasons = F.concat(
         F.when(~F.col("ingest"), F.array(F.lit("INGEST_NOT_PERMITTED"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("contract") != "v1", F.array(F.lit("CONTRACT_MISMATCH"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("contract") != F.col("lane_contract"), F.array(F.lit("CONTRACT_MISMATCH"))).otherwise(F.array().cast("array<string>")),
         each("REQUIRED_FIELD_MISSING", F.array_except("fields", "present_fields")),
         each("REQUIRED_CAPABILITY_UNAVAILABLE", F.array_except("capabilities", "available")),
         each("QUALITY_INSUFFICIENT", bad_quality),
@@ -119,8 +128,8 @@ def admit(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
 #: Payload fields that a record of each type may declare as present.
 PAYLOAD_FIELDS = {
     "PACKET": ("protocol", "src_address", "dst_address", "src_port", "dst_port", "flags", "observed_l4_facts", "fragmentation", "lengths"),
-    "FLOW": ("start_time", "end_time", "export_time", "supplied_directional_counters", "endpoints"),
-    "DNS": ("qname", "qtype", "labels", "qname_canonical", "rcode"),
+    "FLOW": ("start_time", "end_time", "export_time", "supplied_directional_counters", "endpoints", "protocol"),
+    "DNS": ("qname", "qtype", "labels", "qname_canonical", "representation_version", "rcode"),
     "TLS": ("parsed_handshake_metadata", "parsed_record_metadata", "prefix_time"),
 }
 

@@ -12,7 +12,7 @@ from sightline.plans.views import PACKET, PACKET_SQL, SECOND, duck, packets, tab
 #: What the record view adds to packets. Lists are comma-separated text, split where they are used.
 RECORD = {
     "observation_type": "CASE l_linenumber WHEN 5 THEN 'FLOW' WHEN 6 THEN 'DNS' WHEN 7 THEN 'TLS' ELSE 'PACKET' END",
-    "present": "CASE l_linenumber WHEN 5 THEN 'start_time,end_time,supplied_directional_counters' WHEN 6 THEN CASE WHEN l_tax = 0.02 THEN 'qname' ELSE 'qname,labels,qname_canonical' END "
+    "present": "CASE l_linenumber WHEN 5 THEN 'start_time,end_time,supplied_directional_counters,protocol' WHEN 6 THEN CASE WHEN l_tax = 0.02 THEN 'qname' WHEN l_tax = 0.01 THEN 'qname,labels,qname_canonical' ELSE 'qname,labels,qname_canonical,representation_version' END "
     "WHEN 7 THEN CASE WHEN l_tax = 0.03 THEN 'prefix_time' ELSE 'parsed_handshake_metadata' END "
     "ELSE CASE WHEN l_tax = 0.02 THEN 'protocol,src_address' WHEN l_tax = 0.03 THEN 'protocol,src_address,dst_address,src_port,dst_port,flags,qname' ELSE 'protocol,src_address,dst_address,src_port,dst_port,flags,observed_l4_facts,fragmentation' END END",
     "capability": "CASE WHEN l_discount = 0.05 THEN '' ELSE 'PACKET_FACTS,FLOW_FACTS,FORWARD_FACTS,CLEAR_DNS_FIELDS,TLS_HANDSHAKE_METADATA' END",
@@ -22,6 +22,12 @@ RECORD = {
     "direction_basis": "CASE WHEN l_tax = 0.04 THEN 'UNKNOWN' ELSE 'SOURCE_DECLARED' END",
     "quality_ref": "CASE WHEN l_discount = 0.01 THEN NULL ELSE 'quality-report' END",
     "parser_quality": "CASE WHEN l_tax = 0.07 THEN 'DEGRADED' ELSE 'CLEAR' END",
+    "flag_text": "CASE l_partkey % 9 WHEN 0 THEN 'SYN' WHEN 1 THEN 'ACK,SYN' WHEN 2 THEN 'SYN,ACK' WHEN 3 THEN 'RST,ACK' WHEN 4 THEN 'syn' WHEN 5 THEN 'SYN,ECE' WHEN 6 THEN 'ACK,PSH' WHEN 7 THEN 'RST,SYN' ELSE 'FIN,ACK' END",
+    "wire_src": f"CASE l_returnflag WHEN 'N' THEN {PACKET['src']} ELSE {PACKET['target']} END",
+    "wire_dst": f"CASE WHEN l_suppkey % 13 = 0 THEN 'elsewhere' WHEN l_returnflag = 'N' THEN {PACKET['target']} ELSE {PACKET['src']} END",
+    "forward_state": "CASE WHEN l_tax = 0.06 THEN 'UNAVAILABLE' WHEN l_tax = 0.07 THEN 'DEGRADED' ELSE 'AVAILABLE' END",
+    "counter_names": "CASE l_partkey % 4 WHEN 0 THEN 'bytes_s2c' WHEN 1 THEN 'packets_c2s,packets_s2c' ELSE 'bytes_c2s,bytes_s2c' END",
+    "early": "CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END",
     "late": "CASE WHEN l_partkey % 89 = 0 THEN 1 ELSE 0 END",
 }
 _EXTRA = {"initiator": PACKET["src"]}
@@ -36,6 +42,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         out.withColumn("availability_us", F.col("us") - F.col("late") * SECOND).withColumn("present_fields", words("present"))
         .withColumn("available", words("capability")).withColumn("unavailable", words("lacking")).withColumn("flags", F.split("flag_text", ","))
+        .withColumn("counters", F.split("counter_names", ",")).withColumn("start_us", F.col("us") - F.col("early") * SECOND)
     )
 
 
@@ -51,7 +58,27 @@ _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"  # noq
 _LANES = "lanes AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{x.lane_id}', '{x.observation_type}', {_list(x.fields)}, {_list(x.capabilities)}, {_list(x.finality)}, {_list(x.quality)}, {str(x.ingest).lower()})" for x in routing.LANES
 ) + ") AS l(lane_id, observation_type, fields, capabilities, finality, quality_facts, ingest))"
-_PREDICATE = "CASE lane_id " + " ".join(f"WHEN '{x.lane_id}' THEN coalesce({x.predicate}, false)" for x in routing.LANES) + " END"
+#: The lanes' rules once more, written for lists of DuckDB and not taken from the operators.
+_UP = "string_split(upper(flag_text), ',')"
+_HERE = "direction IN ('FORWARD', 'REVERSE') AND target IS NOT NULL AND service IS NOT NULL"
+_MATCHED = "CASE direction WHEN 'FORWARD' THEN initiator = wire_src AND target = wire_dst WHEN 'REVERSE' THEN initiator = wire_dst AND target = wire_src ELSE false END"
+_TRY = f"list_contains({_UP}, 'SYN') AND NOT list_contains({_UP}, 'ACK')"
+_RULES = {
+    "ddos.syn_state": f"protocol = 6 AND {_HERE} AND regexp_full_match(flag_text, '(SYN|ACK|RST)(,(SYN|ACK|RST))*')",
+    "ddos.udp_demand": f"protocol = 17 AND {_HERE}",
+    "ddos.reflection_victim": f"protocol = 17 AND direction = 'FORWARD' AND response_like AND length(trim(protocol_context)) > 0 AND {_HERE}",
+    "ddos.source_diversity": f"src <> '' AND protocol >= 0 AND protocol <= 255 AND {_HERE}",
+    "ddos.icmp_demand": f"protocol = 1 AND {_HERE}",
+    "ddos.fragment_demand": f"is_fragment AND {_HERE}",
+    "ddos.connection_churn": f"protocol = 6 AND direction = 'FORWARD' AND regexp_matches(flag_text, '(^|,)SYN(,|$)') AND NOT regexp_matches(flag_text, '(^|,)(ACK|RST)(,|$)') AND {_HERE}",
+    **dict.fromkeys(("recon.h", "recon.v", "recon.2d"), f"protocol = 6 AND direction = 'FORWARD' AND {_MATCHED} AND {_TRY}"),
+    "recon.tcp": f"protocol = 6 AND {_MATCHED} AND CASE direction WHEN 'FORWARD' THEN ({_TRY}) OR (list_contains({_UP}, 'ACK') AND NOT list_contains({_UP}, 'SYN') AND NOT list_contains({_UP}, 'RST')) "
+    f"ELSE (list_contains({_UP}, 'SYN') AND list_contains({_UP}, 'ACK')) OR list_contains({_UP}, 'RST') END",
+    "c2.r1": "early = 0 AND initiator IS NOT NULL AND target IS NOT NULL AND dport IS NOT NULL",
+    "unusual_transfer.m1": "forward_state <> 'UNAVAILABLE' AND contains(counter_names, 'c2s')",
+    **dict.fromkeys(("dga.m1", "dns_tunnelling.t1", "encrypted_session.enc_a"), "true"),
+}
+_PREDICATE = "CASE lane_id " + " ".join(f"WHEN '{k}' THEN coalesce({v}, false)" for k, v in _RULES.items()) + " END"
 _WHY = (
     "list_filter([CASE WHEN contract <> 'v1' THEN 'CONTRACT_MISMATCH' END, CASE WHEN len(list_filter(fields, lambda f: NOT list_contains(present_fields, f))) > 0 THEN 'REQUIRED_FIELD_MISSING' END, "
     "CASE WHEN len(list_filter(capabilities, lambda c: NOT list_contains(available, c))) > 0 THEN 'REQUIRED_CAPABILITY_UNAVAILABLE' END, "
