@@ -3,8 +3,8 @@
 No piece of the vocabulary has a space mark after another character, and no piece holds a line feed, so a text's tokens are
 those of its pre-tokens: a run of spaces with the word that follows, also cut before each line feed.
 Tier one is a compact hash table of the most frequent pre-tokens' lengths, broadcast; tier two is a cache in each worker
-for what the library had to encode. No pre-token is ever shuffled: each task keeps a bounded summary of its
-own frequent pre-tokens, summaries are merged in a bounded tree, and the table has TABLE entries at most.
+for what the library had to encode. The pre-tokens of the texts are not shuffled, before counting or after: each task keeps a
+bounded summary of its own frequent pre-tokens; only these summaries are merged, in a tree, to a table of TABLE entries at most.
 
 Defined cases: a null or empty text has 0 tokens; a repeated row gets the same count twice; very long
 texts are counted whole; an empty table gives an empty table; columns other than doc_id and text are

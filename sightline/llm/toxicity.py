@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from sightline.llm import common
 
-#: At most so many labelled documents are fitted on, and so many terms make the lexicon that is broadcast.
-FIT_DOCS, MAX_TERMS = 10000, 5000
+#: At most so many labelled documents are fitted on. That and MIN_SHARE also bound the lexicon that is broadcast.
+FIT_DOCS = 10000
 #: A term must stand in so many distinct contexts of toxic texts, and so large a share of the toxic texts.
 MIN_CONTEXTS, MIN_SHARE, MIN_WEIGHT = 3, 0.004, 1.5
 THRESHOLD = 0.3
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, exceptio
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("o") + 0.5) / (other + 1.0))
     terms = (
         counts.where((F.col("t") >= max(MIN_CONTEXTS, MIN_SHARE * toxic)) & (weight >= MIN_WEIGHT) & (F.length("term") > 2))
-        .select("term", weight.alias("w")).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()
+        .select("term", weight.alias("w")).orderBy(F.desc("w"), "term").collect()
     )
     lexicon = Lexicon({r["term"]: r["w"] for r in terms}, exceptions)
     shared = spark.sparkContext.broadcast(lexicon)
