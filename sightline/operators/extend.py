@@ -73,10 +73,13 @@ def sessions_with_gaps(rows: DataFrame, keys: tuple[str, ...], ttl_us: int) -> D
     return rows.withColumn("_break", (gap | enters).cast("int")).withColumn("session_no", F.sum("_break").over(w)).drop("_break")
 
 
-def write_side_outputs(batch: DataFrame, control_path: str, gap_path: str) -> None:
-    """Control events and quality gaps of one micro-batch; for foreachBatch, beside the result sink."""
-    batch.where("kind <> 'QUALITY_GAP'").select("kind", "lane_id", "obs_id", "us", "detail").write.mode("append").partitionBy("kind").parquet(control_path)
-    batch.where("kind = 'QUALITY_GAP'").select("lane_id", "obs_id", F.col("us").alias("opened_us"), "detail").write.mode("append").parquet(gap_path)
+def write_side_outputs(batch: DataFrame, control_path: str, gap_path: str, epoch: int) -> None:
+    """Control events and quality gaps of one micro-batch; for foreachBatch, beside the result sink.
+
+    Each epoch has its own folder, so a batch that is repeated replaces what it wrote before.
+    """
+    batch.where("kind <> 'QUALITY_GAP'").select("kind", "lane_id", "obs_id", "us", "detail").write.mode("overwrite").parquet(f"{control_path}/epoch={epoch}")
+    batch.where("kind = 'QUALITY_GAP'").select("lane_id", "obs_id", F.col("us").alias("opened_us"), "detail").write.mode("overwrite").parquet(f"{gap_path}/epoch={epoch}")
 
 
 def observation_summary(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -34,22 +34,34 @@ def split_late(batch: DataFrame, boundary_us: int | None) -> tuple[DataFrame, Da
 
 
 class LateSplitter:
-    """foreachBatch handler: late rows to one sink, the others to another, by the running greatest time.
+    """foreachBatch handler: late rows to one sink, the others to another, by the greatest time of all earlier batches.
 
-    The boundary is kept between batches and moves only forward; `start` continues a stopped stream from a stored boundary.
+    What each batch's times reached is kept by its epoch: as a table under `store`, which survives a restart, or in memory without one.
+    A repeated batch finds the boundary that it had the first time, so it is split the same way.
     """
 
-    def __init__(self, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], start: int | None = None):
-        self.on_time, self.late, self.boundary = on_time, late, start
+    def __init__(self, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], store: str | None = None):
+        self.on_time, self.late, self.store, self.tops = on_time, late, store, {}
+
+    def boundary(self, batch: DataFrame, epoch: int) -> int | None:
+        if self.store is None:
+            return max((top for e, top in self.tops.items() if e < epoch), default=None)
+        # A file of this epoch at least stands there before the first read, so the folder always has a schema.
+        batch.sparkSession.createDataFrame([(epoch, None)], "epoch long, top long").coalesce(1).write.mode("overwrite").parquet(f"{self.store}/batch={epoch}")
+        return batch.sparkSession.read.schema("epoch long, top long").parquet(self.store).where(F.col("epoch") < epoch).agg(F.max("top")).first()[0]
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        good, late = split_late(batch, self.boundary)
+        good, late = split_late(batch, self.boundary(batch, epoch))
         self.on_time(good, epoch)
         self.late(late, epoch)
-        top = batch.agg(F.max("us")).first()[0]
-        if top is not None:
-            self.boundary = top if self.boundary is None else max(self.boundary, top)
+        top = batch.agg(F.max("us").alias("top"))
+        if self.store is None:
+            found = top.first()[0]
+            if found is not None:
+                self.tops[epoch] = found
+        else:
+            top.select(F.lit(epoch).cast("long").alias("epoch"), "top").coalesce(1).write.mode("overwrite").parquet(f"{self.store}/batch={epoch}")
         batch.unpersist()
 
 

@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from sightline.operators import demand, machines
+from sightline.operators import demand, extend, machines
 from sightline.sources import bundles, captures
 from sightline.streaming import stateful, windows
 
@@ -62,11 +62,13 @@ def test_window_stream_equals_batch(spark, tmp_path):
     for k in range(4):
         df.where((F.col("us") / 1_500_000).cast("int") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("event_time", F.timestamp_micros("us"))
-    q = windows.demand_stream(stream, demand.LANES["udp_demand"], "1 second", "10 seconds").writeStream.format("memory").queryName("demand_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = windows.demand_stream(stream, demand.LANES["udp_demand"], "1 second", "1 second").writeStream.format("memory").queryName("demand_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     got = {(r["window_start"], r["packet_count"], r["byte_count"]) for r in spark.table("demand_rows").collect()}
     batch = demand.demand_window(df, demand.LANES["udp_demand"], 1_000_000)
-    assert got <= {(r["window_start"], r["packet_count"], r["byte_count"]) for r in batch.collect()}
+    closed = max(r[0] for r in rows) - 1_000_000
+    want = {(r["window_start"], r["packet_count"], r["byte_count"]) for r in batch.collect() if r["window_start"] + 1_000_000 <= closed}
+    assert got == want and len(want) == 4
 
 
 def test_late_rows_go_aside_and_equality_is_on_time(spark):
@@ -77,6 +79,24 @@ def test_late_rows_go_aside_and_equality_is_on_time(spark):
     assert sorted(good) == [5, 5, 7, 7] and late == [(4, 5), (6, 7)]
 
 
+def test_late_boundary_survives_a_restart_and_a_repeated_batch(spark, tmp_path):
+    def run(epoch, values):
+        good, late = [], []
+        s = windows.LateSplitter(lambda d, e: good.extend(r["us"] for r in d.collect()), lambda d, e: late.extend(r["us"] for r in d.collect()), str(tmp_path / "tops"))
+        s(spark.createDataFrame([(x,) for x in values], "us long"), epoch)
+        return sorted(good), sorted(late)
+
+    assert run(0, [5, 3]) == ([3, 5], []) and run(1, [4, 9]) == ([9], [4])
+    assert run(1, [4, 9]) == ([9], [4]) and run(2, [8, 9]) == ([9], [8])
+
+
+def test_side_outputs_of_a_repeated_batch_stay_once(spark, tmp_path):
+    rows = spark.createDataFrame([("LATE_EVENT_OBSERVED", "l", "o1", 1, "x"), ("QUALITY_GAP", "l", "o2", 2, "y")], "kind string, lane_id string, obs_id string, us long, detail string")
+    for epoch in (0, 0, 1):
+        extend.write_side_outputs(rows, str(tmp_path / "control"), str(tmp_path / "gaps"), epoch)
+    assert spark.read.parquet(str(tmp_path / "control")).count() == 2 and {r["opened_us"] for r in spark.read.parquet(str(tmp_path / "gaps")).collect()} == {2}
+
+
 def test_steps_survive_json():
     s, _ = machines.step_syn(None, dict(us=0, obs_id="a", direction="FORWARD", flags=["SYN"], signature=None, both_visible=True, degraded=False))
     assert machines.SynState(**json.loads(json.dumps(s.__dict__))) == s
