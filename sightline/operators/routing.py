@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ class Lane:
     contract: str = "v1"
     quality: tuple[str, ...] = ()
     ingest: bool = True
+    availability: tuple[str, ...] = ("IMMEDIATE", "WINDOW_DERIVED", "REVERSE_DEPENDENT", "FLOW_END_ONLY", "OTHER")
     result_types: tuple[str, ...] = ("REVIEW_FINDING", "QUALITY_DEGRADED", "INSUFFICIENT_EVIDENCE")
 
 
@@ -30,12 +32,14 @@ _BASE = "direction IN ('FORWARD', 'REVERSE') AND target IS NOT NULL AND service
 _ADDRESSES = ("protocol", "src_address", "dst_address")
 _TUPLE = (*_ADDRESSES, "src_port", "dst_port", "flags")
 #: Flags are sets: their order never matters, and what a rule does not name is free. Scan lanes read them in any case.
-_ATTEMPT = "array_contains(transform(flags, x -> upper(x)), 'SYN') AND NOT array_contains(transform(flags, x -> upper(x)), 'ACK')"
+#: (Split text instead of a lambda, so that generated code runs it, and once a record.)
+_ANY_CASE = "split(upper(concat_ws(',', flags)), ',')"
+_ATTEMPT = f"array_contains({_ANY_CASE}, 'SYN') AND NOT array_contains({_ANY_CASE}, 'ACK')"
 _ROLES = "((direction = 'FORWARD' AND initiator = wire_src AND target = wire_dst) OR (direction = 'REVERSE' AND initiator = wire_dst AND target = wire_src))"
 _SCAN = f"protocol = 6 AND direction = 'FORWARD' AND {_ROLES} AND {_ATTEMPT}"
 _EXCHANGE = (
-    f"protocol = 6 AND {_ROLES} AND ((direction = 'FORWARD' AND (({_ATTEMPT}) OR (array_contains(transform(flags, x -> upper(x)), 'ACK') AND NOT arrays_overlap(transform(flags, x -> upper(x)), array('SYN', 'RST'))))) "
-    "OR (direction = 'REVERSE' AND (size(array_except(array('SYN', 'ACK'), transform(flags, x -> upper(x)))) = 0 OR array_contains(transform(flags, x -> upper(x)), 'RST'))))"
+    f"protocol = 6 AND {_ROLES} AND ((direction = 'FORWARD' AND (({_ATTEMPT}) OR (array_contains({_ANY_CASE}, 'ACK') AND NOT arrays_overlap({_ANY_CASE}, array('SYN', 'RST'))))) "
+    f"OR (direction = 'REVERSE' AND ((array_contains({_ANY_CASE}, 'SYN') AND array_contains({_ANY_CASE}, 'ACK')) OR array_contains({_ANY_CASE}, 'RST'))))"
 )
 #: The 16 lanes; conditions differ in small ways that matter (which flags, which directions).
 LANES = (
@@ -66,63 +70,83 @@ def lane_table(spark: SparkSession, lanes: tuple[Lane, ...] = LANES) -> DataFram
     return spark.createDataFrame([(x.lane_id, x.observation_type, list(x.fields), list(x.capabilities), list(x.finality), list(x.quality), x.ingest, list(x.result_types), x.contract) for x in lanes], LANE_SCHEMA)
 
 
-def predicate(lanes: tuple[Lane, ...] = LANES) -> Column:
-    """The condition of the lane that the row's lane_id names."""
-    out = F.lit(False)
-    for x in lanes:
-        out = F.when(F.col("lane_id") == x.lane_id, F.expr(x.predicate)).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+#: Contracts that stand for none. A lane that names one accepts records of every contract.
+PLACEHOLDERS = ("NOT_YET_GOVERNED", "NOT_APPLICABLE")
+
+
+def matches(lane: Lane) -> Column:
+    """Does the record meet the lane's own condition? What it does not know is no match."""
+    return F.coalesce(F.expr(lane.predicate), F.lit(False))
+
+
+def _lacks(column: str, names: tuple[str, ...]) -> list[Column]:
+    return [~F.coalesce(F.array_contains(column, n), F.lit(False)) for n in names]
+
+
+def _refused(lane: Lane) -> dict[str, Column]:
+    """What a lane holds against a record's contract, finality and basis of availability."""
+    contract = F.lit(False) if lane.contract in PLACEHOLDERS else ~F.col("contract").eqNullSafe(lane.contract)
+    return {
+        "contract": contract, "finality": ~F.coalesce(F.col("record_finality").isin(*lane.finality), F.lit(False)),
+        "availability": ~F.coalesce(F.col("availability_basis").isin(*lane.availability), F.lit(False)),
+    }
+
 
+def structural_reasons(lane: Lane) -> Column:
+    """Why a record cannot enter the lane, comma-separated in the order in which reasons are reported; empty if it can."""
+    refused, any_of = _refused(lane), lambda tests: reduce(or_, tests, F.lit(False))
+    return F.concat_ws(
+        ",", F.when(refused["contract"], "CONTRACT_MISMATCH"), F.when(any_of(_lacks("present_fields", lane.fields)), "REQUIRED_FIELD_MISSING"),
+        F.when(any_of(_lacks("available", lane.capabilities)), "REQUIRED_CAPABILITY_UNAVAILABLE"),
+        F.when(refused["finality"], "FINALITY_UNSUPPORTED"), F.when(refused["availability"], "AVAILABILITY_UNSUPPORTED"),
+    )
+
+
+def admission_reasons(lane: Lane) -> Column:
+    """Every reason against admission, once for each missing field, capability and quality fact, comma-separated."""
+    refused = _refused(lane)
+    fields = [F.when(bad, f"REQUIRED_FIELD_MISSING:{n}") for n, bad in zip(lane.fields, _lacks("present_fields", lane.fields))]
+    views = [F.when(bad, f"REQUIRED_CAPABILITY_UNAVAILABLE:{n}") for n, bad in zip(lane.capabilities, _lacks("available", lane.capabilities))]
+    quality = [F.when(F.col(f"{q}_quality") == "DEGRADED", f"QUALITY_INSUFFICIENT:{q}") for q in lane.quality]
+    return F.concat_ws(
+        ",", F.lit(None if lane.ingest else "INGEST_NOT_PERMITTED"), *fields, F.when(refused["contract"], "CONTRACT_MISMATCH"),
+        F.when(refused["finality"], "FINALITY_UNSUPPORTED"), F.when(refused["availability"], "AVAILABILITY_UNSUPPORTED"), *views, *quality,
+    )
 
-def candidates(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
-    """Each record with each lane that accepts its type; the lane table has one row for each lane, so it is broadcast."""
-    return records.join(F.broadcast(lane_table(records.sparkSession, lanes)), "observation_type")
 
+def for_each_lane(records: DataFrame, columns: Callable[[Lane], list[Column]], lanes: tuple[Lane, ...] = LANES) -> DataFrame:
+    """obs_id, lane_id and the lane's columns for each record and each lane that accepts its type.
 
-def structural_reasons() -> Column:
-    """Why a record cannot enter a lane, in the order in which the reasons are reported."""
-    return F.array_compact(F.array(
-        F.when(F.col("contract") != F.col("lane_contract"), "CONTRACT_MISMATCH"),
-        F.when(F.size(F.array_except("fields", "present_fields")) > 0, "REQUIRED_FIELD_MISSING"),
-        F.when(F.size(F.array_except("capabilities", "available")) > 0, "REQUIRED_CAPABILITY_UNAVAILABLE"),
-        F.when(~F.array_contains("finality", F.col("record_finality")), "FINALITY_UNSUPPORTED"),
-        F.when(F.col("availability_us") < F.col("us"), "AVAILABILITY_UNSUPPORTED"),
-    ))
+    A record's decisions are one array built by generated code and unfolded: no join with the lanes and no shuffle.
+    """
+    kinds: dict[str, list[Column]] = {}
+    for x in lanes:
+        kinds.setdefault(x.observation_type, []).append(F.struct(F.lit(x.lane_id).alias("lane_id"), *columns(x)))
+    made = None
+    for kind, structs in kinds.items():
+        here = F.col("observation_type") == kind
+        made = F.when(here, F.array(*structs)) if made is None else made.when(here, F.array(*structs))
+    return records.select("obs_id", F.inline(made))
 
 
 def route_plan(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     """One decision for each record and candidate lane: structural reasons, else SELECTED or PREDICATE_FALSE."""
-    rows = candidates(records, lanes).withColumn("_why", structural_reasons()).withColumn("_ok", predicate(lanes))
-    free = F.size("_why") == 0
-    reasons = F.when(~free, F.array_join("_why", ",")).when(F.col("_ok"), "SELECTED").otherwise("PREDICATE_FALSE")
-    return rows.select("obs_id", "lane_id", (free & F.col("_ok")).alias("selected"), reasons.alias("reasons"))
+    rows = for_each_lane(records, lambda x: [structural_reasons(x).alias("why"), matches(x).alias("ok")], lanes)
+    free = F.col("why") == ""
+    reasons = F.when(~free, F.col("why")).when(F.col("ok"), "SELECTED").otherwise("PREDICATE_FALSE")
+    return rows.select("obs_id", "lane_id", (free & F.col("ok")).alias("selected"), reasons.alias("reasons"))
 
 
 def fan_out(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     """Each record once for every lane that selects it, in one pass and independently of the others."""
-    has = lambda column, names: [F.array_contains(column, n) for n in names]
-    common = (F.col("availability_us") >= F.col("us"))
-    flags = []
-    for x in lanes:
-        first = common & (F.col("observation_type") == x.observation_type) & (F.col("contract") == x.contract) & F.col("record_finality").isin(*x.finality)
-        needs = reduce(and_, [first, *has("present_fields", x.fields), *has("available", x.capabilities)])
-        flags.append(F.when(needs & F.coalesce(F.expr(x.predicate), F.lit(False)), F.lit(x.lane_id)))
+    flags = [F.when((F.col("observation_type") == x.observation_type) & (structural_reasons(x) == "") & matches(x), x.lane_id) for x in lanes]
     return records.withColumn("routes", F.array_compact(F.array(*flags)))
 
 
 def admit(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
-    """Every reason against admission, once for each missing field, capability and quality fact."""
-    rows = candidates(records, lanes)
-    each = lambda name, values: F.transform(values, lambda v: F.concat(F.lit(f"{name}:"), v))
-    bad_quality = F.filter("quality_facts", lambda q: F.col("parser_quality") == "DEGRADED")
-    reasons = F.concat(
-        F.when(~F.col("ingest"), F.array(F.lit("INGEST_NOT_PERMITTED"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("contract") != F.col("lane_contract"), F.array(F.lit("CONTRACT_MISMATCH"))).otherwise(F.array().cast("array<string>")),
-        each("REQUIRED_FIELD_MISSING", F.array_except("fields", "present_fields")),
-        each("REQUIRED_CAPABILITY_UNAVAILABLE", F.array_except("capabilities", "available")),
-        each("QUALITY_INSUFFICIENT", bad_quality),
-    )
-    return rows.select("obs_id", "lane_id", (F.size(reasons) == 0).alias("admitted"), F.array_join(reasons, ",").alias("reasons"))
+    """Admission of each record to each candidate lane, with every reason against it."""
+    rows = for_each_lane(records, lambda x: [admission_reasons(x).alias("reasons")], lanes)
+    return rows.select("obs_id", "lane_id", (F.col("reasons") == "").alias("admitted"), "reasons")
 
 
 #: Payload fields that a record of each type may declare as present.
@@ -131,11 +155,15 @@ PAYLOAD_FIELDS = {
     "FLOW": ("start_time", "end_time", "export_time", "supplied_directional_counters", "endpoints", "protocol"),
     "DNS": ("qname", "qtype", "labels", "qname_canonical", "representation_version", "rcode"),
     "TLS": ("parsed_handshake_metadata", "parsed_record_metadata", "prefix_time"),
+    "QUIC": ("outer_header", "version", "connection_id_length"),
 }
 
 
 def envelope_errors(records: DataFrame) -> DataFrame:
-    """records with the list of what is wrong with each envelope; empty means valid."""
+    """records with the list of what is wrong with each envelope; empty means valid.
+
+    payload_type is the type of the payload that came with the record, null_fields the payload's fields without a value.
+    """
     allowed = F.lit(None).cast("array<string>")
     for kind, fields in PAYLOAD_FIELDS.items():
         allowed = F.when(F.col("observation_type") == kind, F.array(*map(F.lit, fields))).otherwise(allowed)
@@ -146,5 +174,7 @@ def envelope_errors(records: DataFrame) -> DataFrame:
         F.when((F.col("direction") == "FORWARD") & F.array_contains("unavailable", "FORWARD_FACTS"), "DIRECTION_CONTRADICTS_VISIBILITY")
         .when((F.col("direction") == "REVERSE") & F.array_contains("unavailable", "REVERSE_FACTS"), "DIRECTION_CONTRADICTS_VISIBILITY"),
         F.when((F.col("quality") == "DEGRADED") & F.col("quality_ref").isNull(), "DEGRADED_QUALITY_WITHOUT_REFERENCE"),
+        F.when(F.col("payload_type") != F.col("observation_type"), "WRONG_PAYLOAD_TYPE"),
         F.when(F.size(F.array_except("present_fields", F.coalesce(allowed, F.array().cast("array<string>")))) > 0, "IMPOSSIBLE_PRESENT_FIELD"),
+        F.when(F.arrays_overlap("present_fields", "null_fields"), "NULL_FIELD_PRESENT"),
     )))

@@ -28,6 +28,9 @@ RECORD = {
     "forward_state": "CASE WHEN l_tax = 0.06 THEN 'UNAVAILABLE' WHEN l_tax = 0.07 THEN 'DEGRADED' ELSE 'AVAILABLE' END",
     "counter_names": "CASE l_partkey % 4 WHEN 0 THEN 'bytes_s2c' WHEN 1 THEN 'packets_c2s,packets_s2c' ELSE 'bytes_c2s,bytes_s2c' END",
     "early": "CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END",
+    "availability_basis": "CASE WHEN l_partkey % 89 = 0 THEN 'UNDECLARED' WHEN l_linenumber = 5 AND l_suppkey % 2 = 0 THEN 'FLOW_END_ONLY' ELSE 'IMMEDIATE' END",
+    "payload_type": "CASE WHEN l_suppkey % 71 = 0 THEN 'QUIC' WHEN l_linenumber = 5 THEN 'FLOW' WHEN l_linenumber = 6 THEN 'DNS' WHEN l_linenumber = 7 THEN 'TLS' ELSE 'PACKET' END",
+    "null_names": "CASE WHEN l_discount = 0.02 THEN 'src_port,rcode' WHEN l_discount = 0.03 THEN 'qname,lengths' ELSE '' END",
     "late": "CASE WHEN l_partkey % 89 = 0 THEN 1 ELSE 0 END",
 }
 _EXTRA = {"initiator": PACKET["src"]}
@@ -41,7 +44,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     return (
         out.withColumn("availability_us", F.col("us") - F.col("late") * SECOND).withColumn("present_fields", words("present"))
-        .withColumn("available", words("capability")).withColumn("unavailable", words("lacking")).withColumn("flags", F.split("flag_text", ","))
+        .withColumn("available", words("capability")).withColumn("unavailable", words("lacking")).withColumn("null_fields", words("null_names")).withColumn("flags", F.split("flag_text", ","))
         .withColumn("counters", F.split("counter_names", ",")).withColumn("start_us", F.col("us") - F.col("early") * SECOND)
     )
 
@@ -52,7 +55,7 @@ RECORD_SQL = (
 )
 _RECORDS = (
     f"v AS (SELECT *, row_number() OVER () AS rid, us - late * {SECOND} AS availability_us, list_filter(string_split(present, ','), lambda x: x <> '') AS present_fields, "
-    f"list_filter(string_split(capability, ','), lambda x: x <> '') AS available, list_filter(string_split(lacking, ','), lambda x: x <> '') AS unavailable FROM ({RECORD_SQL}))"
+    f"list_filter(string_split(capability, ','), lambda x: x <> '') AS available, list_filter(string_split(lacking, ','), lambda x: x <> '') AS unavailable, list_filter(string_split(null_names, ','), lambda x: x <> '') AS null_fields FROM ({RECORD_SQL}))"
 )
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
 _LANES = "lanes AS (SELECT * FROM (VALUES " + ", ".join(
@@ -82,17 +85,18 @@ _PREDICATE = "CASE lane_id " + " ".join(f"WHEN '{k}' THEN coalesce({v}, false)"
 _WHY = (
     "list_filter([CASE WHEN contract <> 'v1' THEN 'CONTRACT_MISMATCH' END, CASE WHEN len(list_filter(fields, lambda f: NOT list_contains(present_fields, f))) > 0 THEN 'REQUIRED_FIELD_MISSING' END, "
     "CASE WHEN len(list_filter(capabilities, lambda c: NOT list_contains(available, c))) > 0 THEN 'REQUIRED_CAPABILITY_UNAVAILABLE' END, "
-    "CASE WHEN NOT list_contains(finality, record_finality) THEN 'FINALITY_UNSUPPORTED' END, CASE WHEN availability_us < us THEN 'AVAILABILITY_UNSUPPORTED' END], lambda x: x IS NOT NULL)"
+    "CASE WHEN NOT list_contains(finality, record_finality) THEN 'FINALITY_UNSUPPORTED' END, CASE WHEN availability_basis = 'UNDECLARED' THEN 'AVAILABILITY_UNSUPPORTED' END], lambda x: x IS NOT NULL)"
 )
-_PLAN = f"p AS (SELECT v.*, lane_id, {_WHY} AS why, {_PREDICATE} AS ok, fields, capabilities, quality_facts, ingest FROM v JOIN lanes USING (observation_type))"
+_PLAN = f"p AS (SELECT v.*, lane_id, {_WHY} AS why, {_PREDICATE} AS ok, fields, capabilities, finality, quality_facts, ingest FROM v JOIN lanes USING (observation_type))"
 
 ROUTE_SQL = f"""WITH {_RECORDS}, {_LANES}, {_PLAN}
 SELECT obs_id, lane_id, len(why) = 0 AND ok AS selected, CASE WHEN len(why) > 0 THEN array_to_string(why, ',') WHEN ok THEN 'SELECTED' ELSE 'PREDICATE_FALSE' END AS reasons FROM p"""
 ADMIT_SQL = f"""WITH {_RECORDS}, {_LANES}, {_PLAN},
-r AS (SELECT obs_id, lane_id, list_concat(list_concat(list_concat(list_concat(CASE WHEN NOT ingest THEN ['INGEST_NOT_PERMITTED'] ELSE []::VARCHAR[] END, CASE WHEN contract <> 'v1' THEN ['CONTRACT_MISMATCH'] ELSE []::VARCHAR[] END),
-  list_transform(list_filter(fields, lambda f: NOT list_contains(present_fields, f)), lambda f: 'REQUIRED_FIELD_MISSING:' || f)),
-  list_transform(list_filter(capabilities, lambda c: NOT list_contains(available, c)), lambda c: 'REQUIRED_CAPABILITY_UNAVAILABLE:' || c)),
-  CASE WHEN parser_quality = 'DEGRADED' THEN list_transform(quality_facts, lambda q: 'QUALITY_INSUFFICIENT:' || q) ELSE []::VARCHAR[] END) AS reasons FROM p)
+r AS (SELECT obs_id, lane_id, flatten([CASE WHEN NOT ingest THEN ['INGEST_NOT_PERMITTED'] ELSE []::VARCHAR[] END,
+  list_transform(list_filter(fields, lambda f: NOT list_contains(present_fields, f)), lambda f: 'REQUIRED_FIELD_MISSING:' || f),
+  list_filter([CASE WHEN contract <> 'v1' THEN 'CONTRACT_MISMATCH' END, CASE WHEN NOT list_contains(finality, record_finality) THEN 'FINALITY_UNSUPPORTED' END, CASE WHEN availability_basis = 'UNDECLARED' THEN 'AVAILABILITY_UNSUPPORTED' END], lambda x: x IS NOT NULL),
+  list_transform(list_filter(capabilities, lambda c: NOT list_contains(available, c)), lambda c: 'REQUIRED_CAPABILITY_UNAVAILABLE:' || c),
+  CASE WHEN parser_quality = 'DEGRADED' THEN list_transform(quality_facts, lambda q: 'QUALITY_INSUFFICIENT:' || q) ELSE []::VARCHAR[] END]) AS reasons FROM p)
 SELECT obs_id, lane_id, len(reasons) = 0 AS admitted, array_to_string(reasons, ',') AS reasons FROM r"""
 FAN_OUT_SQL = f"""WITH {_RECORDS}, {_LANES}, {_PLAN},
 s AS (SELECT rid, count(*) AS n FROM p WHERE len(why) = 0 AND ok GROUP BY rid)
@@ -106,7 +110,7 @@ def fan_out_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lane_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routing.candidates(records(spark, sf_dir)).withColumn("ok", routing.predicate()).withColumn("free", F.size(routing.structural_reasons()) == 0)
+    rows = routing.for_each_lane(records(spark, sf_dir), lambda x: [routing.matches(x).alias("ok"), (routing.structural_reasons(x) == "").alias("free")])
     return rows.groupBy("lane_id").agg(F.count("*").alias("records"), F.count_if("ok").alias("true_count"), F.count_if(F.col("ok") & F.col("free")).alias("selected"))
 
 
@@ -119,7 +123,8 @@ ENVELOPE_SQL = f"""WITH {_RECORDS},
 e AS (SELECT obs_id, list_filter([CASE WHEN availability_us < us THEN 'CAUSAL_TIME_BEFORE_EVENT_TIME' END, CASE WHEN direction <> 'UNKNOWN' AND direction_basis = 'UNKNOWN' THEN 'DIRECTION_WITHOUT_BASIS' END,
   CASE WHEN (direction = 'FORWARD' AND list_contains(unavailable, 'FORWARD_FACTS')) OR (direction = 'REVERSE' AND list_contains(unavailable, 'REVERSE_FACTS')) THEN 'DIRECTION_CONTRADICTS_VISIBILITY' END,
   CASE WHEN quality = 'DEGRADED' AND quality_ref IS NULL THEN 'DEGRADED_QUALITY_WITHOUT_REFERENCE' END,
-  CASE WHEN len(list_filter(present_fields, lambda f: NOT list_contains({_ALLOWED}, f))) > 0 THEN 'IMPOSSIBLE_PRESENT_FIELD' END], lambda x: x IS NOT NULL) AS errors FROM v)
+  CASE WHEN payload_type <> observation_type THEN 'WRONG_PAYLOAD_TYPE' END, CASE WHEN len(list_filter(present_fields, lambda f: NOT list_contains({_ALLOWED}, f))) > 0 THEN 'IMPOSSIBLE_PRESENT_FIELD' END,
+  CASE WHEN list_has_any(present_fields, null_fields) THEN 'NULL_FIELD_PRESENT' END], lambda x: x IS NOT NULL) AS errors FROM v)
 SELECT obs_id, array_to_string(errors, ',') AS errors, len(errors) = 0 AS valid FROM e"""
 
 

@@ -208,7 +208,7 @@ def test_registry_runs_selected_records_only(spark):
     from sightline.operators.extend import Mechanism, Registry
 
     rows = spark.createDataFrame([("a", 6, 5), ("b", 17, 5)], "obs_id string, protocol int, us long").select(
-        "*", F.lit("PACKET").alias("observation_type"), F.lit("v1").alias("contract"), F.array(F.lit("protocol")).alias("present_fields"), F.array(F.lit("PACKET_FACTS")).alias("available"), F.lit("IMMEDIATE").alias("record_finality"), F.col("us").alias("availability_us"))
+        "*", F.lit("PACKET").alias("observation_type"), F.lit("v1").alias("contract"), F.array(F.lit("protocol")).alias("present_fields"), F.array(F.lit("PACKET_FACTS")).alias("available"), F.lit("IMMEDIATE").alias("record_finality"), F.lit("IMMEDIATE").alias("availability_basis"))
     mine = Mechanism(routing.Lane("own.udp", "PACKET", ("protocol",), ("PACKET_FACTS",), "protocol = 17"), lambda d: d.select("obs_id"), {"x": 1})
     reg = Registry()
     reg.register(mine)
