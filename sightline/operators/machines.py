@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.core import causal_order
@@ -162,13 +162,18 @@ def syn_state(packets: DataFrame, end_us: int | None = None) -> DataFrame:
     return fold(rows, SYN_KEYS, step_syn, expire_syn, SYN_OUT, "target string, service string, protocol int, pair string", end_us)
 
 
-def recon_tcp(packets: DataFrame) -> DataFrame:
-    """Attempt outcomes from the four facts: forward SYN, reverse SYN+ACK, reverse RST, forward ACK."""
-    fact = (
-        F.when((F.col("direction") == "FORWARD") & F.array_contains("flags", "SYN") & ~F.array_contains("flags", "ACK"), "SYN")
-        .when((F.col("direction") == "REVERSE") & F.array_contains("flags", "SYN") & F.array_contains("flags", "ACK"), "SYN_ACK")
-        .when((F.col("direction") == "REVERSE") & F.array_contains("flags", "RST"), "RST")
-        .when((F.col("direction") == "FORWARD") & F.array_contains("flags", "ACK") & ~F.array_contains("flags", "SYN") & ~F.array_contains("flags", "RST"), "ACK")
+def tcp_fact() -> Column:
+    """The fact of a packet: forward SYN, reverse SYN+ACK, reverse RST or forward ACK; NULL for any other. Flags count in any case."""
+    flags = F.split(F.upper(F.concat_ws(",", "flags")), ",")
+    has = lambda name: F.array_contains(flags, name)
+    forward, backward = F.col("direction") == "FORWARD", F.col("direction") == "REVERSE"
+    return (
+        F.when(forward & has("SYN") & ~has("ACK"), "SYN").when(backward & has("SYN") & has("ACK"), "SYN_ACK").when(backward & has("RST"), "RST")
+        .when(forward & has("ACK") & ~has("SYN") & ~has("RST"), "ACK")
     )
-    rows = packets.withColumn("fact", fact).where("fact IS NOT NULL").select(*TCP_KEYS, "us", "obs_id", "fact")
+
+
+def recon_tcp(packets: DataFrame) -> DataFrame:
+    """Attempt outcomes from the four facts of tcp_fact."""
+    rows = packets.withColumn("fact", tcp_fact()).where("fact IS NOT NULL").select(*TCP_KEYS, "us", "obs_id", "fact")
     return fold(rows, TCP_KEYS, step_tcp, None, TCP_OUT, "initiator string, target string, sport long, dport long, protocol int")

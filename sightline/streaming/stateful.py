@@ -1,73 +1,141 @@
-"""State machines and keyed reordering as streams, with the step functions of the batch operators."""
+"""Keyed lanes as streams: rows wait until the watermark passes them and are then stepped in causal order.
+
+A key's rows lie in map state by the millisecond that releases them, so a timer reads only what the watermark has passed
+and the answer does not depend on the order of arrival. State is bounded as in batch (an attempt, 16 or 32 events) and ends by
+timer. The step functions are those of the batch operators, or give the same rows as their windows (history lanes).
+All streams need the RocksDB state store and an `event_time` column beside `us`.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sightline.functions.deploy import ship
 from sightline.operators import machines
+from sightline.streaming import steps
 
+TCP_TTL_US = 3_600_000_000
 
-class SynProcessor(StatefulProcessor):
-    """Holds a key's packets until the watermark passes them, steps them in causal order, and expires attempts by timer.
 
-    A packet is released once the watermark is beyond its time, so the answer does not depend on the order of arrival.
-    """
+@dataclass(frozen=True)
+class StreamLane:
+    """step(state, row) gives the next state and output rows; deadline(state) says when its time is over, and
+    finish(state) what is then left to say. dump and load turn a state into JSON values and back."""
 
-    columns = [c.split()[0] for c in machines.SYN_OUT.split(", ")]
+    keys: tuple[str, ...]
+    key_schema: str
+    fields: tuple[str, ...]
+    out_schema: str
+    step: Callable
+    deadline: Callable
+    finish: Callable | None = None
+    dump: Callable = staticmethod(lambda s: s)
+    load: Callable = staticmethod(lambda s: s)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("attempt", "body string")
-        self.waiting = handle.getListState("waiting", "body string")
 
-    def _load(self):
-        found = self.state.get() if self.state.exists() else None
-        return machines.SynState(**json.loads(found[0])) if found else None
+class KeyedOrder(StatefulProcessor):
+    """Holds, orders, steps and expires one lane's keys."""
 
-    def _save(self, s) -> None:
-        if s is None:
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(s.__dict__),))
+    def __init__(self, lane: StreamLane) -> None:
+        self.lane = lane
+        self.columns = [*lane.keys, *(c.split()[0] for c in lane.out_schema.split(", "))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "body string")
+        self.waiting = handle.getMapState("waiting", "due long", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[dict]] = {}
         for df in rows:
-            for r in df.to_dict("records"):
-                body = {c: (list(v) if c == "flags" else v.item() if hasattr(v, "item") else v) for c, v in r.items() if c in ("us", "obs_id", "direction", "flags", "signature", "both_visible", "degraded")}
-                self.waiting.appendValue((json.dumps(body),))
-                self.handle.registerTimer(body["us"] // 1000 + 1)
-        yield pd.DataFrame(columns=[*machines.SYN_KEYS, *self.columns])
+            for r in df[["us", "obs_id", *self.lane.fields]].to_dict("records"):
+                body = {c: v.tolist() if hasattr(v, "tolist") else v for c, v in r.items()}
+                new.setdefault(body["us"] // 1000 + 1, []).append(body)
+        for due, bodies in new.items():
+            if self.waiting.containsKey((due,)):
+                bodies = json.loads(self.waiting.getValue((due,))[0]) + bodies
+            self.waiting.updateValue((due,), (json.dumps(bodies),))
+            self.handle.registerTimer(due)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = [json.loads(x[0]) for x in self.waiting.get()]
-        ready = sorted((r for r in held if r["us"] < due), key=lambda r: (r["us"], r["obs_id"]))
-        if ready:
-            self.waiting.put([(json.dumps(r),) for r in held if r["us"] >= due]) if len(ready) < len(held) else self.waiting.clear()
-        s, out = self._load(), []
-        for r in ready:
-            s, made = machines.step_syn(s, r)
-            out += made
-        if s is not None and s.first_us + machines.SYN_TTL_US <= due - 1000:
-            out.append(machines.expire_syn(s))
-            s = None
-        elif s is not None:
-            self.handle.registerTimer((s.first_us + machines.SYN_TTL_US) // 1000 + 1)
-        self._save(s)
-        yield pd.DataFrame([(*key, *m) for m in out], columns=[*machines.SYN_KEYS, *self.columns])
+        """Steps all that the watermark has passed, then expires the state if its time is over too.
+
+        The watermark decides, not the one timer: a deadline that a step sets may have passed already, and then no later batch need come.
+        """
+        due, now, out, lane = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), [], self.lane
+        at, state = json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
+        if not self.waiting.containsKey((due,)) and (at is None or at > now):
+            return
+        state = None if state is None else lane.load(state)
+        for passed in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
+            for r in sorted(json.loads(self.waiting.getValue((passed,))[0]), key=lambda r: (r["us"], r["obs_id"])):
+                state, made = lane.step(state, r)
+                out += made
+            self.waiting.removeKey((passed,))
+        if state is not None and lane.deadline(state) < now * 1000:
+            out += [lane.finish(state)] if lane.finish else []
+            state = None
+        if state is None:
+            self.state.clear()
+        else:
+            if at is None or at <= now:
+                at = lane.deadline(state) // 1000 + 1
+                self.handle.registerTimer(at)
+            self.state.update((json.dumps((at, lane.dump(state))),))
+        if out:
+            yield pd.DataFrame([(*key, *m) for m in out], columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
 
 
+def keyed_stream(rows: DataFrame, lane: StreamLane, delay: str) -> DataFrame:
+    ship(rows.sparkSession)
+    ready = rows.withWatermark("event_time", delay).select("event_time", *lane.keys, "us", "obs_id", *lane.fields)
+    return ready.groupBy(*lane.keys).transformWithStateInPandas(KeyedOrder(lane), f"{lane.key_schema}, {lane.out_schema}", "append", "EventTime")
+
+
+SYN = StreamLane(
+    machines.SYN_KEYS, "target string, service string, protocol int, pair string", ("direction", "flags", "signature", "both_visible", "degraded"), machines.SYN_OUT,
+    machines.step_syn, lambda s: s.first_us + machines.SYN_TTL_US, machines.expire_syn, lambda s: s.__dict__, lambda d: machines.SynState(**d),
+)
+TCP = StreamLane(
+    machines.TCP_KEYS, "initiator string, target string, sport long, dport long, protocol int", ("fact",), machines.TCP_OUT,
+    machines.step_tcp, lambda s: s.events[-1][0] + TCP_TTL_US, None, lambda s: s.__dict__, lambda d: machines.TcpState([tuple(e) for e in d["events"]], d["dropped"]),
+)
+
+
 def syn_state_stream(packets: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """The handshake machine over a stream of packets (event_time, us, and the batch operator's columns). Needs the RocksDB state store."""
-    ship(packets.sparkSession)
-    schema = f"target string, service string, protocol int, pair string, {machines.SYN_OUT}"
-    return packets.withWatermark("event_time", delay).groupBy(*machines.SYN_KEYS).transformWithStateInPandas(SynProcessor(), schema, "append", "EventTime")
+    """The handshake machine over a stream of packets with the batch operator's columns."""
+    return keyed_stream(packets, SYN, delay)
+
+
+def recon_tcp_stream(packets: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """The scan outcome machine over a stream of packets with the batch operator's columns."""
+    return keyed_stream(packets.withColumn("fact", machines.tcp_fact()).where("fact IS NOT NULL"), TCP, delay)
+
+
+def recon_stream(rows: DataFrame, lane: str, delay: str = "0 seconds") -> DataFrame:
+    """history.recon over a stream: for each attempt and horizon, what the retained history holds."""
+    keys = steps.RECON[lane][0]
+    types = {"initiator": "string", "target": "string", "dport": "int", "protocol": "int"}
+    made = StreamLane(
+        keys, ", ".join(f"{k} {types[k]}" for k in keys), tuple(c for c in ("target", "dport", "quality") if c not in keys), steps.recon_out(lane),
+        steps.recon_step(lane), lambda s: s["last"] + steps.RECON_TTL * 1_000_000,
+    )
+    out = keyed_stream(rows.withColumns({k: F.col(k).cast(types[k]) for k in ("dport", "protocol")}), made, delay)
+    return out.select(F.lit(lane).alias("lane_id"), *(c.split()[0] for c in made.out_schema.split(", ")))
+
+
+def recurrence_stream(flows: DataFrame, keys: dict[str, str], ttl_us: int, delay: str = "5 seconds", cap: int = 32, least: int = 3) -> DataFrame:
+    """history.recurrence over a stream. keys: name and type of each key column."""
+    made = StreamLane(tuple(keys), ", ".join(f"{k} {t}" for k, t in keys.items()), (), steps.RECURRENCE_OUT, steps.recurrence_step(ttl_us, cap, least), lambda s: s["times"][-1] + ttl_us)
+    return keyed_stream(flows, made, delay).withColumn("lane_id", F.lit("c2.r1"))

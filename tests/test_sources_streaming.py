@@ -100,4 +100,4 @@ def test_side_outputs_of_a_repeated_batch_stay_once(spark, tmp_path):
 def test_steps_survive_json():
     s, _ = machines.step_syn(None, dict(us=0, obs_id="a", direction="FORWARD", flags=["SYN"], signature=None, both_visible=True, degraded=False))
     assert machines.SynState(**json.loads(json.dumps(s.__dict__))) == s
-    assert stateful.SynProcessor.columns[0] == "obs_id"
+    assert stateful.KeyedOrder(stateful.SYN).columns[4] == "obs_id"
