@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.measures import gaps_at
+
 KEYS = ("target", "service", "direction")
 CAP = 256
 
@@ -74,10 +76,31 @@ def demand_window(packets: DataFrame, lane: WindowLane, width_us: int, cap: int
     if lane.distinct:
         full = F.col("_distinct") > cap
         columns += [F.least("_distinct", F.lit(cap)).alias("distinct_count"), full.alias("capacity_reached")]
-    columns.append(F.when((F.col("quality") == "DEGRADED") | full, "QUALITY_DEGRADED").otherwise("REVIEW_FINDING").alias("result_type"))
+    degraded = (F.col("quality") == "DEGRADED") | full
+    columns.append(F.when(degraded, "QUALITY_DEGRADED").otherwise("REVIEW_FINDING").alias("result_type"))
+    columns.append(F.concat_ws(
+        ",", F.when(~complete, "packet_length"), F.when(degraded, "complete_coverage"),
+        F.when(full, "further_sources" if lane.distinct == "src" else "further_tuples"),
+    ).alias("missing_evidence"))
     return out.select(*columns)
 
 
+def degrade_in_gaps(windows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """windows with QUALITY_DEGRADED for those that close while a quality gap of their lane is open.
+
+    gaps: lane_id, gap_id, opened_us, closed_us (NULL: still open). Only distinct lanes and ends meet the gaps.
+    """
+    ends = windows.select("lane_id", F.col("window_end").alias("us"), F.col("window_end").cast("string").alias("obs_id")).distinct()
+    open_then = gaps_at(ends, gaps).where("gap_count > 0").select("lane_id", F.col("us").alias("window_end"), F.lit(True).alias("_gap"))
+    out, hit = windows.join(open_then, ["lane_id", "window_end"], "left"), F.coalesce("_gap", F.lit(False))
+    covered = F.when(F.col("missing_evidence").contains("complete_coverage"), F.col("missing_evidence")).otherwise(
+        F.concat_ws(",", F.nullif("missing_evidence", F.lit("")), F.lit("complete_coverage")))
+    return out.withColumns({
+        "result_type": F.when(hit, "QUALITY_DEGRADED").otherwise(F.col("result_type")), "lower_bound": F.col("lower_bound") | hit,
+        "missing_evidence": F.when(hit, covered).otherwise(F.col("missing_evidence")),
+    }).drop("_gap")
+
+
 def closed_only(windows: DataFrame, records: DataFrame) -> DataFrame:
     """Windows that the end of input closes: those that end by one microsecond after the last record of any type."""
     end = records.agg((F.max("us") + 1).alias("_end"))

@@ -37,21 +37,19 @@ def train_lexical(rows: DataFrame, text: str = "text", label: str = "label", voc
     idf here is ln((1 + n) / (1 + df)) + 1; Spark's own has no + 1, so it is put in as element-wise weights.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct
     from pyspark.ml.linalg import Vectors
 
     rows = rows.withColumn("_grams", ngrams(text))
     counter = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=vocabulary, minDF=min_df).fit(rows)
     counted = counter.transform(rows)
     n = rows.count()
-    known = F.transform(vector_to_array("_counts"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
     kept = rows.sparkSession.createDataFrame([(g,) for g in counter.vocabulary], "g string")
     df = dict(counted.select(F.explode(F.array_distinct("_grams")).alias("g")).join(kept, "g", "left_semi").groupBy("g").count().collect())
     import math
 
     idf = ElementwiseProduct(scalingVec=Vectors.dense([math.log((1 + n) / (1 + df.get(g, 0))) + 1 for g in counter.vocabulary]), inputCol="_tf", outputCol="_tfidf")
-    ready = Normalizer(inputCol="_tfidf", outputCol="features").transform(idf.transform(counted.withColumn("_tf", array_to_vector(known))))
+    ready = _features(counted, idf)
     sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     weight = F.lit(1.0)
     for value, size in sizes.items():
@@ -60,6 +58,36 @@ def train_lexical(rows: DataFrame, text: str = "text", label: str = "label", voc
     return counter, idf, model
 
 
+def score_model(rows: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
+    """rows with score, result_type and reason by a model of train_lexical.
+
+    Without a model, or without a text to read, a row is ANALYTIC_UNAVAILABLE with a reason and its score is NULL, never 0.
+    A text of which the model knows no n-gram scores the model's bias.
+    """
+    if model is None:
+        return rows.withColumns({"score": F.lit(None).cast("double"), "result_type": F.lit("ANALYTIC_UNAVAILABLE"), "reason": F.lit("MODEL_UNAVAILABLE")})
+    from pyspark.ml.functions import vector_to_array
+
+    readable = F.coalesce(F.col(text) != "", F.lit(False))
+    out = rows.withColumn("_grams", F.when(readable, ngrams(text)).otherwise(F.array().cast("array<string>")))
+    counter, idf, fitted = model
+    score = vector_to_array(F.col(fitted.getProbabilityCol()))[1]
+    scored = fitted.transform(_features(counter.transform(out), idf))
+    return scored.select(
+        *rows.columns, F.when(readable, score).alias("score"), F.when(readable, "REVIEW_FINDING").otherwise("ANALYTIC_UNAVAILABLE").alias("result_type"),
+        F.when(~readable, "REPRESENTATION_UNAVAILABLE").alias("reason"),
+    )
+
+
+def _features(counted: DataFrame, idf) -> DataFrame:
+    """features of _counts: 1 + ln(tf) of each known n-gram, times its weight, at length 1."""
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    known = F.transform(vector_to_array("_counts"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+    return Normalizer(inputCol="_tfidf", outputCol="features").transform(idf.transform(counted.withColumn("_tf", array_to_vector(known))))
+
+
 def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall and F1 at a threshold (0 where a denominator is 0), and label counts, in one aggregation."""
     y, p = F.col("label") == 1, F.col("score") >= threshold

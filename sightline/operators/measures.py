@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,15 @@ def gaps_at(events: DataFrame, gaps: DataFrame, grain_us: int = 86_400_000_000)
     hits = rows.join(cut, ["lane_id", "grain"]).where((F.col("us") >= F.col("opened_us")) & (F.col("closed_us").isNull() | (F.col("us") <= F.col("closed_us"))))
     counts = hits.groupBy("obs_id", "lane_id").agg(F.count("*").alias("gap_count"))
     return events.join(counts, ["obs_id", "lane_id"], "left").withColumn("gap_count", F.coalesce("gap_count", F.lit(0)))
+
+
+def run_conformance(actual: tuple[DataFrame, ...], declared: DataFrame) -> DataFrame:
+    """One row for each declared count with what was found and, where they differ, a reason.
+
+    actual: tables of one row each, with a column for each count; declared: one row with the same columns.
+    """
+    names = declared.columns
+    found = reduce(DataFrame.crossJoin, actual).select(*(F.col(n).cast("long").alias(n) for n in names))
+    both = found.select(F.struct(*names).alias("a")).crossJoin(declared.select(F.struct(*(F.col(n).cast("long").alias(n) for n in names)).alias("d")))
+    rows = both.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"a.{n}").alias("actual"), F.col(f"d.{n}").alias("expected")) for n in names))))
+    return rows.withColumn("reason", F.when(~F.col("actual").eqNullSafe(F.col("expected")), F.concat(F.upper("name"), F.lit("_DIFFER"))))

@@ -80,11 +80,58 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+#: Result types that are findings.
+FINDINGS = ("THREAT_ALERT", "REVIEW_FINDING", "INSUFFICIENT_EVIDENCE")
+#: What a view says of results that are no findings, and of evidence that is missing.
+STATUS_SENTENCES = {
+    "ANALYTIC_UNAVAILABLE": " was unavailable and did not produce an observed finding.",
+    "PREREQUISITE_MISSING": " lacked a required prerequisite and did not produce a complete finding.",
+    "QUALITY_DEGRADED": " reported degraded evidence quality rather than an observed finding.",
+    "PLUGIN_STATUS": " reported analytic status rather than an observed finding.",
+}
+MISSING_SENTENCES = {"reverse_tcp_state": "Reverse TCP state was not visible.", "reverse_direction": "Reverse direction traffic was not visible."}
+
+
+def status_sentence(title: Column, result_type: Column) -> Column:
+    """The limitation that a result without a finding adds to its view; NULL for findings."""
+    out = F.lit(None).cast("string")
+    for kind, text in STATUS_SENTENCES.items():
+        out = F.when(result_type == kind, F.concat(F.trim(title), F.lit(text))).otherwise(out)
+    return out
+
+
+def missing_sentence(value: Column) -> Column:
+    """How a view names one missing piece of evidence."""
+    known, plain = F.replace(F.lower(F.trim(value)), F.lit(" "), F.lit("_")), F.trim(F.translate(value, "_", " "))
+    out = F.when(plain == "", "Required evidence was not available.").otherwise(
+        F.concat(F.upper(F.substring(plain, 1, 1)), F.substr(plain, F.lit(2)), F.lit(" was not available.")))
+    for name, text in MISSING_SENTENCES.items():
+        out = F.when(known == name, text).otherwise(out)
+    return out
+
+
+def view_contents(placed: DataFrame) -> DataFrame:
+    """What the results of each (family, root) say beside their ids, for the columns that there are: entity, title,
+    missing, visibility and quality (the last three are lists). Values are made distinct before they meet in a view."""
+    kinds = {
+        "entities": ("entity", lambda: F.array("entity")), "limitations": ("title", lambda: F.array(status_sentence(F.col("title"), F.col("result_type")))),
+        "missing_evidence": ("missing", lambda: F.transform("missing", missing_sentence)), "visibility_summary": ("visibility", lambda: F.col("visibility")),
+        "quality_summary": ("quality_states", lambda: F.col("quality_states")),
+    }
+    made = [F.struct(F.lit(n).alias("kind"), values().alias("values")) for n, (c, values) in kinds.items() if c in placed.columns]
+    if not made:
+        return placed.select("family", "root").distinct()
+    flat = placed.select("family", "root", F.inline(F.array(*made))).select("family", "root", "kind", F.explode("values").alias("value")).where("value IS NOT NULL").distinct()
+    own = [n for n, (c, _) in kinds.items() if c in placed.columns]
+    sets = flat.groupBy("family", "root").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.col("value")))).alias(n) for n in own))
+    return sets
+
+
 def family_views(results: DataFrame) -> DataFrame:
     """Components of each family's results over shared source ids, with an id from family and sorted result ids.
 
-    results: result_id, family, source_ids, start_us, end_us, result_type. Results and sources are the two sides of a graph; nodes carry
-    their family, so components never cross families.
+    results: result_id, family, source_ids, start_us, end_us, result_type, and what view_contents reads. Results and sources are the
+    two sides of a graph; nodes carry their family, so components never cross families.
     """
     known = results.where("family IS NOT NULL")
     node = F.concat_ws("\u0001", F.lit("r"), "family", "result_id")
@@ -93,10 +140,14 @@ def family_views(results: DataFrame) -> DataFrame:
     placed = known.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     views = placed.groupBy("family", "root").agg(
         F.array_sort(F.collect_set("result_id")).alias("result_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count_if(F.col("result_type") == "REVIEW_FINDING").alias("findings"), F.count_if(F.col("result_type") != "REVIEW_FINDING").alias("limited"),
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count_if(F.col("result_type").isin(*FINDINGS)).alias("findings"), F.count_if(~F.col("result_type").isin(*FINDINGS)).alias("limited"),
     )
+    contents = view_contents(placed)
+    views = views.join(contents, ["family", "root"], "left")
+    none = F.array().cast("array<string>")
+    said = [F.coalesce(c, none).alias(c) for c in contents.columns if c not in ("family", "root")]
     digest = F.sha2(F.concat_ws("\u0000", "family", F.array_join("result_ids", "\u0000")), 256)
-    return views.select(F.concat(F.lit("family-"), F.substring(digest, 1, 20)).alias("view_id"), "family", "result_ids", "source_ids", "start_us", "end_us", "findings", "limited")
+    return views.select(F.concat(F.lit("family-"), F.substring(digest, 1, 20)).alias("view_id"), "family", "result_ids", "source_ids", "start_us", "end_us", "findings", "limited", *said)
 
 
 def investigation_links(views: DataFrame) -> DataFrame:

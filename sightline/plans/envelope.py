@@ -163,6 +163,42 @@ SELECT 'flow:' || source_id || ':' || position AS observation_id, 'prov:' || sou
   CASE WHEN record_loss = 'UNKNOWN' THEN manifest_loss ELSE record_loss END AS packet_loss,
   CASE WHEN record_direction <> manifest_direction AND manifest_direction <> 'UNKNOWN' THEN 'DIRECTION_CONTRADICTION' WHEN record_loss <> manifest_loss AND record_loss <> 'UNKNOWN' AND manifest_loss <> 'UNKNOWN' THEN 'QUALITY_CONTRADICTION' END AS reject FROM w"""
 
+ARRIVED = {
+    "observation_type": "CASE event_id % 5 WHEN 0 THEN 'PACKET' WHEN 1 THEN 'FLOW' WHEN 2 THEN 'DNS' WHEN 3 THEN 'TLS' ELSE 'QUIC' END",
+    "declared": "CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'protocol,flags' WHEN event_id % 5 = 1 THEN 'start_time' WHEN event_id % 5 = 2 THEN 'qname' WHEN event_id % 7 < 4 THEN 'parsed_handshake_metadata' ELSE 'parsed_record_metadata' END",
+    "claimed": "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 5 = 2 THEN 'clear_dns_fields' WHEN event_id % 5 = 3 THEN CASE WHEN event_id % 3 = 0 THEN 'record_metadata' ELSE 'handshake_metadata' END WHEN event_id % 5 = 4 THEN 'outer_metadata' ELSE '' END",
+    "qname": "CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'a..b' ELSE concat(event_type, '.example.') END",
+}
+
+
+def conform_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of all five types; users are sources, and every ninth has no manifest."""
+    from sightline.functions.core import micros
+
+    words = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    rows = table(spark, sf_dir, "events").select("user_id", micros("ts").alias("us"), *(F.expr(e).alias(n) for n, e in (CONFORM | ARRIVED).items()))
+    manifests = rows.where("user_id % 9 <> 0").select("source_id", "manifest_direction", "manifest_loss").distinct()
+    records = rows.drop("manifest_direction", "manifest_loss").withColumns({
+        "export_us": F.when(F.col("export_lag") >= 0, F.col("us") + F.col("export_lag")), "declared_fields": words("declared"), "claims": words("claimed")})
+    out = conform.conform_records(records, manifests)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("present_fields", "available", "unavailable")})
+
+
+RECORDS_SQL = "WITH v AS (SELECT user_id, user_id % 9 <> 0 AS known, CAST(epoch_us(ts) AS BIGINT) AS us, " + ", ".join(f"{duck(e)} AS {n}" for n, e in (CONFORM | ARRIVED).items()) + """ FROM events),
+w AS (SELECT * REPLACE (CASE WHEN known THEN manifest_direction END AS manifest_direction, CASE WHEN known THEN manifest_loss END AS manifest_loss), CASE WHEN declared = 'qname' AND qname IS NULL THEN '' ELSE declared END AS seen FROM v),
+x AS (SELECT *, CASE WHEN observation_type = 'DNS' AND claimed = 'clear_dns_fields' AND seen = 'qname' THEN CASE WHEN contains(qname, '..') THEN 'bad' ELSE 'good' END ELSE 'none' END AS name_state FROM w)
+SELECT lower(observation_type) || ':' || source_id || ':' || position AS observation_id, 'prov:' || source_id || ':' || position AS provenance_id, observation_type, us AS event_us,
+  CASE WHEN observation_type = 'FLOW' AND export_lag > 0 THEN us + export_lag ELSE us END AS available_us, CASE WHEN observation_type = 'FLOW' AND terminal THEN 'FLOW_END_ONLY' ELSE 'IMMEDIATE' END AS finality,
+  coalesce(record_direction, manifest_direction, 'UNKNOWN') AS direction, CASE WHEN record_loss <> 'UNKNOWN' THEN record_loss ELSE coalesce(manifest_loss, 'UNKNOWN') END AS packet_loss,
+  CASE name_state WHEN 'good' THEN 'labels,qname,qname_canonical,qname_rendered,representation_version' WHEN 'bad' THEN 'canonicalization_failure_reason,qname,qname_rendered' ELSE array_to_string(list_sort(string_split(seen, ',')), ',') END AS present_fields,
+  CASE WHEN observation_type IN ('PACKET', 'FLOW') THEN observation_type || '_FACTS' WHEN name_state <> 'none' THEN 'CLEAR_DNS_FIELDS' WHEN observation_type = 'TLS' AND claimed <> '' AND 'parsed_' || claimed = seen THEN 'TLS_' || upper(claimed)
+    WHEN observation_type = 'QUIC' AND claimed <> '' AND seen <> '' THEN 'QUIC_OUTER_METADATA' ELSE '' END AS available,
+  CASE manifest_direction WHEN 'FORWARD' THEN 'REVERSE_FACTS' WHEN 'REVERSE' THEN 'FORWARD_FACTS' ELSE '' END AS unavailable,
+  CASE WHEN NOT known THEN 'MANIFEST_MISSING' WHEN record_direction <> manifest_direction AND manifest_direction <> 'UNKNOWN' THEN 'DIRECTION_CONTRADICTION'
+    WHEN record_loss <> manifest_loss AND record_loss <> 'UNKNOWN' AND manifest_loss <> 'UNKNOWN' THEN 'QUALITY_CONTRADICTION' WHEN observation_type = 'PACKET' AND seen = '' THEN 'PACKET_WITHOUT_DECLARED_FIELDS'
+    WHEN claimed = '' THEN NULL WHEN observation_type = 'DNS' AND seen <> 'qname' THEN 'CLEAR_DNS_FIELDS_WITHOUT_FIELD' WHEN observation_type = 'TLS' AND 'parsed_' || claimed <> seen THEN upper(claimed) || '_WITHOUT_FIELD'
+    WHEN observation_type = 'QUIC' AND seen = '' THEN 'OUTER_METADATA_WITHOUT_FIELD' END AS reject FROM x"""
+
 _ROLES = {
     "r1": "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('h', CAST(o_custkey AS STRING)) END", "r2": "concat('s', CAST(o_custkey % 9 AS STRING))", "two": "o_orderkey % 6 = 0",
 }
@@ -206,9 +242,9 @@ FROM v LEFT JOIN n d ON v.target = d.address AND v.protocol = d.protocol AND v.d
 
 QUERIES = {
     "route_plan": lambda s, d: routing.route_plan(records(s, d)), "admission": lambda s, d: routing.admit(records(s, d)), "fan_out_counts": fan_out_counts, "lane_predicates": lane_predicates,
-    "envelope_validation": envelope_validation, "bundle_validation": bundle_validation, "conform_flow": conform_flow, "role_resolution": role_resolution, "cidr_direction": cidr_direction, "service_roles": service_roles,
+    "envelope_validation": envelope_validation, "bundle_validation": bundle_validation, "conform_flow": conform_flow, "conform_records": conform_records, "role_resolution": role_resolution, "cidr_direction": cidr_direction, "service_roles": service_roles,
 }
 SQL = {
     "route_plan": ROUTE_SQL, "admission": ADMIT_SQL, "fan_out_counts": FAN_OUT_SQL, "lane_predicates": PREDICATES_SQL, "envelope_validation": ENVELOPE_SQL, "bundle_validation": BUNDLE_SQL,
-    "conform_flow": CONFORM_SQL, "role_resolution": ROLES_SQL, "cidr_direction": CIDR_SQL, "service_roles": SERVICES_SQL,
+    "conform_flow": CONFORM_SQL, "conform_records": RECORDS_SQL, "role_resolution": ROLES_SQL, "cidr_direction": CIDR_SQL, "service_roles": SERVICES_SQL,
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.core import decode_cursor, encode_cursor, public_refs
-from sightline.operators import demand, measures, relate, results as R
+from sightline.operators import demand, measures, relate, results as R, routing
+from sightline.plans.envelope import FAN_OUT_SQL, records
 from sightline.plans.traffic import _window_sql
 from sightline.plans.views import DAY, PACKET, duck, packets, table
 
@@ -41,7 +42,11 @@ RESULT = {
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(*(F.expr(e).alias(n) for n, e in RESULT.items()))
-    return rows.withColumn("source_ids", F.array("source_a", "source_b"))
+    return rows.withColumns({
+        "source_ids": F.array("source_a", "source_b"), "entity": F.col("target"), "visibility": F.array(F.concat(F.lit("available:"), "capability")),
+        "quality_states": F.array(F.concat(F.lit("packet_loss:"), "quality")),
+        "missing": F.when(F.col("sequence") % 9 == 0, F.array(F.lit("Reverse direction"), F.lit("packet_length"))).otherwise(F.array().cast("array<string>")),
+    })
 
 
 RESULT_SQL = "v AS (SELECT *, [source_a, source_b] AS source_ids FROM (SELECT " + ", ".join(f"{duck(e)} AS {n}" for n, e in RESULT.items()) + " FROM lineitem))"
@@ -191,17 +196,27 @@ CANDIDATE_SQL = f"WITH p AS ({PAIRS_SQL}), w AS (SELECT min(result_id) AS x FROM
 #: Every result has one source_b (x), so components of results are those of the x's that share a result or a source_a; each turn
 #: hands the least label on to all that share one, and the turns are more than any chain here is long.
 _TURNS = 60
+_set = lambda e: f"coalesce(array_to_string(list_sort(list(DISTINCT {e}) FILTER (WHERE {e} IS NOT NULL)), ','), '')"
+_SAID = (
+    "CASE result_type WHEN 'ANALYTIC_UNAVAILABLE' THEN trim(title) || ' was unavailable and did not produce an observed finding.' "
+    "WHEN 'PREREQUISITE_MISSING' THEN trim(title) || ' lacked a required prerequisite and did not produce a complete finding.' "
+    "WHEN 'QUALITY_DEGRADED' THEN trim(title) || ' reported degraded evidence quality rather than an observed finding.' "
+    "WHEN 'PLUGIN_STATUS' THEN trim(title) || ' reported analytic status rather than an observed finding.' END"
+)
+_CONTENTS = ("entities", "visibility_summary", "quality_summary", "missing_evidence", "limitations")
 _GRAPH = f"""{RESULT_SQL}, k AS (SELECT *, family || ' s ' || source_b AS x FROM v),
 m AS (SELECT DISTINCT x, unnest([family || ' s ' || source_a, family || ' r ' || result_id]) AS g FROM k),
 labels(turn, x, root) AS (SELECT DISTINCT 0, x, x FROM m UNION ALL
   SELECT q.turn + 1, m.x, min(q.root) FROM (SELECT turn, g, min(root) AS root FROM labels JOIN m USING (x) WHERE turn < {_TURNS} GROUP BY turn, g) q JOIN m USING (g) GROUP BY q.turn, m.x),
 roots AS (SELECT x, root FROM labels WHERE turn = {_TURNS}),
 views0 AS (SELECT family, root, list_sort(list(DISTINCT result_id)) AS result_ids, list_sort(list_distinct(flatten(list(source_ids)))) AS source_ids, min(start_us) AS start_us, max(end_us) AS end_us,
-  count(*) FILTER (WHERE result_type = 'REVIEW_FINDING') AS findings, count(*) FILTER (WHERE result_type <> 'REVIEW_FINDING') AS limited FROM k JOIN roots USING (x) GROUP BY family, root),
-views AS (SELECT 'family-' || substr(sha256(family || chr(0) || array_to_string(result_ids, chr(0))), 1, 20) AS view_id, family, result_ids, source_ids, start_us, end_us, findings, limited FROM views0)"""
+  count(*) FILTER (WHERE result_type IN ('REVIEW_FINDING', 'THREAT_ALERT', 'INSUFFICIENT_EVIDENCE')) AS findings, count(*) FILTER (WHERE result_type NOT IN ('REVIEW_FINDING', 'THREAT_ALERT', 'INSUFFICIENT_EVIDENCE')) AS limited,
+  {_set('target')} AS entities, {_set("'available:' || capability")} AS visibility_summary, {_set("'packet_loss:' || quality")} AS quality_summary,
+  CASE WHEN count(*) FILTER (WHERE sequence % 9 = 0) > 0 THEN 'Packet length was not available.,Reverse direction traffic was not visible.' ELSE '' END AS missing_evidence, {_set(_SAID)} AS limitations FROM k JOIN roots USING (x) GROUP BY family, root),
+views AS (SELECT 'family-' || substr(sha256(family || chr(0) || array_to_string(result_ids, chr(0))), 1, 20) AS view_id, family, result_ids, source_ids, start_us, end_us, findings, limited, entities, visibility_summary, quality_summary, missing_evidence, limitations FROM views0)"""
 _ENDS = "ends AS (SELECT view_id, family, end_us, unnest(source_ids) AS source FROM views), links0 AS (SELECT l.view_id AS left_id, r.view_id AS right_id, l.family AS left_family, r.family AS right_family, greatest(l.end_us, r.end_us) AS end_us, list_sort(list(DISTINCT l.source)) AS shared FROM ends l JOIN ends r ON l.source = r.source AND l.view_id < r.view_id AND l.family <> r.family GROUP BY ALL), links AS (SELECT *, 'link-' || substr(sha256(left_id || chr(0) || right_id || chr(0) || array_to_string(shared, chr(0))), 1, 20) AS link_id FROM links0)"
 _text = lambda c: f"sha256(array_to_string({c}, ','))"
-VIEWS_SQL = f"WITH RECURSIVE {_GRAPH} SELECT view_id, family, len(result_ids) AS results, {_text('source_ids')} AS sources, start_us, end_us, findings, limited FROM views"
+VIEWS_SQL = f"WITH RECURSIVE {_GRAPH} SELECT view_id, family, len(result_ids) AS results, {_text('source_ids')} AS sources, start_us, end_us, findings, limited, {', '.join(_CONTENTS)} FROM views"
 LINKS_SQL = f"WITH RECURSIVE {_GRAPH}, {_ENDS} SELECT link_id, left_id, right_id, left_family, right_family, end_us, len(shared) AS shared FROM links"
 
 
@@ -210,7 +225,7 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(views: DataFrame) -> DataFrame:
-    return views.select("view_id", "family", F.size("result_ids").alias("results"), F.sha2(F.array_join("source_ids", ","), 256).alias("sources"), "start_us", "end_us", "findings", "limited")
+    return views.select("view_id", "family", F.size("result_ids").alias("results"), F.sha2(F.array_join("source_ids", ","), 256).alias("sources"), "start_us", "end_us", "findings", "limited", *(F.array_join(c, ",").alias(c) for c in _CONTENTS))
 
 
 def family_views_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,17 +277,21 @@ CHRONOLOGY_SQL = f"WITH {RESULT_SQL}, r AS (SELECT *, dense_rank() OVER (PARTITI
 TARGETS_SQL = f"WITH {RESULT_SQL} SELECT initiator, target, dport, protocol, CASE WHEN count(DISTINCT source_id) = 1 THEN min(source_id) ELSE CAST(count(DISTINCT source_id) AS VARCHAR) || ' sources' END AS source FROM v GROUP BY 1, 2, 3, 4"
 CHILDREN_SQL = f"WITH {RESULT_SQL} SELECT result_id, 0 AS position, source_a AS value FROM v UNION ALL SELECT result_id, 1, source_b FROM v"
 LATEST_SQL = f"WITH {_UNIQUE} SELECT result_id, created_us FROM u ORDER BY created_us DESC, result_id DESC LIMIT 500"
-EXPECTED = {"lanes": 7, "families": 6, "results": 60000}
-
-
 def run_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual against declared counts, one row for each count."""
-    t = result_rows(spark, sf_dir).agg(F.count("*").alias("results"), F.count_distinct("lane_id").alias("lanes"), F.count_distinct("family").alias("families"))
-    rows = t.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("actual"), F.lit(v).cast("long").alias("expected")) for k, v in EXPECTED.items()))))
-    return rows.withColumn("reason", F.when(F.col("actual") != F.col("expected"), F.concat(F.upper("name"), F.lit("_DIFFER"))))
-
-
-CONFORMANCE_SQL = f"WITH {RESULT_SQL}, t AS (SELECT count(*) AS results, count(DISTINCT lane_id) AS lanes, count(DISTINCT family) AS families FROM v), r AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, {k} AS actual, {v} AS expected FROM t" for k, v in EXPECTED.items()) + ") SELECT *, CASE WHEN actual <> expected THEN upper(name) || '_DIFFER' END AS reason FROM r"
+    """Actual counts of a run against what the order tables declare; the declared observations are one too many."""
+    routed = routing.fan_out(records(spark, sf_dir)).agg(
+        F.count("*").alias("records"), F.count_distinct("obs_id").alias("observations"), F.sum(F.size("routes")).alias("routes"), F.count_if(F.size("routes") == 0).alias("zero_route"))
+    found = result_rows(spark, sf_dir).agg(F.count("*").alias("results"), F.count_distinct("family").alias("families"))
+    lines = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    declared = {"records": "n", "observations": "n + 1", "routes": "2 * n", "zero_route": "CAST(0 AS BIGINT)", "results": "n", "families": "CAST(6 AS BIGINT)"}
+    return measures.run_conformance((routed, found), lines.select(*(F.expr(e).alias(c) for c, e in declared.items())))
+
+
+CONFORMANCE_SQL = f"""WITH r AS ({FAN_OUT_SQL}), {RESULT_SQL},
+a AS (SELECT (SELECT count(*) FROM v) AS records, (SELECT count(DISTINCT substr(result_id, 3)) FROM v) AS observations, (SELECT CAST(sum(routes) AS BIGINT) FROM r) AS routes, (SELECT CAST(sum(zero_route) AS BIGINT) FROM r) AS zero_route,
+  (SELECT count(*) FROM v) AS results, (SELECT count(DISTINCT family) FROM v) AS families, (SELECT count(*) FROM lineitem) AS n),
+t AS (SELECT unnest(['records', 'observations', 'routes', 'zero_route', 'results', 'families']) AS name, unnest([records, observations, routes, zero_route, results, families]) AS actual, unnest([n, n + 1, 2 * n, 0, n, 6]) AS expected FROM a)
+SELECT name, actual, expected, CASE WHEN actual <> expected THEN upper(name) || '_DIFFER' END AS reason FROM t"""
 
 QUERIES = {
     "finalized_results": finalized_results, "result_validation": result_validation, "idempotent_append": idempotent_append, "result_children": lambda s, d: R.explode_children(result_rows(s, d), "source_ids"),

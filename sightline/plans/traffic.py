@@ -31,6 +31,7 @@ def _window_sql(name: str) -> str:
     distinct = f", count(DISTINCT {lane.distinct}) AS d" if lane.distinct else ""
     counted = f"least(d, {demand.CAP}) AS distinct_count, d > {demand.CAP} AS capacity_reached," if lane.distinct else ""
     full = f" OR d > {demand.CAP}" if lane.distinct else ""
+    further = f"CASE WHEN d > {demand.CAP} THEN '{'further_tuples' if name == 'connection_churn' else 'further_sources'}' END" if lane.distinct else "NULL"
     return f"""
 WITH v AS ({PACKET_SQL}),
 w AS (SELECT {', '.join(keys)}, us - us % {DAY} AS window_start, count(*) AS packet_count, CAST(sum(bytes) AS BIGINT) AS observed_bytes,
@@ -45,7 +46,8 @@ SELECT '{lane.lane}' AS lane_id, {', '.join(keys)}, window_start, window_start +
   CASE WHEN missing_lengths = 0 THEN lo END AS min_bytes, CASE WHEN missing_lengths = 0 THEN hi END AS max_bytes,
   protocols, first_id, last_id, first_us, last_us, reverse, CASE q WHEN 2 THEN 'DEGRADED' WHEN 1 THEN 'UNKNOWN' ELSE 'CLEAR' END AS quality,
   q = 2 AS lower_bound, {counted}
-  CASE WHEN q = 2{full} THEN 'QUALITY_DEGRADED' ELSE 'REVIEW_FINDING' END AS result_type
+  CASE WHEN q = 2{full} THEN 'QUALITY_DEGRADED' ELSE 'REVIEW_FINDING' END AS result_type,
+  concat_ws(',', CASE WHEN missing_lengths > 0 THEN 'packet_length' END, CASE WHEN q = 2{full} THEN 'complete_coverage' END, {further}) AS missing_evidence
 FROM w WHERE window_start + {DAY} <= (SELECT max(us) + 1 FROM v)"""
 
 
