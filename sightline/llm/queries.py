@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import common, sql
 
-PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
+PIECE_MODEL, WORD_MODEL, BYTE_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +80,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.byte_bpe import digests
+
+    return digests(common.table(spark, sf_dir, "documents"), vocabulary(BYTE_MODEL))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_piece_codec": op9_piece_codec,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_byte_codec": op11_byte_codec,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = dict(sql.SQL)
