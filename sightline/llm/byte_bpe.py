@@ -74,8 +74,10 @@ class Splitter:
         self.usual = regex.compile(PATTERN.format(L=r"\p{L}", N=r"\p{N}"))
         group = lambda name, more, less: rf"[[\p{{{name}}}{more}]--[\n{less}]]"
         exact = PATTERN.format(L=group("L", letters, numbers + neither), N=group("N", numbers, letters + neither))
-        unlike = letters + numbers + neither
-        self.exact, self.unlike = regex.compile("(?V1)" + exact), regex.compile(f"[{unlike}]" if unlike else r"(?!)")
+        self.exact, self.unlike = regex.compile("(?V1)" + exact), np.zeros(0x110000, bool)
+        odd = letters + numbers + neither
+        for first, last in zip(odd[::3], odd[2::3]):
+            self.unlike[ord(first) : ord(last) + 1] = True
         self.border = regex.compile(r"\S\s")
 
     def segments(self, text: str):
@@ -90,7 +92,7 @@ class Splitter:
         yield text[at:] if at else text
 
     def words(self, segment: str) -> list[str]:
-        plain = segment.isascii() or not self.unlike.search(segment)
+        plain = segment.isascii() or not self.unlike[np.frombuffer(segment.encode("utf-32-le"), "<u4")].any()
         return (self.usual if plain else self.exact).findall(segment)
 
 

@@ -86,6 +86,12 @@ def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"), vocabulary(BYTE_MODEL))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.token_align import token_alignment
+
+    return token_alignment(common.table(spark, sf_dir, "documents"), vocabulary(BYTE_MODEL), vocabulary(PIECE_MODEL))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_codec": op9_piece_codec,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_byte_codec": op11_byte_codec,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = dict(sql.SQL)

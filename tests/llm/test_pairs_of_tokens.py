@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import byte_bpe, common
-from sightline.llm.queries import BYTE_MODEL, QUERIES, vocabulary
+from sightline.llm import byte_bpe, common, token_align
+from sightline.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES, vocabulary
 from tests.conftest import DATA
 
 ROWS = [(1, "Hello world. " * 30), (2, ""), (3, None), (None, "no id here"), (4, "lang word " * 20000), (5, "tie"), (6, "tie"), (5, "tie"), (7, "ÀÉ ﬁ ß <|endoftext|> x@y.zz +1 (988)\n\n  555"), (8, "a▁b"), (9, " \t\n ")]
@@ -99,3 +99,91 @@ def test_byte_query_and_odd_rows(spark, odd, library):
     assert byte_bpe.digests(odd.limit(0), vocabulary(BYTE_MODEL)).count() == 0
     back = byte_bpe.decode_bytes(byte_bpe.encode_bytes(odd, vocabulary(BYTE_MODEL)), vocabulary(BYTE_MODEL))
     assert sorted(map(tuple, back.collect()), key=str) == sorted(((d, t or "") for d, t in ROWS), key=str)
+
+
+def aligned_by_hand(docs):
+    """The contract of op13, step by step over all pairs of tokens that may overlap."""
+    import collections
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary(BYTE_MODEL))
+    plain.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECE_MODEL))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    byte_of = {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(rest)}}
+    found, counts = [], collections.Counter()
+    for d, t in docs:
+        whole = (" " + (t or "")).encode()
+        a = plain.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = sp.encode(t) if t else []
+        raw_a = [bytes(byte_of[c] for c in plain.id_to_token(i)) for i in a]
+        raw_b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not t or b"".join(raw_a) != whole or b"".join(raw_b) != whole:
+            found.append((d, [], [], "", 0))
+            continue
+        spans = []
+        for raw in (raw_a, raw_b):
+            ends = np.cumsum([len(x) for x in raw]).tolist()
+            spans.append(list(zip([0, *ends], ends)))
+        at, links = 0, []
+        for i, (p, q) in zip(a, spans[0]):
+            while at and spans[1][at - 1][1] > p:
+                at -= 1
+            while at < len(b) and spans[1][at][0] < q:
+                if spans[1][at][1] > p:
+                    links.append((i, b[at]))
+                at += 1
+        ends = sorted({q for _, q in spans[0]} & {q for _, q in spans[1]})
+        groups, low = [], 0
+        for e in ends:
+            inside = [",".join(str(i) for i, (p, q) in zip(ids, s) if low < q <= e) for ids, s in zip((a, b), spans)] if len(whole) < 3000 else None
+            groups.append(inside and "|".join(inside))
+            low = e
+        counts.update(links)
+        found.append((d, a, b, (links, ends, groups), len(ends)))
+    most = collections.Counter()
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    out = []
+    for d, a, b, rest, n_groups in found:
+        links, _, groups = rest or ([], [], [])
+        digest = "" if not rest else hashlib.sha256(";".join(groups).encode()).hexdigest() if None not in groups else None
+        out.append((d, len(a), len(b), n_groups, len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), digest))
+    return out
+
+
+def same_alignment(got, expect):
+    got, expect = sorted(map(tuple, got), key=str), sorted(expect, key=lambda r: str(r[:7]))
+    got.sort(key=lambda r: str(r[:7]))
+    assert [r[:7] for r in got] == [r[:7] for r in expect]
+    assert all(e[7] is None or sorted(x[7] for x in got if x[:7] == e[:7]) == sorted(x[7] for x in expect if x[:7] == e[:7]) for e in expect)
+
+
+def test_alignment_query_equals_all_pairs(spark):
+    docs = [tuple(r) for r in common.table(spark, DATA, "documents").select("doc_id", "text").collect()]
+    same_alignment(QUERIES["op13_token_alignment"](spark, DATA).collect(), aligned_by_hand(docs))
+
+
+@pytest.mark.parametrize("table", [0, 40, token_align.TABLE])
+def test_alignment_of_odd_rows_with_small_parts_and_tables(spark, odd, monkeypatch, table):
+    monkeypatch.setattr(token_align, "SEGMENT", 50)
+    rows = [(100 + k, t) for k, t in enumerate(made_texts()[:300])]
+    docs = odd.select("doc_id", "text").where("doc_id <> 4 or doc_id is null").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = token_align.token_alignment(docs, vocabulary(BYTE_MODEL), vocabulary(PIECE_MODEL), table).collect()
+    same_alignment(got, aligned_by_hand([r for r in ROWS if r[0] != 4] + rows))
+
+
+def test_alignment_of_long_texts_and_empty_tables(spark, odd):
+    run = lambda d: token_align.token_alignment(d, vocabulary(BYTE_MODEL), vocabulary(PIECE_MODEL))
+    same_alignment(run(odd).collect(), aligned_by_hand(ROWS))
+    assert run(odd.limit(0)).count() == 0
+    long = [(1, "".join(random.Random(2).choice("abcdefg") for _ in range(200_000))), (2, "some words ▁ here " * 50_000), (3, "some words here " * 100_000)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in run(spark.createDataFrame(long, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert got[2]["n_links"] == 0 and got[2]["groups_sha256"] == ""
+    for d in (1, 3):
+        assert got[d]["n_links"] == got[d]["n_a"] + got[d]["n_b"] - got[d]["n_groups"] > 0
