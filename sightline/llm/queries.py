@@ -86,6 +86,12 @@ def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"), vocabulary(BYTE_MODEL))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(common.table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.llm.token_align import token_alignment
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_codec": op9_piece_codec,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_byte_codec": op11_byte_codec,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import byte_bpe, common, token_align
+from sightline.llm import byte_bpe, common, hard_negatives, token_align
 from sightline.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES, vocabulary
 from tests.conftest import DATA
 
@@ -187,3 +187,84 @@ def test_alignment_of_long_texts_and_empty_tables(spark, odd):
     assert got[2]["n_links"] == 0 and got[2]["groups_sha256"] == ""
     for d in (1, 3):
         assert got[d]["n_links"] == got[d]["n_a"] + got[d]["n_b"] - got[d]["n_groups"] > 0
+
+
+def negatives_by_hand(rows):
+    """The contract of op12 over all pairs, in Python's own integers."""
+    take = []
+    for vec, emb, label in rows:
+        if vec is None or label is None or emb is None or any(x is None or not np.isfinite(x) for x in emb):
+            continue
+        take.append((vec, (label + 1) % 10 if vec % 7 == 0 else label, [int(np.floor(256 * float(x))) for x in emb]))
+    out = []
+    for k, (a, la, va) in enumerate(take):
+        if a % 100:
+            continue
+        scored = [(-sum(x * y for x, y in zip(va, v)), i, lab) for m, (i, lab, v) in enumerate(take) if m != k]
+        positives = sorted(x for x in scored if x[2] == la)[:5]
+        others = sorted(x for x in scored if x[2] != la)
+        for p, i, _ in positives:
+            fit = [x for x in others if 80 * -p <= 100 * -x[0] <= 100 * -p][:5]
+            out += [(a, i, r + 1, j, -p, -n) for r, (n, j, _) in enumerate(fit)]
+    return out
+
+
+def vectors(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    return df.select("*", F.lit("x").alias("rid"), F.lit(1).alias("score"), F.lit(2).alias("grp"))
+
+
+def made_vectors(many, seed):
+    """Clusters, copies of one vector in many labels, and free ones."""
+    r = np.random.default_rng(seed)
+    centres, hot = r.normal(size=(12, 24)), r.normal(size=24).tolist()
+    rows = []
+    for k in range(many):
+        kind = k % 3
+        v = hot if kind == 0 else (centres[k % 12] + 0.15 * r.normal(size=24)).tolist() if kind == 1 else (r.normal(size=24) * r.uniform(0.2, 2)).tolist()
+        rows.append((int(k if k % 10 else 100 * (k // 10)), v, int(r.integers(0, 4))))
+    return rows
+
+
+def test_negatives_query_equals_all_pairs(spark):
+    rows = [tuple(r) for r in common.table(spark, DATA, "embeddings").select("vec_id", "embedding", "label").collect()]
+    expect = negatives_by_hand(rows)
+    assert len(expect) > 20
+    assert sorted(map(tuple, QUERIES["op12_hard_negatives"](spark, DATA).collect())) == sorted(expect)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_negatives_of_clusters_and_copies_in_small_blocks(spark, monkeypatch, seed):
+    for name, value in {"BLOCK": 64, "WINDOW": 8, "GROUP_ROWS": 128, "DIRECTIONS": 6}.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = made_vectors(1500, seed)
+    got = hard_negatives.hard_negatives(vectors(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(negatives_by_hand(rows))
+
+
+def test_negatives_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [0.5, 0.25], 1), (0, [0.5, 0.25], 1), (1, [0.5], 1), (2, [], 1), (3, [0.5, 0.3, 9.0], 2), (4, [nan, 1.0], 2), (5, [inf], 2), (6, [None, 1.0], 2), (7, [0.4, 0.3], 9), (8, None, 1),
+        (9, [0.4, 0.3], None), (None, [0.4, 0.3], 2), (100, [0.0, 0.0], 3), (101, [0.0, 1.0], 3), (102, [-1.0], 4), (200, [-1.0, 0.0], 5), (201, [1.0, 0.0], 5), (300, [1e30, 1.0], 6), (-100, [0.5, 0.2], 2), (-7, [0.5, 0.2], 1),
+    ]
+    got = sorted(map(tuple, hard_negatives.hard_negatives(vectors(spark, rows)).collect()))
+    assert got == sorted(negatives_by_hand(rows)) and len(got) > 5
+    assert hard_negatives.hard_negatives(vectors(spark, rows).limit(0)).count() == 0
+    large = [(100 * k, [2.0**16 * (k + 1), 3.0 + k], k % 2) for k in range(12)]
+    assert sorted(map(tuple, hard_negatives.hard_negatives(vectors(spark, large)).collect())) == sorted(negatives_by_hand(large))
+
+
+def test_bounds_hold_and_filter():
+    r = np.random.default_rng(5)
+    v = np.floor(256 * np.concatenate([c + 0.1 * r.normal(size=(200, 16)) for c in r.normal(size=(20, 16))]))
+    way = hard_negatives.fit_directions(v[::7], 20)
+    angles, norms = hard_negatives.angles_to(v, way), np.linalg.norm(v, axis=1)
+    order = np.lexsort((angles.min(axis=1), angles.argmin(axis=1)))
+    starts = np.arange(0, len(v), 50)
+    edge = lambda f, x: f.reduceat(x[order], starts, axis=0)
+    lower, upper = hard_negatives.bounds(angles, norms, edge(np.minimum, angles), edge(np.maximum, angles), edge(np.minimum, norms), edge(np.maximum, norms))
+    exact = (v @ v[order].T).reshape(len(v), -1, 50)
+    assert (lower[:, :, None] <= exact).all() and (exact <= upper[:, :, None]).all()
+    best = np.sort(exact.reshape(len(v), -1), axis=1)[:, -5]
+    assert (upper >= best[:, None]).mean() < 0.5
