@@ -16,7 +16,7 @@ large sets. Both bounds lie well above what a pair at the similarity shows (test
 
 Defined cases: a null or empty text, or one without words, has 0 shingles and is linked with nothing
 (component_id is its own id); fewer than 5 words form one shingle; rows with the same doc_id and text get
-equal answers; rows without doc_id link nothing and are kept; ties cannot occur, since the smallest id of
+equal answers; rows with the same doc_id and other texts are documents of their own under one name; rows without doc_id link nothing and are kept; ties cannot occur, since the smallest id of
 a component decides; an empty table gives an empty table; columns other than doc_id and text are ignored.
 """
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.llm import common
 
@@ -66,6 +67,12 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(roll))
 
 
+def set_digest(hashes: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def minhash(hashes: np.ndarray) -> np.ndarray:
     """SAMPLES minima under multiply-add permutations of the upper 32 bits."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -98,8 +105,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in SIGNATURES.split(", ")]
 
     def run(batches):
-        import xxhash
-
         for b in common.bounded(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -108,7 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for i, x in zip(full, band_keys(np.stack([minhash(sets[i]) for i in full])).tolist()):
                     keys[i] = x
                     sketches[i] = [*odd_sketch(sets[i], FINE), *odd_sketch(sets[i], COARSE)]
-            ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            ids = [set_digest(s) for s in sets]
             lists, types = list(zip(*sketches)) or [()] * 4, (pa.list_(pa.int64()), pa.int32()) * 2
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, lists, types)], names
@@ -232,18 +237,34 @@ def candidates_apart(in_buckets: DataFrame, reps: DataFrame, roots: DataFrame, p
     return out
 
 
-def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures of all rows; classes: set_id, rep; components: node, root over the classes' representatives)."""
+def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(signatures of all rows; classes: set_id, rep; components: node, root over the classes' representatives; do ids clash).
+
+    A row's node is its doc_id. Where one doc_id stands for different sets, each of them is a node of its own.
+    """
     stored = ("n_shingles", "bands", "fine", "fine_filled", "coarse", "coarse_filled")
     sig = common.materialize(signatures(docs))
+    again = common.materialize(
+        sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("set_id") != F.max("set_id")).alias("clash")).where("n > 1").select("doc_id", F.coalesce("clash", F.lit(False)).alias("clash"))
+    )
+    repeated = not again.isEmpty()
+    clash = again.where("clash").select("doc_id")
+    clashing = repeated and not clash.isEmpty()
+    if clashing:
+        node = F.when(F.col("clash") & F.col("set_id").isNotNull(), node_of("doc_id", "set_id")).otherwise(F.col("doc_id"))
+        sig = sig.join(clash.withColumn("clash", F.lit(True)), "doc_id", "left").withColumn("node", node).drop("clash")
+        rows = docs.select("doc_id", "text")
+        known = set_ids(rows.join(clash, "doc_id", "left_semi")).where("_set is not null")
+        docs = rows.join(clash, "doc_id", "left_anti").union(known.select(node_of("doc_id", "_set").alias("doc_id"), "text"))
+    else:
+        sig = sig.withColumn("node", F.col("doc_id"))
     reps = common.materialize(
-        sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(*stored), "doc_id").alias("x"))
+        sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("node").alias("rep"), F.min_by(F.struct(*stored), "node").alias("x"))
         .select("set_id", "rep", F.col("x.n_shingles").alias("n"), *(f"x.{c}" for c in stored[1:]))
     )
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     in_buckets = common.materialize(members.join(buckets, "key").select("key", "rep", "hub", "size"))
-    repeated = not sig.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     def check(pairs: DataFrame, *kinds: str) -> DataFrame:
         """The confirmed ones of distinct pairs, after sizes and the sketches of these kinds."""
@@ -267,24 +288,57 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
         roots = joined
     for t in (in_buckets, first, apart, second):
         common.drop_table(t)
-    return sig, reps, roots
+    return sig, reps, roots, clashing
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    sig, classes, roots = near_classes(docs, percent)
+def set_ids(docs: DataFrame) -> DataFrame:
+    """docs with the digest of each text's shingle set as one more column, _set; null without words."""
+    common.ship(docs.sparkSession)
+
+    def run(batches):
+        for b in common.bounded(batches):
+            yield b.append_column("_set", pa.array([set_digest(shingles(t or "")) for t in b.column("text").to_pylist()], pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())]))
+
+
+def node_of(doc_id: str, set_id: str) -> Column:
+    """A number of its own, above all usual ids, for one of the sets that share a doc_id."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, set_id), 2).bitwiseOR(F.lit(2**62))
+
+
+def placed_rows(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, set_id, root (the component's node; null where nothing is linked) and component_id of every row."""
+    sig, classes, roots, clashing = near_classes(docs, percent)
     placed = classes.select("set_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(placed, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    name = F.col("root")
+    if clashing:
+        # Nodes are not all ids now: the smallest doc_id of a component names it.
+        least = out.where("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("least"))
+        out, name = out.join(least, F.col("root") == F.col("_root"), "left").drop("_root"), F.col("least")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(name, "doc_id"))
+    return out.select("doc_id", "n_shingles", "set_id", "root", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    component = F.col("component_id")
+    return placed_rows(docs, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that stay: one document of each group of near duplicates; a repeated row stays once."""
-    found = common.materialize(near_duplicates(docs, percent))
-    kept = found.where("kept").select("doc_id")
-    named = docs.where("doc_id is not null").join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
-    twice = common.materialize(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """The rows of docs that stay: one document of each group of near duplicates; a repeated row stays once.
+
+    Rows that share a doc_id but not a component all stay, one for each component.
+    """
+    found = common.materialize(placed_rows(docs, percent))
+    kept = found.where("doc_id = component_id").select("doc_id", "set_id", "root")
+    named = docs.where("doc_id is not null").join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    twice = common.materialize(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.isEmpty():
-        named = named.join(twice, "doc_id", "left_anti").select(docs.columns).union(named.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        which = kept.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_of"), F.col("root").alias("_root")).distinct()
+        again = set_ids(named.join(twice, "doc_id", "left_semi").select(docs.columns))
+        again = again.join(which, (F.col("doc_id") == F.col("_id")) & F.col("_set").eqNullSafe(F.col("_of"))).dropDuplicates(["_id", "_root"])
+        named = named.join(twice, "doc_id", "left_anti").select(docs.columns).union(again.select(docs.columns))
     return named.union(docs.where("doc_id is null"))

@@ -60,6 +60,13 @@ def fold(text: str) -> str:
     return text
 
 
+def words_in(text: str) -> int:
+    """Words, which end at any ASCII white space."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    return int(inside[:1].sum() + (inside[1:] > inside[:-1]).sum())
+
+
 class Lexicon:
     """Terms with weights, exception phrases and calibration; builds its automaton where it is used."""
 
@@ -103,7 +110,7 @@ class Lexicon:
 
     def features(self, text: str) -> tuple[int, float, int]:
         hits = self.hits(fold(text))
-        return len(hits), sum(hits), text.count(" ") + 1
+        return len(hits), sum(hits), words_in(text)
 
     def score(self, weight, words):
         """Probability from the summed weight and the weight for each 100 words."""
@@ -133,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, exceptio
     )
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("o") + 0.5) / (other + 1.0))
     terms = (
-        counts.where((F.col("t") >= max(MIN_CONTEXTS, MIN_SHARE * toxic)) & (weight >= MIN_WEIGHT) & (F.length("term") > 2))
+        counts.where((F.col("t") >= max(MIN_CONTEXTS, MIN_SHARE * toxic)) & (weight >= MIN_WEIGHT))
         .select("term", weight.alias("w")).orderBy(F.desc("w"), "term").collect()
     )
     lexicon = Lexicon({r["term"]: r["w"] for r in terms}, exceptions)

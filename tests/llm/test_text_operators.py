@@ -501,3 +501,19 @@ def test_queries_have_contract_columns(spark):
     }
     for name, columns in want.items():
         assert set(columns.split()) <= set(QUERIES[name](spark, DATA).columns)
+
+
+def test_equal_ids_with_other_texts_are_other_documents(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (5, c + " end"), (6, ""), (6, a + " tail"), (6, ""), (7, "few words"), (7, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("k").alias("_set"), F.lit(1).alias("node")).drop("_set")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    expect = [(1, 26, 1, True), (1, 26, 1, True), (2, 26, 1, False), (3, 26, 1, False), (4, 26, 4, True), (4, 26, 4, True), (5, 27, 4, False), (6, 0, 6, True), (6, 0, 6, True), (6, 27, 1, False), (7, 1, 7, True), (7, 0, 7, True), (None, 26, None, True)]
+    assert got == sorted(expect, key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, c), (6, ""), (7, "few words"), (7, None), (None, a)], key=str)
+
+
+def test_toxicity_length_does_not_depend_on_the_kind_of_white_space():
+    text = " ".join(f"word{k}" for k in range(100))
+    assert [toxicity.words_in(t) for t in (text, text.replace(" ", "\n"), "", "  \t", " a\r\nb ")] == [100, 100, 0, 0, 2]
