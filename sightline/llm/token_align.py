@@ -29,8 +29,6 @@ from sightline.llm.token_counts import MARK
 #: Characters taken at once, chunks in each of the two generations of a worker's cache, characters of a chunk that is remembered,
 #: and pairs of the broadcast table (17 bytes each).
 SEGMENT, CACHE, SHORT, TABLE = 200_000, 200_000, 100, 2**20
-#: Fixed width of the three counts that are summed in one number.
-COUNT_BITS = 40
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 #: What a text without tokens has.
 NOTHING = (0, 0, 0, 0, "", [], [])
@@ -67,22 +65,20 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]).tolist(), np.cumsum(self.length_b[ids_b]).tolist()
         index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
         ends = sorted(index_a.keys() & index_b.keys())
-        stop_a, stop_b = [index_a[e] for e in ends], [index_b[e] for e in ends]
+        stop_a, stop_b = list(map(index_a.__getitem__, ends)), list(map(index_b.__getitem__, ends))
         size, text_a, text_b, texts, links, of_group, i, j = self.size, self.text_a, self.text_b, [], [], [], 0, 0
-        for g, (k, m) in enumerate(zip(stop_a, stop_b)):
-            some_a, some_b = list_a[i:k], list_b[j:m]
-            before = len(links)
-            if len(some_a) == 1 == len(some_b):
-                a, b = some_a[0], some_b[0]
-                texts.append(text_a[a] + "|" + text_b[b])
+        for k, m in zip(stop_a, stop_b):
+            if k - i == 1 and m - j == 1:
+                a, b = list_a[i], list_b[j]
+                texts.append(f"{text_a[a]}|{text_b[b]}")
                 links.append(a * size + b)
+                of_group.append(1)
             else:
-                texts.append(",".join([text_a[a] for a in some_a]) + "|" + ",".join([text_b[b] for b in some_b]))
-                x, y = i, j
-                while x < k and y < m:
-                    links.append(list_a[x] * size + list_b[y])
-                    x, y = x + (ends_a[x] <= ends_b[y]), y + (ends_b[y] <= ends_a[x])
-            of_group.append(len(links) - before)
+                texts.append(",".join([text_a[a] for a in list_a[i:k]]) + "|" + ",".join([text_b[b] for b in list_b[j:m]]))
+                of_group.append(k - i + m - j - 1)
+                while i < k and j < m:
+                    links.append(list_a[i] * size + list_b[j])
+                    i, j = i + (ends_a[i] <= ends_b[j]), j + (ends_b[j] <= ends_a[i])
             i, j = k, m
         return ends, stop_a, stop_b, texts, links, of_group
 
@@ -112,18 +108,19 @@ class Aligner:
                     out |= self.learn(some[:half]) | self.learn(some[half:])
                 continue
             ends, stop_a, stop_b, texts, links, of_group = found
-            group_of = dict(zip(ends, range(1, len(ends) + 1)))
-            raw, starts, byte_end, last, a, b = np.array(links, "<i8").tobytes(), np.cumsum([0, *of_group]).tolist(), 0, 0, 0, 0
-            for c in some:
-                byte_end += len(c.encode()) + 1
-                g = group_of[byte_end]
-                counts = (stop_a[g - 1] - a) | (stop_b[g - 1] - b) << COUNT_BITS | (g - last) << 2 * COUNT_BITS
-                out[c] = ";".join(texts[last:g]), raw[8 * starts[last] : 8 * starts[g]], counts
-                last, a, b = g, stop_a[g - 1], stop_b[g - 1]
+            stops = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in some), np.int64, len(some)))
+            at_stop = np.searchsorted(ends, stops)
+            if (np.array(ends)[at_stop] != stops).any():
+                raise ValueError("a chunk does not end where both tokenizers end a token")
+            more = np.diff(np.array(stop_a)[at_stop] - np.array(stop_b)[at_stop], prepend=0).tolist()
+            raw, starts, last = np.array(links, "<i8").tobytes(), (8 * np.cumsum([0, *of_group])).tolist(), 0
+            for c, g, d in zip(some, (at_stop + 1).tolist(), more):
+                out[c] = ";".join(texts[last:g]), raw[starts[last] : starts[g]], d
+                last = g
         return out
 
     def look_up(self, chunks: list[str]) -> list:
-        """(text of its groups, its links, its counts) of each chunk, or None where tokens do not give its bytes back; through the cache."""
+        """(text of its groups, its links, tokens of A more than of B) of each chunk, or None where tokens do not give its bytes back; through the cache."""
         wanted = set(chunks)
         new = wanted.difference(self.young)
         if len(self.young) + len(new) > self.cache_size:
@@ -148,14 +145,16 @@ class Aligner:
 
     def document(self, parts) -> tuple:
         """n_a, n_b, n_groups, n_links, digest, pairs and times of one text, given as lists of look_up()'s answers."""
-        counts = n_links = 0
+        more_a = n_links = n_groups = 0
         digest, pairs, times = hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for answers in parts:
             if None in answers:
                 return NOTHING
             texts, links, sums = zip(*answers)
-            digest.update(((";" if counts else "") + ";".join(texts)).encode())
-            counts += sum(sums)
+            text = ";".join(texts)
+            digest.update(((";" if n_groups else "") + text).encode())
+            n_groups += text.count(";") + 1
+            more_a += sum(sums)
             found = np.frombuffer(b"".join(links), "<i8")
             n_links += len(found)
             more, n = np.unique(found, return_counts=True)
@@ -165,8 +164,9 @@ class Aligner:
                 np.add.at(total, back, np.concatenate([times, n]))
                 n = total
             pairs, times = more, n
-        low = (1 << COUNT_BITS) - 1
-        return counts & low, counts >> COUNT_BITS & low, counts >> 2 * COUNT_BITS, n_links, digest.hexdigest(), pairs, times
+        # A group of a and b tokens has a + b - 1 links.
+        both = n_links + n_groups
+        return (both + more_a) // 2, (both - more_a) // 2, n_groups, n_links, digest.hexdigest(), pairs, times
 
     def documents(self, texts: list[str]):
         """Rows of many texts; short ones pass through the cache together."""
