@@ -125,28 +125,43 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: Fraction
     rows = rows.select("doc_id", "maybe", "whole", F.when(F.col("maybe"), left).otherwise(" ").alias("left"))
     rows = rows.select("*", F.when(F.col("left").rlike(f" (?:{'|'.join(anchors(templates, least))}) "), in_order(F.col("left"))).alias("grams"))
 
-    def window(name: str) -> Column:
-        """The best window's score against one template, null if none matches."""
-        grams_of = sets[name]
-        own, n, given = F.col("grams"), len(grams_of), F.array(*map(F.lit, grams_of))
+    def among(some: list[str]):
+        return lambda g: F.array_contains(F.array(*map(F.lit, some)), g)
+
+    # For each bigram the place of its last occurrence before, by sorting occurrences: a bigram is new in a window if that lies before the window.
+    rows = rows.withColumn("sorted", F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    before = lambda k: F.get(F.col("sorted"), k - 1)
+    rows = rows.withColumn("last", F.sort_array(F.transform("sorted", lambda x, k: F.struct(x["i"].alias("i"), F.when(before(k)["g"] == x["g"], before(k)["i"]).otherwise(-1).alias("p")))))
+    rows = rows.withColumn("last", F.transform("last", lambda x: x["p"])).drop("sorted")
+    anchors_by = anchors_of(templates, least)
+    for k, (name, grams_of) in enumerate(sets.items()):
+        due = F.col("grams").isNotNull() & F.col("left").rlike(f" (?:{'|'.join(anchors_by[name])}) ")
+        rows = rows.withColumn(f"hit{k}", F.when(due, F.transform("grams", among(grams_of))))
+    for k in range(len(sets)):
+        rows = rows.withColumn(f"at{k}", F.filter(F.transform(f"hit{k}", lambda h, i: F.when(h, i)), lambda i: i.isNotNull()))
+
+    def window(k: int, name: str) -> Column:
+        """The best window's score against one template: from each hit on, counts of new bigrams and new hits run over the bigrams that follow."""
+        n, at, hit = len(sets[name]), F.col(f"at{k}"), F.col(f"hit{k}")
         needed, high = -(-n * ratio.denominator // ratio.numerator), n * ratio.numerator // ratio.denominator
-        at = F.filter(F.transform(own, lambda g, i: F.when(F.array_contains(given, g), i)), lambda i: i.isNotNull())
-
-        def scored(start: Column, end: Column) -> Column:
-            mine = F.array_distinct(F.slice(own, start + 1, end - start + 1))
-            both, size = F.size(F.array_intersect(mine, given)), F.size(mine)
-            return F.when(2 * den * both >= num * (size + n), 2.0 * both / (size + n))
 
         def from_start(start: Column, k: Column) -> Column:
-            ends = F.filter(F.slice(at, k + 1, F.lit(high)), lambda end: end < start + high)
-            return F.when(F.size(ends) >= needed, F.array_max(F.transform(F.slice(ends, needed, F.lit(high)), lambda end: scored(start, end))))
+            def step(seen: Column, i: Column) -> Column:
+                new = F.get("last", i) < start
+                size = seen["size"] + F.when(new, 1).otherwise(0)
+                both = seen["both"] + F.when(new & F.get(hit, i), 1).otherwise(0)
+                ends = F.get(hit, i) & (2 * den * both >= num * (size + n))
+                return F.struct(size.alias("size"), both.alias("both"), F.when(ends, F.greatest(seen["best"], 2.0 * both / (size + n))).otherwise(seen["best"]).alias("best"))
+
+            zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("best"))
+            places = F.sequence(start, F.least(start + high, F.size("grams")) - 1)
+            return F.when(F.get(at, k + needed - 1) < start + high, F.aggregate(places, zero, step)["best"])
 
         dice = F.array_max(F.transform(at, from_start))
-        found = F.transform(F.filter(F.array(dice), lambda d: d.isNotNull()), lambda d: F.struct(d.alias("dice"), F.lit(name).alias("name")))
-        return F.when(F.col("left").rlike(f" (?:{'|'.join(anchors_by[name])}) "), found).otherwise(none)
+        found = F.transform(F.filter(F.array(dice), lambda d: d > 0), lambda d: F.struct(d.alias("dice"), F.lit(name).alias("name")))
+        return F.coalesce(found, none)
 
-    anchors_by = anchors_of(templates, least)
-    hits = F.when(F.col("grams").isNull(), F.col("whole")).otherwise(F.concat("whole", *map(window, sets)))
+    hits = F.when(F.col("grams").isNull(), F.col("whole")).otherwise(F.concat("whole", *(window(k, name) for k, name in enumerate(sets))))
     best = F.array_sort("hits", lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     return (
         rows.select("doc_id", hits.alias("hits")).select("doc_id", F.size("hits").cast("long").alias("n_matches"), F.get(best, F.lit(0)).alias("best"))

@@ -4,7 +4,9 @@ import collections
 import hashlib
 import math
 import random
+from fractions import Fraction
 import re
+import time
 import unicodedata
 import zlib
 
@@ -517,3 +519,59 @@ def test_equal_ids_with_other_texts_are_other_documents(spark):
 def test_toxicity_length_does_not_depend_on_the_kind_of_white_space():
     text = " ".join(f"word{k}" for k in range(100))
     assert [toxicity.words_in(t) for t in (text, text.replace(" ", "\n"), "", "  \t", " a\r\nb ")] == [100, 100, 0, 0, 2]
+
+
+def licence_by_hand(text):
+    """Lines, paragraphs and texts as brute_force() has them, then every window of every template in what they leave."""
+    least = license_scan.LEAST
+    sets = {k: set(license_scan.bigrams(license_scan.plain(v))) for k, v in license_scan.TEMPLATES.items()}
+
+    def dice(own, name):
+        return Fraction(2 * len(own & sets[name]), len(own) + len(sets[name]))
+
+    def matching(part):
+        own = set(license_scan.bigrams(part.split()))
+        return [(-dice(own, k), k) for k in sets if own and dice(own, k) >= least]
+
+    norm = re.sub(r"[^a-z0-9\n]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    blocks = re.split(r"\n[ \n]*\n", norm)
+    hits = [h for p in {" ".join(x.split()) for x in [*norm.split("\n"), *blocks, norm]} for h in matching(p)]
+    if not hits:
+        left = norm
+    elif matching(norm):
+        left = ""
+    else:
+        left = " ".join("|" if matching(b) else " ".join("|" if matching(x) else x for x in b.split("\n")) for b in blocks)
+    words = left.split()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for name, own in sets.items():
+        high = int((2 - least) / least * len(own))
+        found = [dice(set(grams[s:e]), name) for s in range(len(grams)) if grams[s] in own for e in range(s + 1, min(s + high, len(grams)) + 1)]
+        if max(found, default=0) >= least:
+            hits.append((-max(found), name))
+    return (min(hits)[1], round(float(-min(hits)[0]), 6), len(hits)) if hits else (None, None, 0)
+
+
+def licence_mixture(r, chars):
+    out = ""
+    while len(out) < chars:
+        words = r.choice(list(license_scan.TEMPLATES.values())).split()
+        a = r.randrange(len(words)) if r.random() < 0.5 else 0
+        piece = words[a : a + r.randrange(3, 60)]
+        if r.random() < 0.4:
+            piece[r.randrange(len(piece))] = "other"
+        out += " ".join(piece) + r.choice([" ", " some prose ", "\n", "\n\n"])
+    return out
+
+
+def test_licence_windows_equal_brute_force(spark):
+    r = random.Random(11)
+    every = {k: licence_mixture(r, r.choice([60, 300, 1500])) for k in range(120)}
+    got = license_scan.scan(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in got} == {k: licence_by_hand(t) for k, t in every.items()}
+
+
+def test_a_megabyte_of_licence_wording_ends_soon(spark):
+    began = time.time()
+    (got,) = license_scan.scan(spark.createDataFrame([(1, licence_mixture(random.Random(2), 1_000_000).replace("\n", " "))], "doc_id long, text string")).collect()
+    assert got["n_matches"] > 3 and time.time() - began < 90
