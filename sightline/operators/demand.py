@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.measures import gaps_at
+from sightline.operators.routing import LANES as ROUTED
 
 KEYS = ("target", "service", "direction")
 CAP = 256
@@ -23,13 +24,13 @@ class WindowLane:
     distinct: str | None = None
 
 
+#: What the lane's own condition admits is said once, by routing: base rule, protocol, direction and all.
+_ADMITS = {x.lane_id: x.predicate for x in ROUTED}
 LANES = {
-    "udp_demand": WindowLane("ddos.udp_demand", "protocol = 17"),
-    "reflection_victim": WindowLane("ddos.reflection_victim", "protocol = 17 AND direction = 'FORWARD' AND response_like AND trim(protocol_context) <> '' AND length(src) > 0", ("protocol_context",), "src"),
-    "source_diversity": WindowLane("ddos.source_diversity", "length(src) > 0 AND protocol BETWEEN 0 AND 255", (), "src"),
-    "icmp_demand": WindowLane("ddos.icmp_demand", "protocol = 1"),
-    "fragment_demand": WindowLane("ddos.fragment_demand", "is_fragment", ("protocol",)),
-    "connection_churn": WindowLane("ddos.connection_churn", "protocol = 6 AND direction = 'FORWARD' AND array_contains(flags, 'SYN') AND NOT array_contains(flags, 'ACK') AND NOT array_contains(flags, 'RST')", (), "flow_tuple"),
+    name: WindowLane(f"ddos.{name}", _ADMITS[f"ddos.{name}"], keys, distinct)
+    for name, keys, distinct in (
+        ("udp_demand", (), None), ("reflection_victim", ("protocol_context",), "src"), ("source_diversity", (), "src"), ("icmp_demand", (), None), ("fragment_demand", ("protocol",), None), ("connection_churn", (), "flow_tuple"),
+    )
 }
 #: Order of quality facts from best to worst.
 QUALITY = ("CLEAR", "UNKNOWN", "DEGRADED")
@@ -107,24 +108,27 @@ def closed_only(windows: DataFrame, records: DataFrame) -> DataFrame:
     return windows.join(F.broadcast(end), F.col("window_end") <= F.col("_end")).drop("_end")
 
 
-def closing_boundary(windows: DataFrame, records: DataFrame) -> DataFrame:
+def closing_boundary(windows: DataFrame, records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """created_us of closed windows: the first record time at or after their end, else the end of input if that is late enough.
 
+    by: columns of windows and records that tell inputs apart, each with times and an end of its own.
+
     An as-of join over distinct ends and distinct times: both are sorted together and each end takes the next
     time. Days split the sort: each day gets the first time of any later day as its fallback.
     """
     from pyspark.sql import Window
 
     day = 86_400_000_000
-    times = records.select("us").distinct().withColumn("t", F.col("us"))
-    ends = windows.select(F.col("window_end").alias("us")).distinct().withColumn("t", F.lit(None).cast("long"))
+    times = records.select(*by, "us").distinct().withColumn("t", F.col("us"))
+    ends = windows.select(*by, F.col("window_end").alias("us")).distinct().withColumn("t", F.lit(None).cast("long"))
     both = times.unionByName(ends).withColumn("day", F.floor(F.col("us") / day))
-    inside = Window.partitionBy("day").orderBy("us", F.col("t").desc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    later = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    days = both.groupBy("day").agg(F.min("t").alias("first")).withColumn("after", F.min("first").over(later)).select("day", "after")
-    end = records.agg((F.max("us") + 1).alias("_end"))
+    inside = Window.partitionBy(*by, "day").orderBy("us", F.col("t").desc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy(*by, "day").agg(F.min("t").alias("first")).withColumn("after", F.min("first").over(later)).select(*by, "day", "after")
+    end = records.groupBy(*by).agg((F.max("us") + 1).alias("_end"))
+    found = both.withColumn("next", F.first("t", ignorenulls=True).over(inside)).where("t is null").join(days, [*by, "day"])
     found = (
-        both.withColumn("next", F.first("t", ignorenulls=True).over(inside)).where("t is null").join(days, "day").join(F.broadcast(end))
-        .select(F.col("us").alias("window_end"), F.coalesce("next", "after", F.when(F.col("_end") >= F.col("us"), F.col("_end"))).alias("created_us"))
+        (found.join(end, list(by)) if by else found.join(F.broadcast(end)))
+        .select(*by, F.col("us").alias("window_end"), F.coalesce("next", "after", F.when(F.col("_end") >= F.col("us"), F.col("_end"))).alias("created_us"))
     )
-    return windows.join(found.where("created_us is not null"), "window_end")
+    return windows.join(found.where("created_us is not null"), [*by, "window_end"])

@@ -18,9 +18,14 @@ RECON = {
 }
 
 
+def in_order(rows: DataFrame, time: str = "us", identity: str = "obs_id") -> list[Column]:
+    """Causal order of the rows; by source position too, if they have one."""
+    return causal_order(time, "position" if "position" in rows.columns else None, identity)
+
+
 def ttl_sessions(rows: DataFrame, keys: tuple[str, ...], ttl_us: int, time: str = "us", identity: str = "obs_id") -> DataFrame:
     """rows with session_no for each key: a gap of ttl or more starts a new session (equality breaks)."""
-    w = Window.partitionBy(*keys).orderBy(*causal_order(time, identity=identity))
+    w = Window.partitionBy(*keys).orderBy(*in_order(rows, time, identity))
     gap = F.when(F.col(time) - F.lag(time).over(w) >= ttl_us, 1).otherwise(0)
     return rows.withColumn("_break", gap).withColumn("session_no", F.sum("_break").over(w)).drop("_break")
 
@@ -31,7 +36,7 @@ def bounded_history(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, .
     dropped counts the events that the cap has pushed out so far; lower_bound says whether it has.
     """
     rows = ttl_sessions(rows, keys, ttl_us)
-    order = Window.partitionBy(*keys, "session_no").orderBy(*causal_order())
+    order = Window.partitionBy(*keys, "session_no").orderBy(*in_order(rows))
     item = F.struct("us", "obs_id", *fields)
     recent = F.collect_list(item).over(order.rowsBetween(-(cap - 1), 0))
     pushed = F.when(F.lag("us", cap).over(order) >= F.col("us") - horizon_us, 1).otherwise(0)
@@ -85,7 +90,7 @@ def recurrence(flows: DataFrame, keys: tuple[str, ...], ttl_us: int, cap: int =
     intervals, their median, and the median absolute deviation from it.
     """
     rows = ttl_sessions(flows, keys, ttl_us)
-    order = Window.partitionBy(*keys, "session_no").orderBy(*causal_order())
+    order = Window.partitionBy(*keys, "session_no").orderBy(*in_order(rows))
     frame = order.rowsBetween(-(cap - 1), 0)
     rows = rows.withColumn("_times", F.collect_list("us").over(frame)).withColumn("_ids", F.collect_list("obs_id").over(frame)).withColumn("version", F.row_number().over(order))
     n = F.size("_times")

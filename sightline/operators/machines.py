@@ -117,11 +117,11 @@ def step_tcp(s: TcpState | None, r: dict, cap: int = 16, ttl_us: int = 3_600_000
     )]
 
 
-def fold(rows: DataFrame, keys: tuple[str, ...], step: Callable, finish: Callable | None, out_schema: str, key_schema: str, end_us: int | None = None) -> DataFrame:
-    """Fold each key's rows in causal order. finish(state) gives what is left of a key at the end of input, if that is late enough."""
+def fold(rows: DataFrame, keys: tuple[str, ...], step: Callable, finish: Callable | None, out_schema: str, key_schema: str, end_us: int | None = None, position: str | None = None) -> DataFrame:
+    """Fold each key's rows in causal order (by the source position too, if its column is named). finish(state) gives what is left of a key at the end of input, if that is late enough."""
     ship(rows.sparkSession)
     names = list(rows.columns)
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *causal_order())
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *causal_order(position=position))
     schema = f"{key_schema}, {out_schema}"
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema

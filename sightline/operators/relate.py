@@ -15,12 +15,24 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table in the folder that driver and executors share (spark.checkpoint.dir), read again: cuts lineage."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="sightline-"))
         folder = _own[0]
     path = f"{folder}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._sightline_path = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
+    path = getattr(df, "_sightline_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def families(spark: SparkSession, by_lane: dict[str, str]) -> DataFrame:
@@ -46,6 +58,33 @@ def exact_pairs(results: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.col("l.source"))).alias("shared"))
 
 
+def pairs_of(results: DataFrame, result_id: str) -> DataFrame:
+    """exact_pairs() of one result: only results that share a source with it are read on, and only pairs with it are made."""
+    own = results.where((F.col("result_id") == result_id) & F.col("family").isNotNull())
+    wanted = own.select(F.explode(F.array_distinct("source_ids")).alias("source")).distinct()
+    shape = ("result_id", "family", "start_us", "end_us")
+    ends = results.where("family IS NOT NULL").select(*shape, F.explode(F.array_distinct("source_ids")).alias("source")).join(F.broadcast(wanted), "source", "left_semi")
+    me = own.select(*(F.col(c).alias(f"_{c}") for c in shape))
+    both = ends.where(F.col("result_id") != result_id).join(F.broadcast(me), F.col("family") != F.col("_family"))
+    first = F.col("result_id") < F.col("_result_id")
+    side = lambda c, left: F.when(first == left, F.col(c)).otherwise(F.col(f"_{c}"))
+    relation = interval_overlap(side("start_us", True), side("end_us", True), side("start_us", False), side("end_us", False))
+    keys = [side("result_id", True).alias("left_id"), side("result_id", False).alias("right_id"), side("family", True).alias("left_family"), side("family", False).alias("right_family"), relation.alias("relation")]
+    return both.groupBy(*keys).agg(F.array_sort(F.collect_set("source")).alias("shared"))
+
+
+def pair_counts(results: DataFrame) -> DataFrame:
+    """How many exact pairs each source gives to each two families, without making one of them.
+
+    Members are counted for each source and family first, so a source that a third of all results share is a few rows afterwards.
+    """
+    ends = results.where("family IS NOT NULL").select("result_id", "family", F.explode(F.array_distinct("source_ids")).alias("source")).distinct()
+    sizes = ends.groupBy("source", "family").agg(F.count("*").alias("n"))
+    l, r = sizes.alias("l"), sizes.alias("r")
+    both = l.join(r, (F.col("l.source") == F.col("r.source")) & (F.col("l.family") < F.col("r.family")))
+    return both.select(F.col("l.source").alias("source"), F.col("l.family").alias("family_a"), F.col("r.family").alias("family_b"), (F.col("l.n") * F.col("r.n")).alias("pairs"))
+
+
 def candidates(pairs: DataFrame, result_id: str | None, limit: int) -> DataFrame:
     """Pairs in which a result stands on either side, in the order of their ids."""
     out = pairs if result_id is None else pairs.where((F.col("left_id") == result_id) | (F.col("right_id") == result_id))
@@ -73,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = ways.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         least = up.groupBy("hi").agg(F.min("lo").alias("m"))
         down = up.join(least, "hi").select(F.inline(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo"))))).where("hi > lo").distinct()
-        links = stored(down)
+        before, links = links, stored(down)
+        dropped(before)
         state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
         if state == seen or not state[0]:
             return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
@@ -127,16 +167,28 @@ def view_contents(placed: DataFrame) -> DataFrame:
     return sets
 
 
+def membership(known: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the source graph of results with a family. before: what this gave for earlier results, which the new ones join.
+
+    Growing in parts and all at once give the same components; only distinct links of the new results, and one link for each node known, are read.
+    """
+    of = lambda s: F.concat_ws("\u0001", F.lit("s"), F.col("family"), s)
+    edges = known.select(of(F.array_min("source_ids")).alias("a"), F.explode(F.transform(F.array_distinct("source_ids"), of)).alias("b")).distinct()
+    return components(edges if before is None else edges.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def family_views(results: DataFrame) -> DataFrame:
     """Components of each family's results over shared source ids, with an id from family and sorted result ids.
 
-    results: result_id, family, source_ids, start_us, end_us, result_type, and what view_contents reads. Results and sources are the
-    two sides of a graph; nodes carry their family, so components never cross families.
+    results: result_id, family, source_ids, start_us, end_us, result_type, and what view_contents reads. The graph's nodes are the
+    sources, with their family, so components never cross families; a result links its least source to its others, and equal
+    links are one. A result is where its least source is; one without sources is alone.
     """
     known = results.where("family IS NOT NULL")
-    node = F.concat_ws("\u0001", F.lit("r"), "family", "result_id")
-    edges = known.select(node.alias("a"), F.explode(F.transform(F.array_distinct("source_ids"), lambda s: F.concat_ws("\u0001", F.lit("s"), F.col("family"), s))).alias("b"))
-    roots = components(edges)
+    of = lambda s: F.concat_ws("\u0001", F.lit("s"), F.col("family"), s)
+    least = F.array_min("source_ids")
+    node = F.when(least.isNotNull(), of(least)).otherwise(F.concat_ws("\u0001", F.lit("r"), "family", "result_id"))
+    roots = membership(known)
     placed = known.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     views = placed.groupBy("family", "root").agg(
         F.array_sort(F.collect_set("result_id")).alias("result_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),

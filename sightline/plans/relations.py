@@ -54,17 +54,17 @@ _STATUS = "s(result_type, status_kind, priority) AS (VALUES " + ", ".join(f"('{t
 
 
 def finalized_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed windows of two lanes as result rows with content ids."""
+    """Closed windows of all six lanes as result rows with content ids."""
     rows = packets(spark, sf_dir)
-    drafts = R.all_results(*(demand.closed_only(demand.demand_window(rows, demand.LANES[n], DAY), rows).select("lane_id", "target", "service", "direction", "window_start", "packet_count", "result_type", F.col("first_id").alias("trigger_id"), F.array("first_id", "last_id").alias("support")) for n in ("udp_demand", "icmp_demand")))
-    lanes = R.lane_versions(spark, {"ddos.udp_demand": "1.0", "ddos.icmp_demand": "1.1"})
+    drafts = R.all_results(*(demand.closed_only(demand.demand_window(rows, demand.LANES[n], DAY), rows).select("lane_id", "target", "service", "direction", "window_start", "packet_count", "result_type", F.col("first_id").alias("trigger_id"), F.array("first_id", "last_id").alias("support")) for n in demand.LANES))
+    lanes = R.lane_versions(spark, {x.lane: "1.1" if n == "icmp_demand" else "1.0" for n, x in demand.LANES.items()})
     out = R.finalize(drafts, lanes, ("target", "service", "direction", "window_start", "packet_count"))
     return out.select("result_id", "lane_id", "lane_version", "result_type", "window_start", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 _FIELDS = ("direction", "lane_id", "lane_version", "packet_count", "result_type", "service", "source_ids", "target", "window_start")
-FINALIZED_SQL = f"""WITH w AS (SELECT * FROM ({_window_sql('udp_demand')}) UNION ALL SELECT * FROM ({_window_sql('icmp_demand')})),
-d AS (SELECT *, CASE lane_id WHEN 'ddos.udp_demand' THEN '1.0' ELSE '1.1' END AS lane_version, CASE WHEN first_id = last_id THEN [first_id] ELSE [first_id, last_id] END AS source_ids FROM w)
+FINALIZED_SQL = f"""WITH w AS ({' UNION ALL '.join(f"SELECT lane_id, target, service, direction, window_start, packet_count, result_type, first_id, last_id FROM ({_window_sql(n, False)})" for n in demand.LANES)}),
+d AS (SELECT *, CASE lane_id WHEN 'ddos.icmp_demand' THEN '1.1' ELSE '1.0' END AS lane_version, CASE WHEN first_id = last_id THEN [first_id] ELSE [first_id, last_id] END AS source_ids FROM w)
 SELECT 'result:' || sha256(CAST(to_json({{{', '.join(f"'{f}': {f}" for f in _FIELDS)}}}) AS VARCHAR)) AS result_id, lane_id, lane_version, result_type, window_start, array_to_string(source_ids, ',') AS source_ids FROM d"""
 
 
@@ -187,9 +187,17 @@ def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = relate.exact_pairs(result_rows(spark, sf_dir)).withColumn("shared", F.array_join("shared", ","))
-    wanted = result_rows(spark, sf_dir).where("source_b = 'x-7'").agg(F.min("result_id")).first()[0]
-    return relate.candidates(pairs, wanted, 20)
+    rows = result_rows(spark, sf_dir)
+    wanted = rows.where("source_b = 'x-7'").agg(F.min("result_id")).first()[0]
+    return relate.candidates(relate.pairs_of(rows, wanted), wanted, 20).withColumn("shared", F.array_join("shared", ","))
+
+
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relate.pair_counts(result_rows(spark, sf_dir))
+
+
+COUNTS_SQL = f"""WITH {RESULT_SQL}, e AS (SELECT DISTINCT result_id, family, unnest(source_ids) AS source FROM v WHERE family IS NOT NULL)
+SELECT l.source, least(l.family, r.family) AS family_a, greatest(l.family, r.family) AS family_b, count(*) AS pairs FROM e l JOIN e r ON l.source = r.source AND l.result_id < r.result_id AND l.family <> r.family GROUP BY ALL"""
 
 
 CANDIDATE_SQL = f"WITH p AS ({PAIRS_SQL}), w AS (SELECT min(result_id) AS x FROM (WITH {RESULT_SQL} SELECT * FROM v WHERE source_b = 'x-7')) SELECT p.* FROM p, w WHERE left_id = x OR right_id = x ORDER BY left_id, right_id LIMIT 20"
@@ -197,6 +205,7 @@ CANDIDATE_SQL = f"WITH p AS ({PAIRS_SQL}), w AS (SELECT min(result_id) AS x FROM
 #: hands the least label on to all that share one, and the turns are more than any chain here is long.
 _TURNS = 60
 _set = lambda e: f"coalesce(array_to_string(list_sort(list(DISTINCT {e}) FILTER (WHERE {e} IS NOT NULL)), ','), '')"
+#: What a view says of results that are no findings.
 _SAID = (
     "CASE result_type WHEN 'ANALYTIC_UNAVAILABLE' THEN trim(title) || ' was unavailable and did not produce an observed finding.' "
     "WHEN 'PREREQUISITE_MISSING' THEN trim(title) || ' lacked a required prerequisite and did not produce a complete finding.' "
@@ -298,14 +307,14 @@ QUERIES = {
     "filter_results": lambda s, d: R.filter_results(result_rows(s, d), **FILTERS).select("result_id", "created_us"), "result_lookup": result_lookup, "search_results": search_results, "public_refs": public_references,
     "page_before": _page("before"), "page_after": _page("after"), "latest_alerts": lambda s, d: R.latest_n(_unique(s, d)), "cursor_codec": cursor_codec, "alert_projection": lambda s, d: R.project_alerts(result_rows(s, d)),
     "status_projection": lambda s, d: R.project_status(result_rows(s, d)), "mechanism_summary": lambda s, d: R.mechanism_summary(result_rows(s, d)), "run_attribution": run_attribution, "limitations": limitations,
-    "exact_pairs": exact_pairs, "candidate_lookup": candidate_lookup, "family_views": lambda s, d: _shown(relate.family_views(result_rows(s, d))), "family_views_subset": family_views_subset, "investigation_links": investigation_links,
+    "exact_pairs": exact_pairs, "pair_counts": pair_counts, "candidate_lookup": candidate_lookup, "family_views": lambda s, d: _shown(relate.family_views(result_rows(s, d))), "family_views_subset": family_views_subset, "investigation_links": investigation_links,
     "relations_by_family": relations_by_family, "family_overview": family_overview, "scope_to_run": scope_to_run, "finding_groups": finding_groups,
     "chronology": lambda s, d: relate.chronology(result_rows(s, d).withColumn("findings", F.col("sequence") % 3)), "recon_targets": lambda s, d: relate.recon_targets(result_rows(s, d)), "run_conformance": run_conformance,
 }
 SQL = {
     "finalized_results": FINALIZED_SQL, "result_validation": VALIDATION_SQL, "idempotent_append": APPEND_SQL, "result_children": CHILDREN_SQL, "filter_results": FILTER_SQL, "result_lookup": LOOKUP_SQL, "search_results": SEARCH_SQL,
     "public_refs": REFS_SQL, "page_before": _page_sql("before"), "page_after": _page_sql("after"), "latest_alerts": LATEST_SQL, "cursor_codec": CODEC_SQL, "alert_projection": ALERT_SQL, "status_projection": STATUS_SQL,
-    "mechanism_summary": SUMMARY_SQL, "run_attribution": ATTRIBUTION_SQL, "limitations": LIMITATION_SQL, "exact_pairs": PAIRS_SQL, "candidate_lookup": CANDIDATE_SQL, "family_views": VIEWS_SQL, "family_views_subset": SUBSET_SQL,
+    "mechanism_summary": SUMMARY_SQL, "run_attribution": ATTRIBUTION_SQL, "limitations": LIMITATION_SQL, "exact_pairs": PAIRS_SQL, "pair_counts": COUNTS_SQL, "candidate_lookup": CANDIDATE_SQL, "family_views": VIEWS_SQL, "family_views_subset": SUBSET_SQL,
     "investigation_links": LINKS_SQL, "relations_by_family": RELATIONS_SQL, "family_overview": OVERVIEW_SQL, "scope_to_run": SCOPE_SQL, "finding_groups": GROUPS_SQL, "chronology": CHRONOLOGY_SQL, "recon_targets": TARGETS_SQL,
     "run_conformance": CONFORMANCE_SQL,
 }

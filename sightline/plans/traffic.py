@@ -16,24 +16,38 @@ HORIZONS = (60, 3600 * 24 * 30)
 RECON_TTL = 3600 * 24 * 60
 
 
+#: Some packets have no known direction, target or service: no window lane may count them.
+UNSURE = {"direction": "CASE WHEN bytes % 10 = 3 THEN 'UNKNOWN' ELSE direction END", "target": "CASE WHEN bytes % 10 = 4 THEN NULL ELSE target END", "service": "CASE WHEN bytes % 10 = 5 THEN NULL ELSE service END"}
+#: The window lanes' rules once more, by hand.
+_HERE = "direction IN ('FORWARD', 'REVERSE') AND target IS NOT NULL AND service IS NOT NULL"
+ADMITS = {
+    "udp_demand": f"protocol = 17 AND {_HERE}",
+    "reflection_victim": f"protocol = 17 AND direction = 'FORWARD' AND response_like AND trim(protocol_context) <> '' AND src <> '' AND {_HERE}",
+    "source_diversity": f"src <> '' AND protocol >= 0 AND protocol <= 255 AND {_HERE}",
+    "icmp_demand": f"protocol = 1 AND {_HERE}",
+    "fragment_demand": f"is_fragment AND {_HERE}",
+    "connection_churn": f"protocol = 6 AND direction = 'FORWARD' AND flag_text = 'SYN' AND {_HERE}",
+}
+
+
 def _window(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = packets(spark, sf_dir)
+        rows = packets(spark, sf_dir).withColumns({c: F.expr(e) for c, e in UNSURE.items()})
         return demand.closed_only(demand.demand_window(rows, demand.LANES[name], DAY), rows)
 
     return query
 
 
-def _window_sql(name: str) -> str:
-    lane = demand.LANES[name]
-    admit = lane.admit.replace("array_contains(flags, ", "list_contains(string_split(flag_text, ','), ")
+def _window_sql(name: str, unsure: bool = True) -> str:
+    lane, admit = demand.LANES[name], ADMITS[name]
+    rows = f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in UNSURE.items())}) FROM ({PACKET_SQL})" if unsure else PACKET_SQL
     keys = [*demand.KEYS, *lane.keys]
     distinct = f", count(DISTINCT {lane.distinct}) AS d" if lane.distinct else ""
     counted = f"least(d, {demand.CAP}) AS distinct_count, d > {demand.CAP} AS capacity_reached," if lane.distinct else ""
     full = f" OR d > {demand.CAP}" if lane.distinct else ""
     further = f"CASE WHEN d > {demand.CAP} THEN '{'further_tuples' if name == 'connection_churn' else 'further_sources'}' END" if lane.distinct else "NULL"
     return f"""
-WITH v AS ({PACKET_SQL}),
+WITH v AS ({rows}),
 w AS (SELECT {', '.join(keys)}, us - us % {DAY} AS window_start, count(*) AS packet_count, CAST(sum(bytes) AS BIGINT) AS observed_bytes,
   count(bytes) AS known_lengths, count(*) - count(bytes) AS missing_lengths, min(bytes) AS lo, max(bytes) AS hi,
   array_to_string(list_sort(list(DISTINCT CAST(protocol AS VARCHAR))), ',') AS protocols,

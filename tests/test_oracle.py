@@ -6,10 +6,10 @@ import os
 
 import pytest
 
-from sightline.plans import envelope, machines, relations, signals, traffic
+from sightline.plans import envelope, machines, relations, replay, signals, traffic
 from tests.conftest import DATA
 
-PLANS = {n: (f, p.SQL.get(n)) for p in (traffic, envelope, signals, relations, machines) for n, f in p.QUERIES.items()}
+PLANS = {n: (f, p.SQL.get(n)) for p in (traffic, envelope, signals, relations, machines, replay) for n, f in p.QUERIES.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 
 
