@@ -9,21 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.core import config_hash
+from sightline.operators.hooks import POLICIES, Hooks, run_hooks
 from sightline.operators.routing import LANES, Lane, fan_out
 
-#: What a lane does with records that fall into an open quality gap.
-POLICIES = ("CONTINUE", "RESET", "REENTER_WARMUP", "ABSTAIN", "DISABLE")
 #: Bounds of a shown observation.
 MAX_ROLES, MAX_FIELDS, MAX_CHARS = 16, 32, 200
 
 
 @dataclass(frozen=True)
 class Mechanism:
-    """A lane with its measure: a function from the lane's records to drafts."""
+    """A lane with its measure, a function from the lane's records to drafts, or with hooks that keep state by key, and its gap policy."""
 
     lane: Lane
-    measure: Callable[[DataFrame], DataFrame]
+    measure: Callable[[DataFrame], DataFrame] | None = None
     parameters: dict = field(default_factory=dict)
+    hooks: Hooks | None = None
+    policy: str = "CONTINUE"
 
 
 class Registry:
@@ -33,16 +34,22 @@ class Registry:
         self._known: dict[str, Mechanism] = {}
 
     def register(self, mechanism: Mechanism) -> None:
+        if (mechanism.measure is None) == (mechanism.hooks is None):
+            raise ValueError("a mechanism has either a measure or hooks")
+        if mechanism.policy not in POLICIES:
+            raise ValueError(f"unknown policy {mechanism.policy}")
         if mechanism.lane.lane_id in self._known or any(x.lane_id == mechanism.lane.lane_id for x in LANES):
             raise ValueError(f"lane {mechanism.lane.lane_id} is registered already")
         self._known[mechanism.lane.lane_id] = mechanism
 
-    def run(self, records: DataFrame) -> DataFrame:
-        """Bag union of all mechanisms' drafts with lane_id and config_hash."""
+    def run(self, records: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+        """Bag union of all mechanisms' drafts with lane_id and config_hash. gaps: as in hooks.with_gaps, with lane_id."""
         routed = fan_out(records, tuple(m.lane for m in self._known.values()))
         out = None
         for name, m in self._known.items():
-            drafts = m.measure(routed.where(F.array_contains("routes", name)).drop("routes"))
+            own = routed.where(F.array_contains("routes", name)).drop("routes")
+            mine = None if gaps is None else gaps.where(F.col("lane_id") == name)
+            drafts = m.measure(own) if m.hooks is None else run_hooks(own, m.hooks, m.policy, mine)
             drafts = drafts.withColumn("lane_id", F.lit(name)).withColumn("config_hash", F.lit(config_hash(m.parameters)))
             out = drafts if out is None else out.unionByName(drafts, allowMissingColumns=True)
         if out is None:

@@ -117,11 +117,15 @@ def step_tcp(s: TcpState | None, r: dict, cap: int = 16, ttl_us: int = 3_600_000
     )]
 
 
-def fold(rows: DataFrame, keys: tuple[str, ...], step: Callable, finish: Callable | None, out_schema: str, key_schema: str, end_us: int | None = None, position: str | None = None) -> DataFrame:
-    """Fold each key's rows in causal order (by the source position too, if its column is named). finish(state) gives what is left of a key at the end of input, if that is late enough."""
+def fold(rows: DataFrame, keys: tuple[str, ...], step: Callable, finish: Callable | None, out_schema: str, key_schema: str, end_us: int | None = None, position: str | None = None, order: tuple[str, ...] | None = None, due: Callable | None = None) -> DataFrame:
+    """Fold each key's rows in causal order (by the source position too, if its column is named), or in that of the columns `order`.
+
+    finish(state) gives what is left of a key at the end of input (one row or a list), if due(state), by default an attempt's end, is no later.
+    """
+    due = due or (lambda s: s.first_us + SYN_TTL_US)
     ship(rows.sparkSession)
     names = list(rows.columns)
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *causal_order(position=position))
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *(order or causal_order(position=position)))
     schema = f"{key_schema}, {out_schema}"
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -132,7 +136,10 @@ def fold(rows: DataFrame, keys: tuple[str, ...], step: Callable, finish: Callabl
         key, state = None, None
 
         def close():
-            return [(*key, *finish(state))] if finish and key is not None and state is not None and (end_us is None or state.first_us + SYN_TTL_US <= end_us) else []
+            if not finish or key is None or state is None or (end_us is not None and due(state) > end_us):
+                return []
+            made = finish(state)
+            return [(*key, *m) for m in (made if isinstance(made, list) else [made])]
 
         for b in batches:
             out = []

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sightline.functions.deploy import ship
 from sightline.operators import machines
+from sightline.operators.hooks import Hooks, due_of, finisher, mark_rows, stepper
 from sightline.streaming import steps
 
 TCP_TTL_US = 3_600_000_000
@@ -40,6 +41,13 @@ class StreamLane:
     load: Callable = staticmethod(lambda s: s)
 
 
+def causal_key(r: dict) -> tuple:
+    """Order of a key's rows: time, gap rows before others, source position (whole numbers first and by value), id."""
+    p = r.get("position")
+    whole = p is not None and p.isascii() and p.isdigit()
+    return r["us"], r.get("turn", 1), not whole, int(p) if whole else 0, p or "", r["obs_id"]
+
+
 class KeyedOrder(StatefulProcessor):
     """Holds, orders, steps and expires one lane's keys."""
 
@@ -76,12 +84,13 @@ class KeyedOrder(StatefulProcessor):
             return
         state = None if state is None else lane.load(state)
         for passed in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
-            for r in sorted(json.loads(self.waiting.getValue((passed,))[0]), key=lambda r: (r["us"], r["obs_id"])):
+            for r in sorted(json.loads(self.waiting.getValue((passed,))[0]), key=causal_key):
                 state, made = lane.step(state, r)
                 out += made
             self.waiting.removeKey((passed,))
         if state is not None and lane.deadline(state) < now * 1000:
-            out += [lane.finish(state)] if lane.finish else []
+            made = lane.finish(state) if lane.finish else []
+            out += made if isinstance(made, list) else [made]
             state = None
         if state is None:
             self.state.clear()
@@ -97,9 +106,11 @@ class KeyedOrder(StatefulProcessor):
         pass
 
 
-def keyed_stream(rows: DataFrame, lane: StreamLane, delay: str) -> DataFrame:
+def keyed_stream(rows: DataFrame, lane: StreamLane, delay: str | None) -> DataFrame:
+    """delay None: the rows have their watermark already."""
     ship(rows.sparkSession)
-    ready = rows.withWatermark("event_time", delay).select("event_time", *lane.keys, "us", "obs_id", *lane.fields)
+    rows = rows if delay is None else rows.withWatermark("event_time", delay)
+    ready = rows.select("event_time", *lane.keys, "us", "obs_id", *lane.fields)
     return ready.groupBy(*lane.keys).transformWithStateInPandas(KeyedOrder(lane), f"{lane.key_schema}, {lane.out_schema}", "append", "EventTime")
 
 
@@ -139,3 +150,18 @@ def recurrence_stream(flows: DataFrame, keys: dict[str, str], ttl_us: int, delay
     """history.recurrence over a stream. keys: name and type of each key column."""
     made = StreamLane(tuple(keys), ", ".join(f"{k} {t}" for k, t in keys.items()), (), steps.RECURRENCE_OUT, steps.recurrence_step(ttl_us, cap, least), lambda s: s["times"][-1] + ttl_us)
     return keyed_stream(flows, made, delay).withColumn("lane_id", F.lit("c2.r1"))
+
+
+def hooks_stream(rows: DataFrame, hooks: Hooks, policy: str = "CONTINUE", gaps: DataFrame | None = None, delay: str = "0 seconds", last_us: int = 2**62) -> DataFrame:
+    """operators.hooks.run_hooks over a stream.
+
+    rows: as hooks.with_gaps gives them (kind, gap_id, turn, position), so openings and closings that name a key are rows of the stream;
+    gaps: the lane's gaps known so far, for marks and disabling; last_us: how far a gap without an end is followed.
+    """
+    ready = mark_rows(rows.withWatermark("event_time", delay), gaps, policy, last_us)
+    fields = tuple(dict.fromkeys([*(c for c in hooks.fields if c not in hooks.keys), "position", "kind", "gap_id", "turn", "degraded_by_gap"]))
+    key_schema = ", ".join(f"{k} {t}" for k, t in hooks.keys.items())
+    pack = lambda kept: {**kept, "state": None if kept["state"] is None else hooks.dump(kept["state"])}
+    unpack = lambda kept: {**kept, "state": None if kept["state"] is None else hooks.load(kept["state"])}
+    lane = StreamLane(tuple(hooks.keys), key_schema, fields, hooks.schema, stepper(hooks, policy), due_of(hooks), finisher(hooks), pack, unpack)
+    return keyed_stream(ready, lane, None)
