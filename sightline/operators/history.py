@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.core import causal_order
+from sightline.operators.ranges import previous, running
 
 HORIZONS = (60, 3600)
 MAX_EVENTS = 16
@@ -30,6 +31,13 @@ def ttl_sessions(rows: DataFrame, keys: tuple[str, ...], ttl_us: int, time: str
     return rows.withColumn("_break", gap).withColumn("session_no", F.sum("_break").over(w)).drop("_break")
 
 
+def spread_sessions(rows: DataFrame, keys: tuple[str, ...], ttl_us: int) -> DataFrame:
+    """ttl_sessions() with each key split by time over range partitions: the last time before a partition and its breaks so far are handed on."""
+    rows = previous(rows, keys, ["us", "obs_id"], "us", "_before")
+    rows = rows.withColumn("_break", F.when(F.col("us") - F.col("_before") >= ttl_us, 1).otherwise(0)).drop("_before")
+    return running(rows, keys, [F.col("us"), F.col("obs_id")], session_no="_break").drop("_break", "_part")
+
+
 def bounded_history(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], horizon_us: int, ttl_us: int, cap: int = MAX_EVENTS) -> DataFrame:
     """rows with history: the last `cap` events of the session up to the row that lie within the horizon, oldest first.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.ranges import running
 from sightline.operators.relate import stored
 
 
@@ -106,24 +107,40 @@ def _by_score(scored: DataFrame) -> DataFrame:
 
 
 def auroc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve by mid-ranks: ties count half."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = _by_score(scored).withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return t.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg")), 9).alias("auroc"))
+    """Area under the ROC curve by mid-ranks: ties count half. Ranks run over range partitions of the distinct scores."""
+    t = running(_by_score(scored), (), [F.col("score")], up_to="neg")
+    below = F.col("up_to") - F.col("neg")
+    return t.agg(F.round(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg")), 9).alias("auroc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Sum of recall steps times precision over distinct descending scores."""
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    t = _by_score(scored).withColumn("tp", F.sum("pos").over(above)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(above))
+    t = running(_by_score(scored).withColumn("both", F.col("pos") + F.col("neg")), (), [F.desc("score")], tp="pos", all="both")
     return t.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos"), 9).alias("average_precision"))
 
 
+#: Quantiles of a score summary.
+QUANTILES = {"q01": 0.01, "q05": 0.05, "q50": 0.5, "q95": 0.95, "q99": 0.99}
+
+
 def score_quantiles(scored: DataFrame, by: str) -> DataFrame:
-    """Rows, interpolated quantiles and the share of scores from 0.5 on, for each split."""
-    q = F.percentile("score", F.array(*map(F.lit, (0.01, 0.05, 0.5, 0.95, 0.99))))
-    t = scored.groupBy(by).agg(F.count("*").alias("rows"), q.alias("q"), F.avg(F.when(F.col("score") >= 0.5, 1.0).otherwise(0.0)).alias("share"))
-    return t.select(by, "rows", *(F.round(F.get("q", F.lit(i)), 9).alias(n) for i, n in enumerate(("q01", "q05", "q50", "q95", "q99"))), F.round("share", 9).alias("share_from_half"))
+    """Rows, interpolated quantiles and the share of scores from 0.5 on, for each split.
+
+    Equal scores are counted together first; running counts over range partitions then say which score stands at a position, so no
+    split is held or sorted in one place.
+    """
+    known = scored.where("score IS NOT NULL")
+    sizes = scored.groupBy(by).agg(F.count("*").alias("rows"), F.count("score").alias("n"), F.avg(F.when(F.col("score") >= 0.5, 1.0).otherwise(0.0)).alias("share"))
+    t = running(known.groupBy(by, "score").agg(F.count("*").alias("c")), (by,), [F.col("score")], up_to="c")
+    t = t.join(F.broadcast(sizes.select(F.col(by).alias("_by"), "n")), F.col(by).eqNullSafe(F.col("_by")))
+    place = {n: (F.col("n") - 1) * F.lit(q) for n, q in QUANTILES.items()}
+    holds = lambda at: (F.col("up_to") - F.col("c") <= at) & (at < F.col("up_to"))
+    ends = [F.max(F.when(holds(f(p)), F.col("score"))).alias(f"{n}_{k}") for n, p in place.items() for k, f in (("low", F.floor), ("high", F.ceil))]
+    found = t.groupBy(by).agg(*ends, F.first("n").alias("_n"))
+    between = {n: (F.col("_n") - 1) * F.lit(q) for n, q in QUANTILES.items()}
+    value = lambda n, p: F.round(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (p - F.floor(p)), 9).alias(n)
+    found = found.select(F.col(by).alias("_by"), *(value(n, p) for n, p in between.items()))
+    return sizes.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "rows", *QUANTILES, F.round("share", 9).alias("share_from_half"))
 
 
 def model_delta(rows: DataFrame, samples: int) -> DataFrame:

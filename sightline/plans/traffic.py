@@ -131,7 +131,7 @@ SELECT 'c2.r1' AS lane_id, client, peer, service, protocol, obs_id, us, len(time
 
 
 def ttl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.ttl_sessions(flows(spark, sf_dir), FLOW_KEYS, FLOW_TTL)
+    rows = history.spread_sessions(flows(spark, sf_dir), FLOW_KEYS, FLOW_TTL)
     return rows.groupBy(*FLOW_KEYS, "session_no").agg(F.count("*").alias("events"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
 
 
