@@ -61,7 +61,12 @@ def demand_window(packets: DataFrame, lane: WindowLane, width_us: int, cap: int
     if lane.distinct:
         aggregates.append(F.count_distinct(lane.distinct).alias("_distinct"))
     keys = [*KEYS, *lane.keys]
-    out = packets.where(F.expr(lane.admit)).groupBy(*keys, start.alias("window_start")).agg(*aggregates)
+    return described(packets.where(F.expr(lane.admit)).groupBy(*keys, start.alias("window_start")).agg(*aggregates), lane, width_us, cap)
+
+
+def described(out: DataFrame, lane: WindowLane, width_us: int, cap: int = CAP) -> DataFrame:
+    """The lane's columns from what was counted in each window, in batch or in a stream."""
+    keys = [*KEYS, *lane.keys]
     complete = F.col("missing_lengths") == 0
     columns = [
         F.lit(lane.lane).alias("lane_id"), *keys, "window_start", (F.col("window_start") + width_us).alias("window_end"),

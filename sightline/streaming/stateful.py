@@ -85,7 +85,7 @@ class KeyedOrder(StatefulProcessor):
         state = None if state is None else lane.load(state)
         for passed in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
             for r in sorted(json.loads(self.waiting.getValue((passed,))[0]), key=causal_key):
-                state, made = lane.step(state, r)
+                state, made = lane.step(state, {**dict(zip(lane.keys, key)), **r})
                 out += made
             self.waiting.removeKey((passed,))
         if state is not None and lane.deadline(state) < now * 1000:
@@ -152,13 +152,14 @@ def recurrence_stream(flows: DataFrame, keys: dict[str, str], ttl_us: int, delay
     return keyed_stream(flows, made, delay).withColumn("lane_id", F.lit("c2.r1"))
 
 
-def hooks_stream(rows: DataFrame, hooks: Hooks, policy: str = "CONTINUE", gaps: DataFrame | None = None, delay: str = "0 seconds", last_us: int = 2**62) -> DataFrame:
+def hooks_stream(rows: DataFrame, hooks: Hooks, policy: str = "CONTINUE", gaps: DataFrame | None = None, delay: str | None = "0 seconds", last_us: int = 2**62) -> DataFrame:
     """operators.hooks.run_hooks over a stream.
 
     rows: as hooks.with_gaps gives them (kind, gap_id, turn, position), so openings and closings that name a key are rows of the stream;
-    gaps: the lane's gaps known so far, for marks and disabling; last_us: how far a gap without an end is followed.
+    gaps: the lane's gaps known so far, for marks and disabling; last_us: how far a gap without an end is followed; delay None: the rows have
+    their watermark already.
     """
-    ready = mark_rows(rows.withWatermark("event_time", delay), gaps, policy, last_us)
+    ready = mark_rows(rows if delay is None else rows.withWatermark("event_time", delay), gaps, policy, last_us)
     fields = tuple(dict.fromkeys([*(c for c in hooks.fields if c not in hooks.keys), "position", "kind", "gap_id", "turn", "degraded_by_gap"]))
     key_schema = ", ".join(f"{k} {t}" for k, t in hooks.keys.items())
     pack = lambda kept: {**kept, "state": None if kept["state"] is None else hooks.dump(kept["state"])}
