@@ -22,6 +22,8 @@ a component decides; an empty table gives an empty table; columns other than doc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -213,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def candidates_apart(in_buckets: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def candidates_apart(in_buckets: DataFrame, fetch: Callable, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components, and may be similar by sizes and fine sketch.
 
     In each bucket the members outside its largest component meet all members, in blocks that are dealt by (key, block).
@@ -224,9 +226,11 @@ def candidates_apart(in_buckets: DataFrame, reps: DataFrame, roots: DataFrame, p
         parts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), (1 + F.sum("n") / BLOCK).cast("int").alias("blocks"))
         .where("roots > 1").drop("roots")
     )
-    own = placed.join(mixed, "key").join(reps.select("rep", F.struct("n", "fine", "fine_filled").alias("x")), "rep")
-    rows = common.materialize(own.select("key", "blocks", "rep", "root", (F.col("root") == F.col("main")).alias("major"), "x"))
-    common.drop_table(placed)
+    own = common.materialize(placed.join(mixed, "key").select("key", "blocks", "rep", "root", (F.col("root") == F.col("main")).alias("major")))
+    known = fetch(own.select(F.col("rep").alias("doc_id"))).select("rep", F.struct("n", "fine", "fine_filled").alias("x"))
+    rows = common.materialize(own.join(known, "rep"))
+    for t in (placed, own):
+        common.drop_table(t)
     left = rows.where("not major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("x").alias("l"))
     right = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("b"), F.col("root").alias("root_b"), "major", F.col("x").alias("r"))
     apart = (F.col("root_a") != F.col("root_b")) & (F.col("major") | (F.col("a") < F.col("b")))
@@ -242,7 +246,7 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
 
     A row's node is its doc_id. Where one doc_id stands for different sets, each of them is a node of its own.
     """
-    stored = ("n_shingles", "bands", "fine", "fine_filled", "coarse", "coarse_filled")
+    sketches = ("fine", "fine_filled", "coarse", "coarse_filled")
     sig = common.materialize(signatures(docs))
     again = common.materialize(
         sig.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("set_id") != F.max("set_id")).alias("clash")).where("n > 1").select("doc_id", F.coalesce("clash", F.lit(False)).alias("clash"))
@@ -258,10 +262,18 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
         docs = rows.join(clash, "doc_id", "left_anti").union(known.select(node_of("doc_id", "_set").alias("doc_id"), "text"))
     else:
         sig = sig.withColumn("node", F.col("doc_id"))
+    # The sketches stay where they were made; only those of texts that stand in a pair or a mixed bucket are fetched.
     reps = common.materialize(
-        sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("node").alias("rep"), F.min_by(F.struct(*stored), "node").alias("x"))
-        .select("set_id", "rep", F.col("x.n_shingles").alias("n"), *(f"x.{c}" for c in stored[1:]))
+        sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("node").alias("rep"), F.min_by(F.struct("n_shingles", "bands"), "node").alias("x"))
+        .select("set_id", "rep", F.col("x.n_shingles").alias("n"), "x.bands")
     )
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """rep, n and sketches of the representatives in ids (doc_id)."""
+        rows = sig.where("n_shingles > 0 and node is not null").select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), *sketches)
+        found = common.wanted_rows(rows, ids).withColumnRenamed("doc_id", "rep")
+        return found.dropDuplicates(["rep"]) if repeated else found
+
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     in_buckets = common.materialize(members.join(buckets, "key").select("key", "rep", "hub", "size"))
@@ -269,24 +281,27 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     def check(pairs: DataFrame, *kinds: str) -> DataFrame:
         """The confirmed ones of distinct pairs, after sizes and the sketches of these kinds."""
         side = F.struct("n", *(c for k in kinds for c in (k, f"{k}_filled")))
-        a, b = reps.select(F.col("rep").alias("a"), side.alias("l")), reps.select(F.col("rep").alias("b"), side.alias("r"))
+        known = common.materialize(fetch(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).select("rep", side.alias("x")))
+        a, b = known.select(F.col("rep").alias("a"), F.col("x").alias("l")), known.select(F.col("rep").alias("b"), F.col("x").alias("r"))
         near = pairs.join(a, "a").join(b, "b").where(similar_sizes(F.col("l.n"), F.col("r.n"), percent))
         for kind in kinds:
             near = near.where(passes("l", "r", kind, percent))
         near = common.materialize(near.select("a", "b"))
         found = confirm(near, docs, percent, repeated)
-        common.drop_table(near)
+        for t in (near, known):
+            common.drop_table(t)
         return found
 
-    first = check(in_buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "fine", "coarse")
+    with_hubs = common.materialize(in_buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    first = check(with_hubs, "fine", "coarse")
     roots = components(first)
-    apart = candidates_apart(in_buckets.where("size > 2").select("key", "rep"), reps, roots, percent)
+    apart = candidates_apart(in_buckets.where("size > 2").select("key", "rep"), fetch, roots, percent)
     second = check(apart, "coarse")
     if not second.isEmpty():
         joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
         common.drop_table(roots)
         roots = joined
-    for t in (in_buckets, first, apart, second):
+    for t in (in_buckets, with_hubs, first, apart, second):
         common.drop_table(t)
     return sig, reps, roots, clashing
 
@@ -334,7 +349,8 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     found = common.materialize(placed_rows(docs, percent))
     kept = found.where("doc_id = component_id").select("doc_id", "set_id", "root")
-    named = docs.where("doc_id is not null").join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    gone = common.materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id"))
+    named = common.unwanted_rows(docs.where("doc_id is not null"), gone)
     twice = common.materialize(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.isEmpty():
         which = kept.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_of"), F.col("root").alias("_root")).distinct()
