@@ -49,13 +49,12 @@ def clashes(docs: DataFrame, digests: DataFrame) -> DataFrame:
     buckets = buckets.withColumn("copies", (1 + F.col("size") / BUCKET_SHARE).cast("int"))
     members = ids.join(buckets, "digest").select("doc_id", "digest", "rep", "copies")
     wanted = common.wanted_rows(common.text_rows(docs), members.select("doc_id"))
-    forms = wanted.join(members, "doc_id").select("doc_id", "digest", "rep", "copies", canonical("text").alias("form"))
-    heads = forms.where("doc_id = rep").select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("form").alias("first"))
-    others = forms.where("doc_id <> rep").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
-    return (
-        others.join(heads, ["digest", "copy"]).where(F.col("form") != F.col("first"))
-        .groupBy("doc_id").agg(F.min(F.sha2("form", 256)).alias("own"))
-    )
+    forms = wanted.join(members, "doc_id").select("doc_id", "digest", (F.col("doc_id") == F.col("rep")).alias("head"), "copies", canonical("text").alias("form"))
+    # The representative goes to every copy of its bucket, each member to one: one shuffle, and what comes first in a copy is the representative.
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+    dealt = forms.select("doc_id", "digest", "head", "form", F.explode(F.when(F.col("head"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(own)).alias("copy"))
+    first = F.first("form").over(Window.partitionBy("digest", "copy").orderBy(F.desc("head"), "form"))
+    return dealt.withColumn("first", first).where(~F.col("head") & (F.col("form") != F.col("first"))).groupBy("doc_id").agg(F.min(F.sha2("form", 256)).alias("own"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
