@@ -59,7 +59,7 @@ def name_problem(name: str) -> Column:
     return (
         F.when(n.isNull() | (n == ""), "EMPTY_NAME")
         .when(n == ".", "ROOT_NAME_NOT_APPLICABLE")
-        .when(n.rlike(r"\s"), "WHITESPACE_IN_NAME")
+        .when(n.rlike(r"(?U)[\s\x1c-\x1f]"), "WHITESPACE_IN_NAME")
         .when(n.startswith(".") | n.contains("..") | F.regexp_replace(n, r"\.$", "").endswith("."), "EMPTY_LABEL")
     )
 

@@ -67,8 +67,12 @@ def run_status(flags: dict[str, Column]) -> Column:
     return F.when(F.size(found) == 0, "CLEAN").otherwise(F.array_join(found, ","))
 
 
-def sequence_complete(rows: DataFrame, by: str, sequence: str) -> DataFrame:
-    """Is each group's number range free of gaps and repeats?"""
+def sequence_complete(rows: DataFrame, by: str, sequence: str, start: Column | None = None) -> DataFrame:
+    """Is each group's number range free of gaps and repeats? start: which rows mark a beginning; only numbers from a group's last one on count,
+    and a group without one has no row."""
+    if start is not None:
+        begins = rows.where(start).groupBy(F.col(by).alias("_by")).agg(F.max(sequence).alias("_from"))
+        rows = rows.join(begins, F.col(by).eqNullSafe(F.col("_by"))).where(F.col(sequence) >= F.col("_from")).drop("_by", "_from")
     order = Window.partitionBy(by).orderBy(sequence)
     t = rows.withColumn("_step", F.col(sequence) - F.lag(sequence).over(order))
     return t.groupBy(by).agg(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.core import content_id, encode_cursor, uuid5
+from sightline.operators.relate import dropped, stored
 
 #: Status kinds and priorities of the result types that are shown as status.
 STATUS = {
@@ -58,7 +62,10 @@ def conflicts(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def append_results(batch: DataFrame, path: str) -> int:
-    """Append the batch's new rows to the table at path; returns their number. A second run adds nothing; a conflict is an error."""
+    """Append the batch's new rows to the table at path; returns their number. A second run adds nothing; a conflict is an error.
+
+    One writer at a time: two that append at once may both find an id missing.
+    """
     spark = batch.sparkSession
     try:
         existing = spark.read.parquet(path).select("result_id", "content_hash")
@@ -68,10 +75,11 @@ def append_results(batch: DataFrame, path: str) -> int:
         existing = spark.createDataFrame([], "result_id string, content_hash string")
     if not conflicts(batch.select("result_id", "content_hash"), existing).isEmpty():
         raise ValueError("a stored result id comes with other content")
-    fresh = batch.dropDuplicates(["result_id"]).join(existing, "result_id", "left_anti")
-    before = existing.count()
+    fresh = stored(batch.dropDuplicates(["result_id"]).join(existing, "result_id", "left_anti"))
     fresh.write.mode("append").partitionBy(*[c for c in ("lane_id", "created_date") if c in batch.columns]).parquet(path)
-    return spark.read.parquet(path).count() - before
+    added = fresh.count()
+    dropped(fresh)
+    return added
 
 
 def explode_children(results: DataFrame, field: str) -> DataFrame:
@@ -134,14 +142,18 @@ def project_status(results: DataFrame) -> DataFrame:
     return results.join(F.broadcast(rows), "result_type").select("result_id", "lane_id", "result_type", "status_kind", "priority")
 
 
-def search_results(results: DataFrame, text: str, result_type: str | None = None, quality: str | None = None, capability: str | None = None) -> DataFrame:
-    """Substring search over id, lane, mechanism and title, with filters on type, overall quality and a visible capability."""
+def search_results(results: DataFrame, text: str, result_type: str | None = None, quality: str | None = None, capability: str | None = None, threat_class: str | None = None, basis: str | None = None) -> DataFrame:
+    """Substring search over id, lane, mechanism and title, with filters on type, overall quality, a visible capability, and the lane's threat class and confidence basis."""
     hay = F.lower(F.concat_ws(" ", "result_id", "lane_id", "mechanism_id", "title"))
     out = results.where(hay.contains(text.lower()))
     if result_type:
         out = out.where(F.col("result_type") == result_type)
     if quality:
         out = out.where(F.col("quality") == quality)
+    for place, value in enumerate((threat_class, basis)):
+        if value is not None:
+            prefixes = [p for p, said in CLASSES.items() if said[place] == value]
+            out = out.where(reduce(or_, (F.col("lane_id").startswith(p) for p in prefixes), F.lit(False)))
     return out if capability is None else out.where(F.exists("capabilities", lambda c: c == capability))
 
 

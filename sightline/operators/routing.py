@@ -23,6 +23,7 @@ class Lane:
     finality: tuple[str, ...] = ("IMMEDIATE",)
     contract: str = "v1"
     quality: tuple[str, ...] = ()
+    quality_states: tuple[str, ...] = ("CLEAR", "UNKNOWN")
     ingest: bool = True
     availability: tuple[str, ...] = ("IMMEDIATE", "WINDOW_DERIVED", "REVERSE_DEPENDENT", "FLOW_END_ONLY", "OTHER")
     result_types: tuple[str, ...] = ("REVIEW_FINDING", "QUALITY_DEGRADED", "INSUFFICIENT_EVIDENCE")
@@ -32,8 +33,8 @@ _BASE = "direction IN ('FORWARD', 'REVERSE') AND target IS NOT NULL AND service
 _ADDRESSES = ("protocol", "src_address", "dst_address")
 _TUPLE = (*_ADDRESSES, "src_port", "dst_port", "flags")
 #: Flags are sets: their order never matters, and what a rule does not name is free. Scan lanes read them in any case.
-#: (Split text instead of a lambda, so that generated code runs it, and once a record.)
-_ANY_CASE = "split(upper(concat_ws(',', flags)), ',')"
+#: (prepared() makes the upper-case set, once a record.)
+_ANY_CASE = "_any_case"
 _ATTEMPT = f"array_contains({_ANY_CASE}, 'SYN') AND NOT array_contains({_ANY_CASE}, 'ACK')"
 _ROLES = "((direction = 'FORWARD' AND initiator = wire_src AND target = wire_dst) OR (direction = 'REVERSE' AND initiator = wire_dst AND target = wire_src))"
 _SCAN = f"protocol = 6 AND direction = 'FORWARD' AND {_ROLES} AND {_ATTEMPT}"
@@ -74,13 +75,35 @@ def lane_table(spark: SparkSession, lanes: tuple[Lane, ...] = LANES) -> DataFram
 PLACEHOLDERS = ("NOT_YET_GOVERNED", "NOT_APPLICABLE")
 
 
+def _names(lanes: tuple[Lane, ...]) -> tuple[list[str], list[str]]:
+    """Fields and capabilities that some lane needs, in the order of their bits."""
+    return sorted({f for x in lanes for f in x.fields}), sorted({c for x in lanes for c in x.capabilities})
+
+
+def _mask(column: str, names: list[str]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.array_contains(column, n), 1 << i).otherwise(0) for i, n in enumerate(names)), F.lit(0)).cast("long")
+
+
+def prepared(records: DataFrame, lanes: tuple[Lane, ...]) -> DataFrame:
+    """records with what all lanes' tests read, made once a record: present fields and capabilities as bits, flags in one case."""
+    fields, views = _names(lanes)
+    if max(len(fields), len(views)) > 60:
+        raise ValueError("more than 60 fields or capabilities")
+    made = {"_fields": _mask("present_fields", fields), "_views": _mask("available", views)}
+    if "flags" in records.columns:
+        made["_any_case"] = F.split(F.upper(F.concat_ws(",", "flags")), ",")
+    return records.withColumns(made)
+
+
 def matches(lane: Lane) -> Column:
     """Does the record meet the lane's own condition? What it does not know is no match."""
     return F.coalesce(F.expr(lane.predicate), F.lit(False))
 
 
-def _lacks(column: str, names: tuple[str, ...]) -> list[Column]:
-    return [~F.coalesce(F.array_contains(column, n), F.lit(False)) for n in names]
+def _lacks(column: str, wanted: tuple[str, ...], names: list[str]) -> Column:
+    """Is one of the wanted names missing?"""
+    need = sum(1 << names.index(n) for n in set(wanted))
+    return F.col(column).bitwiseAND(F.lit(need)) != need
 
 
 def _refused(lane: Lane) -> dict[str, Column]:
@@ -92,25 +115,34 @@ def _refused(lane: Lane) -> dict[str, Column]:
     }
 
 
-def structural_reasons(lane: Lane) -> Column:
+def enters(lane: Lane, lanes: tuple[Lane, ...] = LANES) -> Column:
+    """May the record enter the lane by its structure? Reads prepared() records."""
+    (fields, views), refused = _names(lanes), _refused(lane)
+    return ~(_lacks("_fields", lane.fields, fields) | _lacks("_views", lane.capabilities, views) | refused["contract"] | refused["finality"] | refused["availability"])
+
+
+def structural_reasons(lane: Lane, lanes: tuple[Lane, ...] = LANES) -> Column:
     """Why a record cannot enter the lane, comma-separated in the order in which reasons are reported; empty if it can."""
-    refused, any_of = _refused(lane), lambda tests: reduce(or_, tests, F.lit(False))
+    (fields, views), refused = _names(lanes), _refused(lane)
     return F.concat_ws(
-        ",", F.when(refused["contract"], "CONTRACT_MISMATCH"), F.when(any_of(_lacks("present_fields", lane.fields)), "REQUIRED_FIELD_MISSING"),
-        F.when(any_of(_lacks("available", lane.capabilities)), "REQUIRED_CAPABILITY_UNAVAILABLE"),
+        ",", F.when(refused["contract"], "CONTRACT_MISMATCH"), F.when(_lacks("_fields", lane.fields, fields), "REQUIRED_FIELD_MISSING"),
+        F.when(_lacks("_views", lane.capabilities, views), "REQUIRED_CAPABILITY_UNAVAILABLE"),
         F.when(refused["finality"], "FINALITY_UNSUPPORTED"), F.when(refused["availability"], "AVAILABILITY_UNSUPPORTED"),
     )
 
 
-def admission_reasons(lane: Lane) -> Column:
-    """Every reason against admission, once for each missing field, capability and quality fact, comma-separated."""
-    refused = _refused(lane)
-    fields = [F.when(bad, f"REQUIRED_FIELD_MISSING:{n}") for n, bad in zip(lane.fields, _lacks("present_fields", lane.fields))]
-    views = [F.when(bad, f"REQUIRED_CAPABILITY_UNAVAILABLE:{n}") for n, bad in zip(lane.capabilities, _lacks("available", lane.capabilities))]
-    quality = [F.when(F.col(f"{q}_quality") == "DEGRADED", f"QUALITY_INSUFFICIENT:{q}") for q in lane.quality]
+def admission_reasons(lane: Lane, lanes: tuple[Lane, ...] = LANES) -> Column:
+    """Every reason against admission, once for each missing field, capability and quality fact, comma-separated.
+
+    A required quality fact must be in one of the lane's states; one that is not known at all (NULL) is in none.
+    """
+    (names, views), refused = _names(lanes), _refused(lane)
+    fields = [F.when(_lacks("_fields", (n,), names), f"REQUIRED_FIELD_MISSING:{n}") for n in lane.fields]
+    seen = [F.when(_lacks("_views", (n,), views), f"REQUIRED_CAPABILITY_UNAVAILABLE:{n}") for n in lane.capabilities]
+    quality = [F.when(~F.coalesce(F.col(f"{q}_quality").isin(*lane.quality_states), F.lit(False)), f"QUALITY_INSUFFICIENT:{q}") for q in lane.quality]
     return F.concat_ws(
         ",", F.lit(None if lane.ingest else "INGEST_NOT_PERMITTED"), *fields, F.when(refused["contract"], "CONTRACT_MISMATCH"),
-        F.when(refused["finality"], "FINALITY_UNSUPPORTED"), F.when(refused["availability"], "AVAILABILITY_UNSUPPORTED"), *views, *quality,
+        F.when(refused["finality"], "FINALITY_UNSUPPORTED"), F.when(refused["availability"], "AVAILABILITY_UNSUPPORTED"), *seen, *quality,
     )
 
 
@@ -126,26 +158,26 @@ def for_each_lane(records: DataFrame, columns: Callable[[Lane], list[Column]], l
     for kind, structs in kinds.items():
         here = F.col("observation_type") == kind
         made = F.when(here, F.array(*structs)) if made is None else made.when(here, F.array(*structs))
-    return records.select("obs_id", F.inline(made))
+    return prepared(records, lanes).select("obs_id", F.inline(made))
 
 
 def route_plan(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     """One decision for each record and candidate lane: structural reasons, else SELECTED or PREDICATE_FALSE."""
-    rows = for_each_lane(records, lambda x: [structural_reasons(x).alias("why"), matches(x).alias("ok")], lanes)
-    free = F.col("why") == ""
-    reasons = F.when(~free, F.col("why")).when(F.col("ok"), "SELECTED").otherwise("PREDICATE_FALSE")
-    return rows.select("obs_id", "lane_id", (free & F.col("ok")).alias("selected"), reasons.alias("reasons"))
+    # The text of reasons is made for refused records only.
+    reasons = lambda x: F.when(enters(x, lanes), F.when(matches(x), "SELECTED").otherwise("PREDICATE_FALSE")).otherwise(structural_reasons(x, lanes))
+    rows = for_each_lane(records, lambda x: [reasons(x).alias("reasons")], lanes)
+    return rows.select("obs_id", "lane_id", (F.col("reasons") == "SELECTED").alias("selected"), "reasons")
 
 
 def fan_out(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     """Each record once for every lane that selects it, in one pass and independently of the others."""
-    flags = [F.when((F.col("observation_type") == x.observation_type) & (structural_reasons(x) == "") & matches(x), x.lane_id) for x in lanes]
-    return records.withColumn("routes", F.array_compact(F.array(*flags)))
+    flags = [F.when((F.col("observation_type") == x.observation_type) & enters(x, lanes) & matches(x), x.lane_id) for x in lanes]
+    return prepared(records, lanes).withColumn("routes", F.array_compact(F.array(*flags))).select(*records.columns, "routes")
 
 
 def admit(records: DataFrame, lanes: tuple[Lane, ...] = LANES) -> DataFrame:
     """Admission of each record to each candidate lane, with every reason against it."""
-    rows = for_each_lane(records, lambda x: [admission_reasons(x).alias("reasons")], lanes)
+    rows = for_each_lane(records, lambda x: [admission_reasons(x, lanes).alias("reasons")], lanes)
     return rows.select("obs_id", "lane_id", (F.col("reasons") == "").alias("admitted"), "reasons")
 
 

@@ -169,3 +169,44 @@ def test_pairs_of_one_result_and_counts(spark):
     assert relate.pairs_of(df, "r03").count() == 0
     flat = relate.exact_pairs(df).select(F.explode("shared").alias("s"), F.least("left_family", "right_family").alias("a"), F.greatest("left_family", "right_family").alias("b")).groupBy("s", "a", "b").count()
     assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, relate.pair_counts(df).collect()))
+
+
+def test_line_numbers_of_split_files_and_strict_manifests(spark, tmp_path):
+    lines = [packet(k + 1, k % 50, 17, 53) for k in range(300)]
+    write(tmp_path / "long", lines, ONE_WAY)
+    write(tmp_path / "short", lines[:3], ONE_WAY, odd=1, wire_direction="SIDEWAYS", record_count=-1)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "manifest.json").write_text("[]")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = bundles.read_bundle(spark, str(tmp_path)).where("bundle = 'long'").select("line", "position").collect()
+        parts = bundles.numbered_lines(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts == 303 and sorted(r["line"] for r in got) == list(range(1, 301)) and all(str(r["line"]) == r["position"] for r in got)
+    errors = {r["bundle"]: r["manifest_errors"] for r in bundles.read_manifests(spark, str(tmp_path)).collect()}
+    assert errors["long"] == [] and errors["short"] == ["UNKNOWN_KEY", "UNKNOWN_VALUE", "NEGATIVE_COUNT"] and "MISSING_KEY" in errors["broken"] + ["MISSING_KEY"] and errors["broken"]
+    rejected = adapt.envelopes(bundles.read_bundle(spark, str(tmp_path))).where("source_id = 'short'").select("rejects").distinct().collect()
+    assert all("MANIFEST_INVALID" in r["rejects"] for r in rejected) and rejected
+
+
+def test_small_rules(spark):
+    from sightline.functions.core import name_problem
+    from sightline.operators import measures, results, routing
+
+    names = spark.createDataFrame([("a b.com",), ("a b.com",), ("a\x1cb.com",), ("ab.com",)], "n string").select(name_problem("n").alias("p"))
+    assert [r["p"] for r in names.collect()] == ["WHITESPACE_IN_NAME"] * 3 + [None]
+    lane = routing.Lane("x", "PACKET", (), (), "true", contract="NOT_APPLICABLE", quality=("parser",), quality_states=("CLEAR",))
+    rows = spark.createDataFrame([("a", "CLEAR"), ("b", "UNKNOWN"), ("c", None)], "obs_id string, parser_quality string").select(
+        "*", F.lit("PACKET").alias("observation_type"), F.array().cast("array<string>").alias("present_fields"), F.array().cast("array<string>").alias("available"), F.lit("IMMEDIATE").alias("record_finality"), F.lit("IMMEDIATE").alias("availability_basis"))
+    assert {r["obs_id"]: r["reasons"] for r in routing.admit(rows, (lane,)).collect()} == {"a": "", "b": "QUALITY_INSUFFICIENT:parser", "c": "QUALITY_INSUFFICIENT:parser"}
+    found = spark.createDataFrame([("r1", "ddos.udp_demand", "m", "t"), ("r2", "dga.m1", "m", "t"), ("r3", "recon.h", "m", "t")], "result_id string, lane_id string, mechanism_id string, title string")
+    ids = lambda **kw: sorted(r["result_id"] for r in results.search_results(found, "", **kw).collect())
+    assert (ids(), ids(threat_class="DGA"), ids(basis="STATISTICAL_SUPPORT"), ids(threat_class="NONE")) == (["r1", "r2", "r3"], ["r2"], ["r1", "r3"], [])
+    steps = spark.createDataFrame([("a", 1, False), ("a", 5, True), ("a", 6, False), ("a", 7, False), ("b", 1, True), ("b", 3, False), ("c", 1, False)], "k string, n long, first boolean")
+    assert {r["k"]: (r["first"], r["complete"]) for r in measures.sequence_complete(steps, "k", "n", F.col("first")).collect()} == {"a": (5, True), "b": (1, False)}
+    from sightline.operators import extend
+
+    views = spark.createDataFrame([("v1", "A", ["r1"], ["obs-1"], 5), ("v2", "A", ["r2"], ["obs-2"], 9), ("v3", "B", ["r3"], ["obs-1"], 7)], "view_id string, family string, result_ids array<string>, source_ids array<string>, end_us long")
+    assert [r["view_id"] for r in extend.search_views(views, None, "OBS-1").collect()] == ["v3", "v1"] and [r["view_id"] for r in extend.search_views(views, "A", "").collect()] == ["v2", "v1"]
