@@ -121,15 +121,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, al
 def bitmap_of(ids: DataFrame) -> tuple[DataFrame, Column]:
     """A bitmap over hashed doc_ids, of at most WANTED_BITS bits in rows (word, bits), and its word for a row's doc_id."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
-    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("_sightline_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_sightline_bits"))
     return words, place
 
 
 def unwanted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in ids. What the broadcast bitmap of ids rules out stays where it is; only the rest meets the ids in a join."""
     words, place = bitmap_of(ids)
-    rows = docs.withColumn("_p", place).join(F.broadcast(words), F.floor(F.col("_p") / 64) == F.col("_word"), "left")
-    hit = F.coalesce(F.expr("bit_get(_bits, cast(_p % 64 as int)) = 1"), F.lit(False))
+    rows = docs.withColumn("_sightline_place", place).join(F.broadcast(words), F.floor(F.col("_sightline_place") / 64) == F.col("_sightline_word"), "left")
+    hit = F.coalesce(F.expr("bit_get(_sightline_bits, cast(_sightline_place % 64 as int)) = 1"), F.lit(False))
     maybe = rows.where(hit).select(docs.columns).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     return rows.where(~hit).select(docs.columns).union(maybe)
 
@@ -138,7 +138,7 @@ def wanted_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in ids. A bitmap over hashed ids, of at most WANTED_BITS bits, is broadcast and stops
     most other rows before the shuffle; a join with the distinct ids then settles the rest (a semi-join would be moved below the bitmap)."""
     words, place = bitmap_of(ids)
-    rows = docs.withColumn("_p", place).join(F.broadcast(words), F.floor(F.col("_p") / 64) == F.col("_word")).where(F.expr("bit_get(_bits, cast(_p % 64 as int)) = 1"))
+    rows = docs.withColumn("_sightline_place", place).join(F.broadcast(words), F.floor(F.col("_sightline_place") / 64) == F.col("_sightline_word")).where(F.expr("bit_get(_sightline_bits, cast(_sightline_place % 64 as int)) = 1"))
     return rows.select(docs.columns).join(ids.select("doc_id").distinct(), "doc_id").select(docs.columns)
 
 

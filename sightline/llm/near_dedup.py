@@ -258,8 +258,8 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
         node = F.when(F.col("clash") & F.col("set_id").isNotNull(), node_of("doc_id", "set_id")).otherwise(F.col("doc_id"))
         sig = sig.join(clash.withColumn("clash", F.lit(True)), "doc_id", "left").withColumn("node", node).drop("clash")
         rows = docs.select("doc_id", "text")
-        known = set_ids(rows.join(clash, "doc_id", "left_semi")).where("_set is not null")
-        docs = rows.join(clash, "doc_id", "left_anti").union(known.select(node_of("doc_id", "_set").alias("doc_id"), "text"))
+        known = set_ids(rows.join(clash, "doc_id", "left_semi")).where("_sightline_set is not null")
+        docs = rows.join(clash, "doc_id", "left_anti").union(known.select(node_of("doc_id", "_sightline_set").alias("doc_id"), "text"))
     else:
         sig = sig.withColumn("node", F.col("doc_id"))
     # The sketches stay where they were made; only those of texts that stand in a pair or a mixed bucket are fetched.
@@ -307,14 +307,14 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
 
 
 def set_ids(docs: DataFrame) -> DataFrame:
-    """docs with the digest of each text's shingle set as one more column, _set; null without words."""
+    """docs with the digest of each text's shingle set as one more column, _sightline_set; null without words."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for b in common.bounded(batches):
-            yield b.append_column("_set", pa.array([set_digest(shingles(t or "")) for t in b.column("text").to_pylist()], pa.binary()))
+            yield b.append_column("_sightline_set", pa.array([set_digest(shingles(t or "")) for t in b.column("text").to_pylist()], pa.binary()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sightline_set", T.BinaryType())]))
 
 
 def node_of(doc_id: str, set_id: str) -> Column:
@@ -355,6 +355,6 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not twice.isEmpty():
         which = kept.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_of"), F.col("root").alias("_root")).distinct()
         again = set_ids(named.join(twice, "doc_id", "left_semi").select(docs.columns))
-        again = again.join(which, (F.col("doc_id") == F.col("_id")) & F.col("_set").eqNullSafe(F.col("_of"))).dropDuplicates(["_id", "_root"])
+        again = again.join(which, (F.col("doc_id") == F.col("_id")) & F.col("_sightline_set").eqNullSafe(F.col("_of"))).dropDuplicates(["_id", "_root"])
         named = named.join(twice, "doc_id", "left_anti").select(docs.columns).union(again.select(docs.columns))
     return named.union(docs.where("doc_id is null"))

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import common, fingerprints, license_scan, near_dedup, packing, pii, piece_codec, quality_knn, quality_rules, token_counts, toxicity
+from sightline.llm import common, fingerprints, license_scan, near_dedup, packing, pii, piece_codec, quality_knn, quality_rules, sql, token_counts, toxicity
 from sightline.llm.queries import PIECE_MODEL, QUERIES, WORD_MODEL, vocabulary
 from tests.conftest import DATA
 
@@ -575,3 +575,43 @@ def test_a_megabyte_of_licence_wording_ends_soon(spark):
     began = time.time()
     (got,) = license_scan.scan(spark.createDataFrame([(1, licence_mixture(random.Random(2), 1_000_000).replace("\n", " "))], "doc_id long, text string")).collect()
     assert got["n_matches"] > 3 and time.time() - began < 90
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    words = "The committee said that the plan for the new school was ready and that work would begin in the spring of the next year because most people wanted it. "
+    more = spark.createDataFrame([(20, words * 2), (20, words * 2), (21, words * 2), (22, words + "Call +1 (988) 555-2485 now. " + words), (23, words * 4000), (None, words)], "doc_id long, text string")
+    docs = odd.unionByName(more.select("*", *(F.lit(None).cast(t).alias(c) for c, t in odd.dtypes if c not in ("doc_id", "text"))))
+    for start in (docs, docs.limit(0)):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES:
+            after = common.materialize(stage(spark, rows, DATA))
+            if name == "packing":
+                ids = collections.Counter(r["doc_id"] for r in after.where("piece = 0").collect())
+                assert ids == collections.Counter(r["doc_id"] for r in rows.collect())
+                continue
+            assert after.columns == rows.columns and [t for _, t in after.dtypes] == [t for _, t in rows.dtypes]
+            if name != "personal_data":
+                lost = collections.Counter((r["doc_id"], r["text"]) for r in after.collect()) - collections.Counter((r["doc_id"], r["text"]) for r in rows.collect())
+                assert not lost
+            if name == "near_dedup":
+                kept = collections.Counter(r["doc_id"] for r in after.collect())
+                assert all(n == 1 for d, n in kept.items() if d is not None) and not {20, 21} <= set(kept)
+            rows = after
+
+
+def test_pipeline_near_dedup_equals_sql_on_what_came_before(spark):
+    import duckdb
+
+    import corpus_pipeline
+
+    docs = common.table(spark, DATA, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, common.materialize(stage(spark, docs, DATA))
+        if name == "near_dedup":
+            break
+    con = duckdb.connect()
+    con.register("documents", before.select("doc_id", "text").toPandas())
+    want = {d for d, kept in con.sql(f"SELECT doc_id, kept FROM ({sql.SQL['op5_near_duplicates']})").fetchall() if kept}
+    assert {r["doc_id"] for r in docs.collect()} == want and len(want) < before.count()
