@@ -80,5 +80,7 @@ def representation_audit(rows: DataFrame, old: DataFrame, new: DataFrame, exampl
     a = registrable_domain(rows, old).select("obs_id", F.col("registrable").alias("old"))
     b = registrable_domain(rows, new).select("obs_id", F.col("registrable").alias("new"))
     both = a.join(b, "obs_id").withColumn("category", F.when(F.col("old").isNull() | F.col("new").isNull(), "UNAVAILABLE").when(F.col("old") == F.col("new"), "EXACT").otherwise("CHANGED"))
-    ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("obs_id")))
-    return ranked.groupBy("category").agg(F.count("*").alias("names"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n") <= examples, F.col("obs_id")))), ",").alias("examples"))
+    names = both.groupBy("category").agg(F.count("*").alias("names"))
+    # Only the first few of each category leave their partitions.
+    first = both.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("obs_id"))).where(F.col("_n") <= examples)
+    return names.join(first.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("obs_id")), ",").alias("examples")), "category")

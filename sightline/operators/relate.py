@@ -214,9 +214,10 @@ def investigation_links(views: DataFrame) -> DataFrame:
 
 
 def relations_by_family(links: DataFrame) -> DataFrame:
-    """Links grouped by alphabetical family pair with the latest end."""
-    return links.groupBy(F.least("left_family", "right_family").alias("family_a"), F.greatest("left_family", "right_family").alias("family_b")).agg(
-        F.count("*").alias("links"), F.max("end_us").alias("latest_us"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("shared"))
+    """Links grouped by alphabetical family pair: their number, the latest end, and how many different ids they share (counted, not gathered)."""
+    pair = [F.least("left_family", "right_family").alias("family_a"), F.greatest("left_family", "right_family").alias("family_b")]
+    ids = links.select(*pair, F.explode("shared").alias("id")).distinct().groupBy("family_a", "family_b").agg(F.count("*").alias("shared"))
+    return links.groupBy(*pair).agg(F.count("*").alias("links"), F.max("end_us").alias("latest_us")).join(ids, ["family_a", "family_b"])
 
 
 def family_overview(views: DataFrame, links: DataFrame) -> DataFrame:
