@@ -15,6 +15,7 @@ null; ties of counts are all best.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 
@@ -190,6 +191,8 @@ class Aligner:
 def worker(vocabulary: str, model: str, unlike: tuple[str, str, str]) -> Aligner:
     if (vocabulary, model) not in _workers:
         _workers[vocabulary, model] = Aligner(vocabulary, model, unlike)
+        # What is remembered has no cycles: the collector need not walk it again for every few thousand new chunks.
+        gc.set_threshold(200_000, 50, 50)
     return _workers[vocabulary, model]
 
 
