@@ -156,13 +156,18 @@ def passes(a: str, b: str, kind: str, percent: int) -> Column:
     return _bits(x[kind], y[kind]) <= most
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The distinct ids (doc_id) that stand in pairs (a, b); either side is made distinct where it lies."""
+    return pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select(F.col("b").alias("doc_id")).distinct())
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool = True) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets reach the similarity. repeated: may docs have rows with equal ids?
 
     The text of b travels with its pair; that of a goes once to each share of HUB_SHARE of its pairs and is read first there.
     """
     texts = common.text_rows(docs.where(F.col("doc_id").isNotNull()))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = ends_of(pairs)
     texts = common.materialize(common.wanted_rows(texts, ids))
     own = texts.groupBy("doc_id").agg(F.first("text").alias("text")) if repeated else texts
     hubs = pairs.groupBy("a").agg((1 + F.count("*") / HUB_SHARE).cast("int").alias("copies"))
@@ -281,7 +286,7 @@ def near_classes(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     def check(pairs: DataFrame, *kinds: str) -> DataFrame:
         """The confirmed ones of distinct pairs, after sizes and the sketches of these kinds."""
         side = F.struct("n", *(c for k in kinds for c in (k, f"{k}_filled")))
-        known = common.materialize(fetch(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).select("rep", side.alias("x")))
+        known = common.materialize(fetch(ends_of(pairs)).select("rep", side.alias("x")))
         a, b = known.select(F.col("rep").alias("a"), F.col("x").alias("l")), known.select(F.col("rep").alias("b"), F.col("x").alias("r"))
         near = pairs.join(a, "a").join(b, "b").where(similar_sizes(F.col("l.n"), F.col("r.n"), percent))
         for kind in kinds:
