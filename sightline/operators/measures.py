@@ -85,19 +85,20 @@ def latest_of(rows: DataFrame, by: tuple[str, ...], sequence: str, *values: str)
     return rows.groupBy(*by).agg(F.max_by(F.struct(*values, sequence), sequence).alias("_last")).select(*by, *(F.col(f"_last.{v}").alias(v) for v in (*values, sequence)))
 
 
-def gaps_at(events: DataFrame, gaps: DataFrame, grain_us: int = 86_400_000_000) -> DataFrame:
-    """events with gap_count: declared gaps of their lane that are open at their time (an interval join).
+def gaps_at(events: DataFrame, gaps: DataFrame) -> DataFrame:
+    """events with gap_count: declared gaps of their lane that are open at their time, both ends included.
 
-    Gaps are cut into time grains, so the join is an equality on lane and grain with the bounds as a
-    residual; an open gap reaches to the last event.
+    A gap adds one where it opens and takes one after it closes, so a count is a running sum over range partitions: no event
+    meets a gap, however many are open.
     """
-    last = events.agg(F.max("us").alias("_last"))
-    cut = gaps.join(F.broadcast(last)).withColumn("_to", F.least(F.coalesce("closed_us", "_last"), "_last")).where("opened_us <= _to")
-    cut = cut.select("lane_id", "gap_id", "opened_us", "closed_us", F.explode(F.sequence(F.floor(F.col("opened_us") / grain_us), F.floor(F.col("_to") / grain_us))).alias("grain"))
-    rows = events.withColumn("grain", F.floor(F.col("us") / grain_us))
-    hits = rows.join(cut, ["lane_id", "grain"]).where((F.col("us") >= F.col("opened_us")) & (F.col("closed_us").isNull() | (F.col("us") <= F.col("closed_us"))))
-    counts = hits.groupBy("obs_id", "lane_id").agg(F.count("*").alias("gap_count"))
-    return events.join(counts, ["obs_id", "lane_id"], "left").withColumn("gap_count", F.coalesce("gap_count", F.lit(0)))
+    from sightline.operators.ranges import running
+
+    whole = gaps.where("lane_id IS NOT NULL AND opened_us IS NOT NULL AND (closed_us IS NULL OR closed_us >= opened_us)")
+    # At one time: what opens, then events, then what closes.
+    ends = whole.select("lane_id", F.inline(F.array(F.struct(F.col("opened_us").alias("us"), F.lit(0).alias("_turn"), F.lit(1).alias("_step")), F.struct(F.col("closed_us").alias("us"), F.lit(2).alias("_turn"), F.lit(-1).alias("_step")))))
+    ends = ends.where("us IS NOT NULL").groupBy("lane_id", "us", "_turn").agg(F.sum("_step").alias("_step"))
+    rows = events.withColumns({"_turn": F.lit(1), "_step": F.lit(0).cast("long")}).unionByName(ends, allowMissingColumns=True)
+    return running(rows, ("lane_id",), [F.col("us"), F.col("_turn")], gap_count="_step").where("_turn = 1").select(*events.columns, "gap_count")
 
 
 def run_conformance(actual: tuple[DataFrame, ...], declared: DataFrame) -> DataFrame:
