@@ -165,9 +165,10 @@ def mechanism_summary(results: DataFrame) -> DataFrame:
 def attribute_to_run(results: DataFrame, observations: DataFrame) -> DataFrame:
     """Results that belong to a run: stored during it with any source in it, or stored before it with all sources in it."""
     run = observations.select(F.col("source_id").alias("s")).distinct()
-    sources = results.select("result_id", "sequence", "in_run", F.explode("source_ids").alias("s")).join(run.withColumn("_here", F.lit(True)), "s", "left")
-    held = sources.groupBy("result_id", "sequence", "in_run").agg(F.count("_here").alias("here"), F.count("*").alias("n"))
-    return held.where((F.col("in_run") & (F.col("here") > 0)) | (~F.col("in_run") & (F.col("here") == F.col("n")))).select("result_id", "sequence", F.when(F.col("in_run"), "PERSISTED").otherwise("PRE_EXISTING").alias("attribution"))
+    sources = results.select("result_id", "sequence", "in_run", F.size("source_ids").alias("n"), F.explode("source_ids").alias("s"))
+    # What is not in the run is left behind here; only sources that are come together again by result.
+    held = sources.join(run, "s", "left_semi").groupBy("result_id", "sequence", "in_run", "n").agg(F.count("*").alias("here"))
+    return held.where(F.col("in_run") | (~F.col("in_run") & (F.col("here") == F.col("n")))).select("result_id", "sequence", F.when(F.col("in_run"), "PERSISTED").otherwise("PRE_EXISTING").alias("attribution"))
 
 
 def limitations(results: DataFrame, sentences: DataFrame) -> DataFrame:
