@@ -173,8 +173,9 @@ def attribute_to_run(results: DataFrame, observations: DataFrame) -> DataFrame:
 
 def limitations(results: DataFrame, sentences: DataFrame) -> DataFrame:
     """Sentences for the claim tokens of each result, once each, by token position. sentences: token, sentence."""
-    tokens = results.select("result_id", F.posexplode(F.split("claim", ";")).alias("position", "token")).withColumn("token", F.trim("token"))
-    return tokens.join(sentences, "token").groupBy("result_id", "sentence").agg(F.min("position").alias("position"))
+    # Claims meet by result before they are unfolded into tokens, which then stay where they are.
+    tokens = results.select("result_id", "claim").repartition("result_id").select("result_id", F.posexplode(F.split("claim", ";")).alias("position", "token")).withColumn("token", F.trim("token"))
+    return tokens.join(F.broadcast(sentences), "token").groupBy("result_id", "sentence").agg(F.min("position").alias("position"))
 
 
 def display_quality(states: Column) -> Column:
