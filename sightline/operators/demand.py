@@ -64,6 +64,30 @@ def demand_window(packets: DataFrame, lane: WindowLane, width_us: int, cap: int
     return described(packets.where(F.expr(lane.admit)).groupBy(*keys, start.alias("window_start")).agg(*aggregates), lane, width_us, cap)
 
 
+def all_windows(packets: DataFrame, lanes: tuple[WindowLane, ...], width_us: int, cap: int = CAP) -> DataFrame:
+    """What results need of all lanes' windows: their number of packets, first and last id and result type, as demand_window() gives them.
+
+    Lanes share target, service, direction and start, so a packet is shuffled once by these, whatever lanes admit it; all
+    aggregations, also of distinct values, then stay inside partitions.
+    """
+    start = F.floor(F.col("us") / width_us).cast("long") * width_us
+    needed = dict.fromkeys(["us", "obs_id", *KEYS, "quality", *(k for x in lanes for k in x.keys), *(x.distinct for x in lanes if x.distinct)])
+    text = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string")
+    own = [F.when(F.col(f"_in{i}"), F.struct(F.lit(x.lane).alias("lane_id"), F.array(*map(text, x.keys)).cast("array<string>").alias("_more"), text(x.distinct).alias("_counted"))) for i, x in enumerate(lanes)]
+    rows = packets.select(*needed, start.alias("window_start"), *(F.coalesce(F.expr(x.admit), F.lit(False)).alias(f"_in{i}") for i, x in enumerate(lanes)))
+    any_of = lambda at: " OR ".join(f"_in{i}" for i in at)
+    # What only some lanes read is shuffled for their packets only.
+    uses = {c: [i for i, x in enumerate(lanes) if c in (*x.keys, x.distinct)] for c in needed}
+    rows = rows.where(any_of(range(len(lanes)))).withColumns({c: F.when(F.expr(any_of(at)), F.col(c)) for c, at in uses.items() if at and c not in ("us", "obs_id", "quality", *KEYS)})
+    rows = rows.repartition(*KEYS, "window_start")
+    rows = rows.select("us", "obs_id", *KEYS, "quality", "window_start", F.explode(F.array(*own)).alias("_lane")).where("_lane IS NOT NULL").select("*", "_lane.*")
+    out = rows.groupBy("lane_id", *KEYS, "_more", "window_start").agg(
+        F.count("*").alias("packet_count"), F.min(F.struct("us", "obs_id")).alias("_first"), F.max(F.struct("us", "obs_id")).alias("_last"), worst_quality(F.col("quality")).alias("_quality"), F.count_distinct("_counted").alias("_distinct"))
+    degraded = (F.col("_quality") == "DEGRADED") | (F.col("_distinct") > cap)
+    return out.select("lane_id", *KEYS, "window_start", (F.col("window_start") + width_us).alias("window_end"), "packet_count", F.when(degraded, "QUALITY_DEGRADED").otherwise("REVIEW_FINDING").alias("result_type"),
+                      F.col("_first.obs_id").alias("first_id"), F.col("_last.obs_id").alias("last_id"))
+
+
 def described(out: DataFrame, lane: WindowLane, width_us: int, cap: int = CAP) -> DataFrame:
     """The lane's columns from what was counted in each window, in batch or in a stream."""
     keys = [*KEYS, *lane.keys]
